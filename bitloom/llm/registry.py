@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontaminate, knn, licences, mixing, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": simhash.op2_simhash,
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_licences": licences.op7_licences,
+        "op8_knn": knn.op8_knn,
+        "op9_token_files": token_files.op9_token_files,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op8_knn": knn.OP8_SQL, "op10_mixing": mixing.OP10_SQL}
