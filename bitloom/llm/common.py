@@ -80,3 +80,8 @@ def union_components(edges: DataFrame) -> DataFrame:
     out = cut(out)
     names = out.groupBy("r").agg(F.min("id").alias("component"))
     return out.join(names, "r").select("id", "component")
+
+
+def bounded_batches(spark: SparkSession, bytes_per_batch: str = "16m") -> None:
+    """Batches to Python workers end by size too, not by rows alone: texts and packed rows can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_per_batch)
