@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,11 @@ def union_components(edges: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession, bytes_per_batch: str = "16m") -> None:
     """Batches to Python workers end by size too, not by rows alone: texts and packed rows can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_per_batch)
+
+
+def ship(module: str) -> None:
+    """Functions of this module go to Python workers by value: executors need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, ship, table
 
 #: Vectors in a packed block (queries, data), and most pivots.
 QUERY_BLOCK, DATA_BLOCK, MOST_PIVOTS = 1024, 2048, 64
@@ -164,3 +164,6 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+ship(__name__)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, ship, table
 
 #: A line brings documents together if at most so many hold it ...
 RARE = 16
@@ -150,3 +150,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+ship(__name__)

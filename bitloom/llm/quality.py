@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, ship, table
 
 #: Symbols: code points below DIRECT as they are (0 for white space), the others in 64 classes.
 DIRECT, CLASSES = 0x180, 64
@@ -328,3 +328,6 @@ def filter_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.where("keep").select("doc_id", "lang", "n", "perplexity", "threshold", "keep")
+
+
+ship(__name__)

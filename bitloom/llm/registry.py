@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, knn, licences, mixing, simhash, token_files, url_filter
+from . import decontaminate, knn, licences, line_dedup, mixing, pii, quality, simhash, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_quality": quality.op4_quality,
+        "op5_pii": pii.op5_pii,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_licences": licences.op7_licences,
         "op8_knn": knn.op8_knn,

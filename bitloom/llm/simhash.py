@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, union_components
+from .common import cut, ship, table, union_components
 
 BITS, SEED = 64, 42
 #: Rounds of pivots before the exact step.
@@ -130,7 +130,7 @@ def components(fps: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None
     keyed = lambda df: df.withColumn("key", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(v))) for k, v in enumerate(masks)])))
     near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau) & _chain_test(F.col(a).bitwiseXOR(F.col(b)), m, tau)
 
-    label = fps.withColumn("component", F.col("fp"))
+    label = fps.select("fp", F.col("fp").alias("component"))
     for r in range(PIVOTS):
         rows = keyed(label.select("fp", "component"))
         order = F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), "fp")
@@ -175,3 +175,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+ship(__name__)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, ship, table
 
 #: Ids after which a block ends (with the document that is open).
 BLOCK_IDS = 1 << 19
@@ -220,3 +220,6 @@ def default_tokenizer() -> tuple[str, int]:
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), *default_tokenizer())
+
+
+ship(__name__)
