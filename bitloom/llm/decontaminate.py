@@ -17,6 +17,8 @@ from .common import cut, table
 MASKS = ("1110100110111", "1101011000011101", "1111011101")
 #: Most benchmark windows (rows) whose hash table is broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
+#: Most contaminated ids that are broadcast when rows are filtered.
+BROADCAST_IDS = 1_000_000
 #: An overlap is reported from so many words on (or the whole item, if shorter) ...
 LEAST_WORDS = 13
 #: ... of which this share agrees.
@@ -104,10 +106,11 @@ def _extend(a: Column, x: Column, lose: float) -> Column:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that no item overlaps; all columns stay."""
-    dirty = overlaps(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    dirty = cut(overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("dirty_id")).distinct())
+    few = dirty.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dirty) if few else dirty, docs[id_col].eqNullSafe(F.col("dirty_id")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

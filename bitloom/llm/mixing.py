@@ -116,7 +116,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         took = lambda e: F.lit(True)
     copies = sum((F.when(took(F.lit(e)), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), copies * F.col("size")).otherwise(0).cast("long")
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "h")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with all their columns."""
+    found = mix(docs, id_col, text_col, **options).where("taken > 0")
+    # rows of one id and text are interchangeable, and taken together
+    found = found.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("mixed_id"), F.col("h").alias("mixed_h")).agg(F.sum(F.expr("taken div size")).alias("copies"), F.count(F.lit(1)).alias("n"))
+    rows = docs.withColumn("mixed_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("mixed_h", order_key(F.col(id_col), F.col(text_col)))
+    each = F.ceil(F.col("copies") / F.col("n")).cast("int")
+    return rows.join(found, ["mixed_id", "mixed_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

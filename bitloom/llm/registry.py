@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, knn, licences, line_dedup, mixing, pii, quality, simhash, token_files, url_filter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -21,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_knn": knn.op8_knn,
         "op9_token_files": token_files.op9_token_files,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": pipeline,
     }
 
 

@@ -21,12 +21,14 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ship, table, union_components
 
 BITS, SEED = 64, 42
+#: Stands for a null id.
+NULL_ID = -(1 << 63)
 #: Rounds of pivots before the exact step.
 PIVOTS = 2
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -172,6 +174,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, one row each, all columns.
+
+    Null ids count as one smallest id, so a row of null id stays only where all of its component are null.
+    """
+    found = near_duplicates(docs, id_col, **options)
+    kept = found.select(F.coalesce(F.col("component_id"), F.lit(NULL_ID)).alias("kept_id")).distinct()
+    order = Window.partitionBy("kept_id").orderBy(*[c for c, t in docs.dtypes if t in ("string", "bigint", "int")])
+    rows = docs.withColumn("kept_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    first = rows.join(kept, "kept_id", "left_semi").withColumn("kept_n", F.row_number().over(order))
+    return first.where("kept_n = 1").select(*docs.columns)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
