@@ -5,11 +5,249 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import bits as B
+from ..functions import isim as I
+from ..operators import analysis, cluster, metrics, pairs, summaries
+from ..sources import tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+N = 64
+CRITERIA = ("radius", "diameter", "tolerance-diameter", "tolerance-radius", "tolerance-legacy", "never-merge")
+Query = Callable[[SparkSession, str], DataFrame]
+
+_fps = tables.embedding_fps
+
+
+def _members(spark, d):
+    return _fps(spark, d).select("label", "fp_id", "words")
+
+
+def _assigned(spark, d):
+    return _fps(spark, d).select("fp_id", F.col("label").cast("long").alias("label"))
+
+
+def _positions(sums: DataFrame, column: str, name: str) -> DataFrame:
+    return sums.select("label", F.posexplode(column).alias("pos", name)).select("label", F.col("pos").cast("long").alias("pos"), F.col(name).cast("long").alias(name))
+
+
+def _label_centroids(spark, d):
+    return metrics.centres(_members(spark, d), N).select("label", "words")
+
+
+def accept_pairs(criterion: str) -> Query:
+    """Old entry i, nominee j for all pairs of labels i < j: whether the union is accepted."""
+
+    def run(spark, d):
+        s = summaries.linear_sums(_fps(spark, d), N, "label")
+        a = s.select(F.col("label").alias("i"), F.col("n").alias("ni"), F.col("ls").alias("li"))
+        b = s.select(F.col("label").alias("j"), F.col("n").alias("nj"), F.col("ls").alias("lj"))
+        both = a.join(pairs.small(b), F.col("i") < F.col("j"))
+        union = F.zip_with("li", "lj", lambda x, y: x + y)
+        ok = I.accepts(criterion, 0.33, (F.col("ni") + F.col("nj"), union), (F.col("ni"), F.col("li")), (F.col("nj"), F.col("lj")))
+        return both.select("i", "j", ok.alias("accepted"))
+
+    return run
+
+
+def _invariants(spark, d, clusters: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row: fingerprints, distinct members, and clusters whose summary differs from its members' sums."""
+    fps = _fps(spark, d).select("fp_id", "words")
+    again = summaries.linear_sums(assigned.join(fps, "fp_id"), N, "label").select("label", F.col("n").alias("n2"), F.col("ls").alias("ls2"))
+    wrong = clusters.select("label", "n", "ls").join(again, "label", "full").agg(F.count_if(~(F.col("n").eqNullSafe(F.col("n2")) & F.col("ls").eqNullSafe(F.col("ls2")))).alias("wrong"))
+    ids = assigned.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("fp_id").alias("distinct_members"))
+    return ids.crossJoin(F.broadcast(wrong))
+
+
+def _fitted(steps=(), params=cluster.Params(threshold=0.5)) -> Query:
+    def run(spark, d):
+        c = cluster.labelled(cluster.fit(_fps(spark, d), N, params, steps)).cache()
+        return _invariants(spark, d, c, cluster.assignments(c))
+
+    return run
+
+
+def _multiround(spark, d):
+    fps = cluster.with_parts(_fps(spark, d), 100)
+    c, a = cluster.multiround(fps, N, cluster.Params(threshold=0.5), cluster.Rounds(bin_size=2))
+    return _invariants(spark, d, c, a)
+
+
+def queries() -> dict[str, Query]:
+    f = _fps
+    out: dict[str, Query] = {
+        "fp_popcount": lambda s, d: f(s, d).select("fp_id", B.popcount(F.col("words")).alias("n_bits")),
+        "fp_pack_words": lambda s, d: tables.table(s, d, "embeddings").select(F.col("vec_id").alias("fp_id"), B.pack(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)), N)[0].alias("word")),
+        "fp_unpack_bits": lambda s, d: f(s, d).select("fp_id", F.posexplode(B.unpack(F.col("words"), N)).alias("pos", "bit")).select("fp_id", F.col("pos").cast("long").alias("pos"), F.col("bit").cast("long").alias("bit")),
+        "jt_pairwise": lambda s, d: pairs.similarity_pairs(f(s, d)),
+        "jt_matrix": lambda s, d: pairs.similarity_matrix(f(s, d).where("label = 0")),
+        "jt_pairs_above_t": lambda s, d: pairs.pairs_above(f(s, d), 0.5),
+        "jt_knn_top5": lambda s, d: pairs.nearest(f(s, d).where("label = 0"), f(s, d), 5),
+        "linear_sum_by_label": lambda s, d: _positions(summaries.linear_sums(f(s, d), N, "label"), "ls", "k"),
+        "centroid_by_label": lambda s, d: _positions(summaries.centroids(summaries.linear_sums(f(s, d), N, "label")), "centroid", "bit"),
+        "isim_all": lambda s, d: summaries.isims(f(s, d)),
+        "isim_by_label": lambda s, d: summaries.isims(f(s, d), "label"),
+        "radius_by_label": lambda s, d: summaries.radii(summaries.linear_sums(f(s, d), N, "label")).drop("ls"),
+        "compl_isim": lambda s, d: summaries.complementary_isims(f(s, d), N, "label").select("fp_id", "label", "comp_isim"),
+        "medoid_by_label": lambda s, d: summaries.medoids(f(s, d), N, "label"),
+        "most_dissimilar": lambda s, d: summaries.most_dissimilar(f(s, d), N, "label"),
+        "stratified_sample": lambda s, d: summaries.stratified_sample(f(s, d), N, 20).select(F.col("stratum").cast("long").alias("stratum"), "fp_id"),
+        "jt_std_estimate": lambda s, d: summaries.jt_std(f(s, d), N).select(F.round("jt_std", 9).alias("jt_std")),
+        "chi": lambda s, d: metrics.chi(_members(s, d), N).select(F.round("chi", 9).alias("chi")),
+        "chi_medoid": lambda s, d: metrics.chi(_members(s, d), N, metrics.centres(_members(s, d), N, "medoid")).select(F.round("chi", 9).alias("chi")),
+        "dbi": lambda s, d: metrics.dbi(_members(s, d), N).select(F.round("dbi", 9).alias("dbi")),
+        "dunn": lambda s, d: metrics.dunn(_members(s, d), N),
+        "cluster_size_stats": lambda s, d: analysis.size_stats(_assigned(s, d)),
+        "cluster_top20": lambda s, d: analysis.top_clusters(_assigned(s, d)).select("label", "size", F.col("rank").cast("long").alias("rank")),
+        "cluster_analysis": lambda s, d: analysis.cluster_analysis(_assigned(s, d), f(s, d), N, top=5).select(F.col("rank").cast("long").alias("rank"), "label", "size", "percent", "isim"),
+        "nearest_centroid_assign": lambda s, d: pairs.nearest_centroid(f(s, d), _label_centroids(s, d)),
+        "centroid_distances": lambda s, d: pairs.centroid_distances(f(s, d), _label_centroids(s, d)),
+        "reassign_top": lambda s, d: pairs.reassign(f(s, d), f(s, d).select("fp_id", "label"), _label_centroids(s, d), top=3),
+        "doc_token_fp_isim_by_lang": lambda s, d: summaries.isims(tables.document_fps(s, d), "lang"),
+        "basket_fp_pairs": lambda s, d: pairs.similarity_pairs(tables.basket_fps(s, d)),
+        "event_profile_fp": lambda s, d: tables.event_fps(s, d).select("fp_id", B.popcount(F.col("words")).alias("n_bits")),
+        "file_offsets": lambda s, d: analysis.dense_offsets(f(s, d).withColumn("file", F.floor(F.col("fp_id") / 100)), "file", "file"),
+        "gather_by_index": lambda s, d: f(s, d).join(F.broadcast(s.range(3, 100, 7).withColumnRenamed("id", "fp_id")), "fp_id").select("fp_id", F.col("words")[0].alias("word")),
+        "fold_by_cluster": lambda s, d: analysis.folds(_assigned(s, d), 5),
+        "index_batches": lambda s, d: analysis.batches(f(s, d).select("fp_id"), "fp_id", 64),
+        "bitbirch_fit": _fitted(),
+        "bitbirch_refine": _fitted((cluster.Refine(2, "tolerance-diameter"),)),
+        "bitbirch_recluster": _fitted((cluster.Recluster(3, 0.02, seed=7, stop_early=True),)),
+        "bitbirch_multiround": _multiround,
+    }
+    return out | {f"merge_accept_{c.replace('-', '_')}": accept_pairs(c) for c in CRITERIA}
+
+
+_FP = """fp AS (SELECT vec_id AS fp_id, label, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS bits FROM embeddings),
+c AS (SELECT *, list_sum(bits)::BIGINT AS card FROM fp)"""
+_INTER = "list_sum([z[1] * z[2] FOR z IN list_zip({a}.bits, {b}.bits)])"
+_JT = "({i})::DOUBLE / greatest({a}.card + {b}.card - ({i}), 1)::DOUBLE"
+
+
+def _jt(a: str, b: str) -> str:
+    return _JT.format(i=_INTER.format(a=a, b=b), a=a, b=b)
+
+
+_POS = f"""{_FP},
+u AS (SELECT fp_id, label, unnest(bits)::BIGINT AS bit, unnest(range(64)) AS pos FROM fp),
+k AS (SELECT label, pos, sum(bit)::BIGINT AS k, count(*) AS n FROM u GROUP BY ALL)"""
+
+
+def _isim(n: str, s: str, q: str) -> str:
+    return f"CASE WHEN {n} < 2 THEN 'nan'::DOUBLE WHEN {s} = 0 THEN 1.0 ELSE (({q}) - ({s}))::DOUBLE / 2 / greatest((({q}) - ({s}))::DOUBLE / 2 + (({n}) * ({s}) - ({q}))::DOUBLE, 1e-300) END"
+
+
+_LS = f"""{_POS},
+g AS (SELECT label, max(n)::BIGINT AS n, list(k ORDER BY pos) AS ls, sum(k)::BIGINT AS s, sum(k * k)::BIGINT AS q,
+        list(CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END ORDER BY pos) AS bits,
+        sum(k + CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END)::BIGINT AS sc,
+        sum((k + CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END) * (k + CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END))::BIGINT AS qc
+      FROM k GROUP BY label),
+m AS (SELECT *, list_sum(bits)::BIGINT AS card FROM g)"""
+_RC = f"((n + 1) * ({_isim('n + 1', 'sc', 'qc')}) - (n - 1) * ({_isim('n', 's', 'q')})) / 2"
+_ON = "list_sum([z[1] * z[2] FOR z IN list_zip(f.bits, m.ls)])::BIGINT"
+_COMP = f"""{_LS},
+t AS (SELECT f.fp_id, f.label, CASE WHEN m.n < 3 THEN 'nan'::DOUBLE ELSE {_isim('(m.n - 1)', '(m.s - f.card)', f'(m.q - 2 * {_ON} + f.card)')} END AS comp_isim, m.n
+      FROM c f JOIN m USING (label))"""
+_WHOLE = f"""{_FP},
+u AS (SELECT unnest(bits)::BIGINT AS bit, unnest(range(64)) AS pos FROM fp),
+k AS (SELECT pos, sum(bit)::BIGINT AS k, count(*) AS n FROM u GROUP BY ALL),
+m AS (SELECT max(n)::BIGINT AS n, list(k ORDER BY pos) AS ls, sum(k)::BIGINT AS s, sum(k * k)::BIGINT AS q, list(CASE WHEN 2 * k >= n THEN 1 ELSE 0 END ORDER BY pos) AS bits FROM k),
+t AS (SELECT f.fp_id, {_isim('(m.n - 1)', '(m.s - f.card)', f'(m.q - 2 * {_ON} + f.card)')} AS comp_isim FROM c f, m)"""
+_TILE = f"""{_WHOLE},
+o AS (SELECT *, ntile({{}}) OVER (ORDER BY comp_isim, fp_id) AS stratum FROM t),
+x AS (SELECT stratum, arg_min(fp_id, (comp_isim, fp_id)) AS fp_id FROM o GROUP BY stratum)"""
+_SUM2 = "list_sum([z[1] + z[2] FOR z IN list_zip(a.ls, b.ls)])"
+_SQ2 = "list_sum([(z[1] + z[2]) * (z[1] + z[2]) FOR z IN list_zip(a.ls, b.ls)])"
+_D = f"""{_LS},
+own AS (SELECT f.label, 1 - {_jt('f', 'm')} AS d FROM c f JOIN m USING (label))"""
+
+
+def _accept_sql(criterion: str) -> str:
+    centre = "CASE WHEN 2 * (z[1] + z[2]) >= a.n + b.n THEN 1 ELSE 0 END"
+    head = f"""WITH {_LS},
+p AS (SELECT a.label AS i, b.label AS j, a.n AS old_n, b.n AS nom_n, a.n + b.n AS n, {_SUM2}::BIGINT AS s, {_SQ2}::BIGINT AS q,
+        list_sum([z[1] + z[2] + {centre} FOR z IN list_zip(a.ls, b.ls)])::BIGINT AS sc,
+        list_sum([(z[1] + z[2] + {centre}) * (z[1] + z[2] + {centre}) FOR z IN list_zip(a.ls, b.ls)])::BIGINT AS qc,
+        {_isim('a.n', 'a.s', 'a.q')} AS old_d, ((a.n + 1) * ({_isim('(a.n + 1)', 'a.sc', 'a.qc')}) - (a.n - 1) * ({_isim('a.n', 'a.s', 'a.q')})) / 2 AS old_r
+      FROM m a JOIN m b ON a.label < b.label),
+v AS (SELECT *, {_isim('n', 's', 'q')} AS d, {_RC} AS r, greatest(0.05 * (exp(-0.001 * old_n) - exp(-1.0)), 0.0) AS tol FROM p)
+SELECT i, j, """
+    return head + {
+        "radius": "r >= 0.33",
+        "diameter": "d >= 0.33",
+        "tolerance-diameter": "d >= 0.33 AND (old_n = 1 OR d >= old_d - tol)",
+        "tolerance-radius": "r >= 0.33 AND (old_n = 1 OR r >= old_r - tol)",
+        "tolerance-legacy": "d >= 0.33 AND (old_n = 1 OR nom_n <> 1 OR (d * n - old_d * (old_n - 1)) / 2 >= old_d - 0.05)",
+        "never-merge": "false",
+    }[criterion] + " AS accepted FROM v"
+
+
+_COUNTS = "SELECT count(*) AS members, count(DISTINCT vec_id) AS distinct_members, 0::BIGINT AS wrong FROM embeddings"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "fp_popcount": f"WITH {_FP} SELECT fp_id, card AS n_bits FROM c",
+        "fp_pack_words": f"WITH {_FP}, h AS (SELECT fp_id, list_sum([(CASE WHEN z[1] = 1 THEN 1::HUGEINT << (63 - z[2]::INT) ELSE 0::HUGEINT END) FOR z IN list_zip(bits, range(64))])::HUGEINT AS v FROM fp) SELECT fp_id, (CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END)::BIGINT AS word FROM h",
+        "fp_unpack_bits": f"WITH {_POS} SELECT fp_id, pos, bit FROM u",
+        "jt_pairwise": f"WITH {_FP} SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id < b.fp_id",
+        "jt_matrix": f"WITH {_FP} SELECT a.fp_id AS id_1, b.fp_id AS id_2, CASE WHEN a.fp_id = b.fp_id THEN 1.0 ELSE {_jt('a', 'b')} END AS jt FROM c a, c b WHERE a.label = 0 AND b.label = 0",
+        "jt_pairs_above_t": f"WITH {_FP} SELECT * FROM (SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id < b.fp_id) WHERE jt >= 0.5",
+        "jt_knn_top5": f"WITH {_FP}, p AS (SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id <> b.fp_id WHERE a.label = 0) SELECT * FROM (SELECT id_1, (row_number() OVER (PARTITION BY id_1 ORDER BY jt DESC, id_2))::INT AS rank, id_2, jt FROM p) WHERE rank <= 5",
+        "linear_sum_by_label": f"WITH {_POS} SELECT label, pos, k FROM k",
+        "centroid_by_label": f"WITH {_POS} SELECT label, pos, (CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END)::BIGINT AS bit FROM k",
+        "isim_all": f"WITH {_WHOLE} SELECT n, {_isim('n', 's', 'q')} AS isim FROM m",
+        "isim_by_label": f"WITH {_LS} SELECT label, n, {_isim('n', 's', 'q')} AS isim FROM m",
+        "radius_by_label": f"WITH {_LS}, v AS (SELECT label, n, {_isim('n', 's', 'q')} AS isim, {_RC} AS radius_complement FROM m) SELECT label, n, isim, 1 - isim AS diameter, radius_complement, 1 - radius_complement AS radius FROM v",
+        "compl_isim": f"WITH {_COMP} SELECT fp_id, label, comp_isim FROM t",
+        "medoid_by_label": f"WITH {_COMP} SELECT label, arg_min(fp_id, (CASE WHEN n < 3 THEN 0 ELSE comp_isim END, fp_id)) AS medoid_id FROM t GROUP BY label",
+        "most_dissimilar": f"""WITH {_LS}, one AS (SELECT label, arg_min(fp_id, (s, fp_id)) AS fp_1 FROM (SELECT f.label, f.fp_id, {_jt('f', 'm')} AS s FROM c f JOIN m USING (label)) GROUP BY label),
+two AS (SELECT f.label, one.fp_1, f.fp_id, {_jt('f', 'o')} AS s FROM c f JOIN one USING (label) JOIN c o ON o.fp_id = one.fp_1)
+SELECT label, fp_1, arg_min(fp_id, (s, fp_id)) AS fp_2 FROM two GROUP BY ALL""",
+        "stratified_sample": f"WITH {_TILE.format(20)} SELECT stratum::BIGINT AS stratum, fp_id FROM x",
+        "jt_std_estimate": f"WITH {_TILE.format('(SELECT greatest(count(*) // 1000, 50) FROM fp)')}, y AS (SELECT c.* FROM c JOIN x USING (fp_id)) SELECT round(stddev_pop({_jt('a', 'b')}), 9) AS jt_std FROM y a JOIN y b ON a.fp_id < b.fp_id",
+        "chi": f"""WITH {_D}, w AS (SELECT list(CASE WHEN 2 * k >= n THEN 1 ELSE 0 END ORDER BY pos) AS bits FROM (SELECT pos, sum(k) AS k, sum(n) AS n FROM k GROUP BY pos)),
+wc AS (SELECT bits, list_sum(bits)::BIGINT AS card FROM w),
+b AS (SELECT sum(m.n * (1 - {_jt('m', 'wc')}) * (1 - {_jt('m', 'wc')})) AS b, count(*) AS k, sum(m.n) AS n FROM m, wc)
+SELECT round(b * (n - k) / ((SELECT sum(d * d) FROM own) * (k - 1)), 9) AS chi FROM b""",
+        "chi_medoid": f"""WITH {_COMP}, e AS (SELECT label, arg_min(fp_id, (CASE WHEN n < 3 THEN 0 ELSE comp_isim END, fp_id)) AS fp_id FROM t GROUP BY label),
+o AS (SELECT c.*, m.n FROM e JOIN c USING (fp_id) JOIN m ON m.label = c.label),
+wi AS (SELECT sum((1 - {_jt('f', 'o')}) * (1 - {_jt('f', 'o')})) AS w FROM c f JOIN o USING (label)),
+w AS (SELECT list(CASE WHEN 2 * k >= n THEN 1 ELSE 0 END ORDER BY pos) AS bits FROM (SELECT pos, sum(k) AS k, sum(n) AS n FROM k GROUP BY pos)),
+wc AS (SELECT bits, list_sum(bits)::BIGINT AS card FROM w),
+b AS (SELECT sum(o.n * (1 - {_jt('o', 'wc')}) * (1 - {_jt('o', 'wc')})) AS b, count(*) AS k, sum(o.n) AS n FROM o, wc)
+SELECT round(b * (n - k) / ((SELECT w FROM wi) * (k - 1)), 9) AS chi FROM b""",
+        "dbi": f"""WITH {_D}, s AS (SELECT label, avg(d) AS s FROM own GROUP BY label),
+r AS (SELECT a.label, a.n, max((sa.s + sb.s) / (1 - {_jt('a', 'b')})) AS r FROM m a JOIN m b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY ALL)
+SELECT round(sum(r) / sum(n), 9) AS dbi FROM r""",
+        "dunn": f"""WITH {_LS}, g2 AS (SELECT least(min(1 - {_isim('(a.n + b.n)', _SUM2 + '::BIGINT', _SQ2 + '::BIGINT')}), 1.0) AS g FROM m a JOIN m b ON a.label < b.label),
+d AS (SELECT max({_isim('n', 's', 'q')}) AS d FROM m WHERE n > 1) SELECT g / CASE WHEN d = 0 THEN 1.0 ELSE d END AS dunn FROM g2, d""",
+        "cluster_size_stats": """WITH s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label)
+SELECT count(*) AS clusters, sum(size)::BIGINT AS rows, avg(size) AS mean, min(size) AS min, trunc(quantile_cont(size, 0.25))::BIGINT AS q25, trunc(quantile_cont(size, 0.5))::BIGINT AS q50, trunc(quantile_cont(size, 0.75))::BIGINT AS q75, max(size) AS max,
+  count(*) FILTER (size = 1) AS singletons, count(*) FILTER (size > 10) AS above_10, count(*) FILTER (size > 100) AS above_100 FROM s""",
+        "cluster_top20": "SELECT label::BIGINT AS label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM embeddings GROUP BY label ORDER BY rank LIMIT 20",
+        "cluster_analysis": f"WITH {_LS}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS rank, sum(n) OVER () AS total FROM m) SELECT rank, label::BIGINT AS label, n AS size, 100 * n / total::DOUBLE AS percent, {_isim('n', 's', 'q')} AS isim FROM r WHERE rank <= 5",
+        "nearest_centroid_assign": f"WITH {_LS}, p AS (SELECT f.fp_id, m.label, 1 - {_jt('f', 'm')} AS distance FROM c f, m), x AS (SELECT fp_id, arg_min(label, (distance, label)) AS label, min(distance) AS distance FROM p GROUP BY fp_id) SELECT * FROM x",
+        "centroid_distances": f"WITH {_LS} SELECT f.fp_id, m.label, 1 - {_jt('f', 'm')} AS distance FROM c f, m",
+        "reassign_top": f"""WITH {_LS}, top AS (SELECT label FROM m ORDER BY n DESC, label LIMIT 3),
+p AS (SELECT f.fp_id, m.label, 1 - {_jt('f', 'm')} AS distance FROM c f, m WHERE f.label IN (FROM top) AND m.label IN (FROM top)),
+x AS (SELECT fp_id, arg_min(label, (distance, label)) AS label FROM p GROUP BY fp_id)
+SELECT f.fp_id, coalesce(x.label, f.label) AS label FROM c f LEFT JOIN x USING (fp_id)""",
+        "doc_token_fp_isim_by_lang": f"""WITH t AS (SELECT DISTINCT doc_id, lang, ('0x' || substr(md5(tok), 1, 7))::BIGINT % 64 AS pos FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '\\s+')) AS tok FROM documents) WHERE tok <> ''),
+k AS (SELECT lang, pos, count(*) AS k FROM t GROUP BY ALL), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+g AS (SELECT n.lang, n.n, coalesce(sum(k), 0)::BIGINT AS s, coalesce(sum(k * k), 0)::BIGINT AS q FROM n LEFT JOIN k USING (lang) GROUP BY ALL) SELECT lang, n, {_isim('n', 's', 'q')} AS isim FROM g""",
+        "basket_fp_pairs": """WITH t AS (SELECT DISTINCT l_suppkey AS id, l_partkey % 64 AS pos FROM lineitem), n AS (SELECT id, count(*) AS card FROM t GROUP BY id),
+i AS (SELECT a.id AS id_1, b.id AS id_2, count(*) AS i FROM t a JOIN t b ON a.pos = b.pos AND a.id < b.id GROUP BY ALL)
+SELECT a.id AS id_1, b.id AS id_2, coalesce(i, 0)::DOUBLE / greatest(a.card + b.card - coalesce(i, 0), 1)::DOUBLE AS jt FROM n a JOIN n b ON a.id < b.id LEFT JOIN i ON i.id_1 = a.id AND i.id_2 = b.id""",
+        "event_profile_fp": "SELECT user_id AS fp_id, count(DISTINCT hour(ts)) AS n_bits FROM events GROUP BY user_id",
+        "file_offsets": "WITH g AS (SELECT vec_id // 100 AS file, count(*) AS n FROM embeddings GROUP BY 1) SELECT file, n, (sum(n) OVER (ORDER BY file) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY file))::BIGINT AS stop FROM g",
+        "fold_by_cluster": "SELECT vec_id AS fp_id, label::BIGINT AS label, (label % 5)::INT AS fold FROM embeddings",
+        "index_batches": "SELECT vec_id AS fp_id, vec_id // 64 AS batch FROM embeddings",
+        "bitbirch_fit": _COUNTS,
+        "bitbirch_refine": _COUNTS,
+        "bitbirch_recluster": _COUNTS,
+        "bitbirch_multiround": _COUNTS,
+    }
+    out["gather_by_index"] = out["fp_pack_words"] + " WHERE fp_id IN (SELECT unnest(range(3, 100, 7)))"
+    return out | {f"merge_accept_{c.replace('-', '_')}": _accept_sql(c) for c in CRITERIA}
