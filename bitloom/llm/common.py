@@ -36,9 +36,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, computed once and kept as a table in the shared folder.
+
+    It cuts the lineage and survives lost executors like checkpoint(), but the plan starts anew from
+    a plain scan: nothing that the optimizer had inferred about the old plan is carried along, which
+    loops would pile up on the driver.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -49,39 +56,27 @@ def ascii_lower(c: Column) -> Column:
 def union_components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b: long) as (id, component), component the smallest id reachable.
 
-    Every round each vertex points to its smallest neighbour in a fresh pseudo-random order, the
-    pointers are followed to their roots, and the edges between roots go on to the next round.
-    Only minima per vertex are aggregated (map-side combined), so a vertex that holds a third of
-    all edges is no burden, and the edge set shrinks geometrically.  Nothing reaches the driver
-    but one count a round.
+    Every vertex has a parent, at first its smallest neighbour or itself.  Each round hooks the
+    parent of a vertex, and the vertex itself, to the smallest grandparent next door and halves all
+    paths, until no grandparent changes: a logarithmic number of rounds in practice.  Only minima
+    per vertex are aggregated (map-side combined), so a vertex that holds a third of all edges is
+    no burden.  Nothing reaches the driver but a flag a round.
     """
-    maps: list[DataFrame] = []
-    rest = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    step = 0
-    while rest.limit(1).count():
-        step += 1
-        both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("v"))
-        # the smaller of itself and its smallest neighbour: a forest, edges lead to smaller ranks
-        point = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.when(F.col("m") < rank("a"), F.col("m.v")).otherwise(F.col("a")).alias("p")))
-        while True:  # pointer jumping: depth halves each time
-            up = point.select(F.col("a").alias("p"), F.col("p").alias("g"))
-            jumped = cut(point.join(up, "p").select("a", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
-            point, moved = jumped.select("a", "p"), jumped.where("moved").limit(1).count()
-            if not moved:
-                break
-        maps.append(point)
-        left = rest.join(point.select("a", F.col("p").alias("x")), "a").select("b", "x")
-        rest = cut(left.join(point.select(F.col("a").alias("b"), F.col("p").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    spark = edges.sparkSession
-    if not maps:
-        return spark.createDataFrame([], "id long, component long")
-    out = maps[0].select(F.col("a").alias("id"), F.col("p").alias("r"))
-    for m in maps[1:]:
-        out = out.join(m.select(F.col("a").alias("r"), "p"), "r", "left").select("id", F.coalesce("p", "r").alias("r"))
-    out = cut(out)
-    names = out.groupBy("r").agg(F.min("id").alias("component"))
-    return out.join(names, "r").select("id", "component")
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(both.distinct())
+    parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
+    up = lambda f: f.join(f.select(F.col("id").alias("p"), F.col("p").alias("g")), "p").select("id", "p", "g")
+    state = cut(up(cut(parent)))
+    while True:
+        near = both.join(state.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("near"))
+        seen = state.join(near.withColumnRenamed("a", "id"), "id").select("id", "p", "g", F.least("g", "near").alias("near"))
+        hooks = seen.select(F.inline(F.array(F.struct(F.col("p").alias("id"), F.col("near").alias("p")), F.struct(F.col("id"), F.col("near").alias("p")))))
+        parent = cut(hooks.groupBy("id").agg(F.min("p").alias("p")))
+        new = up(parent)
+        new = cut(new.join(state.select("id", F.col("g").alias("old")), "id").select("id", "p", "g", (F.col("g") != F.col("old")).alias("moved")))
+        state = new.select("id", "p", "g")
+        if not new.where("moved").limit(1).count():
+            return state.select("id", F.col("g").alias("component"))
 
 
 def bounded_batches(spark: SparkSession, bytes_per_batch: str = "16m") -> None:

@@ -30,7 +30,7 @@ BITS, SEED = 64, 42
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
 #: Rounds of pivots before the exact step.
-PIVOTS = 2
+PIVOTS = 1
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
