@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or one like it, that no column of df has (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would change other alphabets too)."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

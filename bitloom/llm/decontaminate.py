@@ -110,7 +110,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
     """The rows of docs that no item overlaps; all columns stay."""
     dirty = cut(overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("dirty_id")).distinct())
     few = dirty.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dirty) if few else dirty, docs[id_col].eqNullSafe(F.col("dirty_id")), "left_anti")
+    dirty = F.broadcast(dirty) if few else dirty
+    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["dirty_id"]), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -17,13 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, table
 
 #: Rows aimed at in one range of the order.
 RANGE_ROWS = 128
 #: Most sources whose table is broadcast; with more, it is joined by shuffling.
 BROADCAST_SOURCES = 20_000
 SEED = "mix-1"
+#: Stands for a null id.
+NULL_ID = -(1 << 63)
 
 
 def word_count(text: Column) -> Column:
@@ -121,12 +123,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with all their columns."""
+    own, h, n = fresh("mixed_id", docs), fresh("mixed_h", docs), fresh("mixed_n", docs)
     found = mix(docs, id_col, text_col, **options).where("taken > 0")
     # rows of one id and text are interchangeable, and taken together
-    found = found.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("mixed_id"), F.col("h").alias("mixed_h")).agg(F.sum(F.expr("taken div size")).alias("copies"), F.count(F.lit(1)).alias("n"))
-    rows = docs.withColumn("mixed_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("mixed_h", order_key(F.col(id_col), F.col(text_col)))
-    each = F.ceil(F.col("copies") / F.col("n")).cast("int")
-    return rows.join(found, ["mixed_id", "mixed_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    each = F.ceil(F.sum(F.expr("taken div size")) / F.count(F.lit(1))).cast("int").alias(n)
+    found = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias(own), F.col("h").alias(h)).agg(each)
+    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(h, order_key(F.col(id_col), F.col(text_col)))
+    return rows.join(found, [own, h]).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

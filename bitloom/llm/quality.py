@@ -263,7 +263,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     sums = met.select("shard", "ids", "n", "packed", "model").mapInPandas(score, "doc_id long, version long, ll long, n long, copies long, lang string")
     sums = sums.groupBy("doc_id", "version").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.min("lang").alias("lang"))
     # repeated rows were added up together; each gets its part back
-    sums = sums.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "version", "lang", F.expr("n div copies").alias("n"), (-F.col("ll") / UNIT / F.col("n")).alias("nll"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    sums = sums.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "version", "lang", F.expr("n div copies").alias("n"), F.try_divide(-F.col("ll") / UNIT, F.col("n")).alias("nll"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
     flags = ids.withColumn("trusted", F.lit(True))
     out = sums.join(F.broadcast(flags) if few else flags, "doc_id", "left")
     return out.select("doc_id", "version", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "n", "nll")
@@ -321,8 +321,8 @@ def filter_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     # a null-safe comparison would rule out a plain hash key; null ids stand as NULL_ID on both sides
     mine = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
     bad = bad.withColumn("bad_id", F.coalesce("bad_id", F.lit(NULL_ID)))
-    on = (mine == F.col("bad_id")) & (version(docs[text_col]) == F.col("bad_version"))
-    return docs.join(F.broadcast(bad) if few else bad, on, "left_anti")
+    bad = F.broadcast(bad) if few else bad
+    return docs.join(bad, (mine == bad["bad_id"]) & (version(docs[text_col]) == bad["bad_version"]), "left_anti")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

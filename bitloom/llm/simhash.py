@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table, union_components
+from .common import cut, fresh, ship, table, union_components
 
 BITS, SEED = 64, 42
 #: Stands for a null id.
@@ -179,12 +179,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Null ids count as one smallest id, so a row of null id stays only where all of its component are null.
     """
-    found = near_duplicates(docs, id_col, **options)
-    kept = found.select(F.coalesce(F.col("component_id"), F.lit(NULL_ID)).alias("kept_id")).distinct()
-    order = Window.partitionBy("kept_id").orderBy(*[c for c, t in docs.dtypes if t in ("string", "bigint", "int")])
-    rows = docs.withColumn("kept_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    first = rows.join(kept, "kept_id", "left_semi").withColumn("kept_n", F.row_number().over(order))
-    return first.where("kept_n = 1").select(*docs.columns)
+    own, n = fresh("kept_id", docs), fresh("kept_n", docs)
+    kept = near_duplicates(docs, id_col, **options).select(F.coalesce(F.col("component_id"), F.lit(NULL_ID)).alias(own)).distinct()
+    order = Window.partitionBy(own).orderBy(*[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int")])
+    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    first = rows.join(kept, own, "left_semi").withColumn(n, F.row_number().over(order))
+    return first.where(F.col(n) == 1).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
