@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from . import merges, tree
 from .merges import Accept
+from .order import cut, numbered
 from .tree import Entry, Tree, exploded, rebuild, regrouped
 
 #: Rows of a group that one tree is built over.
@@ -154,9 +155,11 @@ def fit_summaries(summaries: DataFrame, n_features: int, params: Params, order:
 def labelled(leaves: DataFrame) -> DataFrame:
     """+ label: rank by size, the largest is 1, equals in the order of (part, pos).
 
-    One row per cluster; sizes are ranked by a global sort, numbered through a count per size.
+    Only (part, pos, n) are sorted; the column sums and members stay where they are.
     """
-    return leaves.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n"), "part", "pos")).cast("long"))
+    leaves = cut(leaves)
+    rank = numbered(leaves.select("part", "pos", "n"), [F.desc("n"), F.asc("part"), F.asc("pos")], "label")
+    return leaves.join(rank.select("part", "pos", (F.col("label") + 1).alias("label")), ["part", "pos"])
 
 
 def assignments(clusters: DataFrame) -> DataFrame:
@@ -177,17 +180,6 @@ def cluster_centroids(clusters: DataFrame, n_features: int) -> DataFrame:
     return clusters.withColumn("words", B.pack(bits, n_features))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the folder that the session names for checkpoints."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitloom-"))
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Rounds:
     """How summaries are merged over rounds."""
@@ -227,7 +219,7 @@ def multiround(fps: DataFrame, n_features: int, params: Params = RUN, rounds: Ro
         return _rows(int(pdf["part"].iloc[0]), groups)
 
     rows = fps.select(F.col(part).cast("long").alias("part"), "fp_id", "words")
-    leaves = _cut(rows.groupBy("part").applyInPandas(build, LEAVES))
+    leaves = cut(rows.groupBy("part").applyInPandas(build, LEAVES))
     bf_id = (F.shiftleft(F.col("part"), 32) + F.col("pos")).alias("bf_id")
     member = leaves.select(bf_id, F.explode("ids").alias("fp_id"))
     merging = Params(params.threshold + rounds.threshold_change, params.branching, rounds.merge, rounds.tolerance)
@@ -236,11 +228,11 @@ def multiround(fps: DataFrame, n_features: int, params: Params = RUN, rounds: Ro
         pairs = summaries.groupBy("part", "dtype").count()  # a few rows for each part
         number = F.row_number().over(Window.orderBy("part", "dtype")) - 1
         batches = pairs.select("part", "dtype", F.floor(number / rounds.bin_size).cast("long").alias("batch"))
-        leaves = _cut(fit_summaries(summaries.join(batches, ["part", "dtype"]).withColumn("was", F.col("part")), n_features, merging, ["-dtype", "was", "pos"], part="batch"))
+        leaves = cut(fit_summaries(summaries.join(batches, ["part", "dtype"]).withColumn("was", F.col("part")), n_features, merging, ["-dtype", "was", "pos"], part="batch"))
         member = _regroup(member, leaves)
     summaries = leaves.select(bf_id, F.lit(0).alias("all"), "part", "pos", "dtype", "n", "ls").withColumn("was", F.col("part"))
     last = replace(merging, merge=rounds.final_merge or rounds.merge)
-    leaves = _cut(fit_summaries(summaries, n_features, last, ["was", "dtype", "pos"], part="all"))
+    leaves = cut(fit_summaries(summaries, n_features, last, ["was", "dtype", "pos"], part="all"))
     clusters = labelled(leaves)
     member = _regroup(member, leaves).join(clusters.select(bf_id, "label"), "bf_id").select("fp_id", "label")
     return clusters, member

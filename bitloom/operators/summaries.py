@@ -6,11 +6,12 @@ row per word (not per bit), 64 sums wide, with map-side partial aggregation; not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import isim as I
+from .order import numbered
 
 
 def _by(cols: list[str] | str | None) -> list[str]:
@@ -107,9 +108,14 @@ def stratified_sample(fps: DataFrame, n_features: int, strata: int) -> DataFrame
     rows = complementary_isims(fps, n_features).select("fp_id", "comp_isim")
     if strata == 0:
         return rows.select(F.lit(0).alias("stratum"), "fp_id").limit(0)
-    if rows.limit(strata).count() < strata:
-        raise ValueError(f"{strata} strata of fewer rows")
-    tile = rows.withColumn("stratum", F.ntile(strata).over(Window.orderBy("comp_isim", "fp_id")))
+    n = fps.count()
+    if n < strata:
+        raise ValueError(f"{strata} strata of {n} rows")
+    # the sizes of ntile, without its single task: the first n % strata have one row more
+    q, more = divmod(n, strata)
+    at = F.col("at")
+    stratum = F.when(at < more * (q + 1), F.floor(at / (q + 1))).otherwise(more + F.floor((at - more * (q + 1)) / q))
+    tile = numbered(rows, ["comp_isim", "fp_id"], "at").withColumn("stratum", (stratum + 1).cast("long"))
     return tile.groupBy("stratum").agg(F.min(F.struct("comp_isim", "fp_id"))["fp_id"].alias("fp_id"))
 
 
