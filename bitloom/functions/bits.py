@@ -25,7 +25,9 @@ def pack(bits: Column, n_features: int) -> Column:
 
 def unpack(words: Column, n_features: int) -> Column:
     """Words -> array of 0/1 of length n_features."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.getbit(F.get(words, F.floor(i / 64).cast("int")), (63 - i % 64).cast("int")).cast("int"))
+    # over words first, so that an expression standing for words is evaluated once
+    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda i: F.getbit(w, i).cast("int")))
+    return F.slice(F.flatten(each), 1, n_features)
 
 
 def sign_word(values: Column, n: int = 64) -> Column:

@@ -272,7 +272,8 @@ def global_clusters(clusters: DataFrame, n_features: int, k: int, method: str =
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    rows = cluster_centroids(clusters, n_features).select("label", array_to_vector(F.transform(B.unpack(F.col("words"), n_features), lambda b: b.cast("double"))).alias("features"))
+    bits = F.transform("ls", lambda k: F.when(2 * k >= F.col("n"), 1.0).otherwise(0.0))
+    rows = cut(clusters.select("label", bits.alias("bits"))).select("label", array_to_vector("bits").alias("features"))
     if method == "kmeans-normalized":
         rows = Normalizer(inputCol="features", outputCol="unit").transform(rows).select("label", F.col("unit").alias("features"))
     elif method != "kmeans":
