@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, ship, table
@@ -163,10 +163,16 @@ def _unpacked(data: bytes, n: int, columns: int) -> list[np.ndarray]:
     return [np.cumsum(np.ascontiguousarray(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for i in range(columns)]
 
 
+def salts(spark: SparkSession) -> int:
+    """Copies of each shard: about one (shard, copy) for each shuffle partition, so that the parts
+    of the corpus that meet a copy don't grow with the corpus."""
+    return min(4096, max(SALTS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """docs(doc_id, version, lang, text) -> shard, salt, ids, n, packed: trigram counts of chunks of
     documents, shard by shard, and as shard -1 each row's (doc_id, version) with its language."""
-    shard_of = _shard_of()
+    shard_of, copies = _shard_of(), salts(docs.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
@@ -186,7 +192,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     own = np.flatnonzero(shard == s)
                     if len(own):
                         here, place = np.unique(row[own], return_inverse=True)
-                        out.append((s, int(ids[here[0], 1] + number) % SALTS, ids[here].tobytes(), len(own), _pack(place, key[own], n[own])))
+                        out.append((s, int(ids[here[0], 1] + number) % copies, ids[here].tobytes(), len(own), _pack(place, key[own], n[own])))
                 yield pd.DataFrame(out, columns=["shard", "salt", "ids", "n", "packed"])
 
     return docs.mapInPandas(pack, "shard int, salt int, ids binary, n long, packed binary")
@@ -205,7 +211,7 @@ def _packed_model(model: DataFrame) -> DataFrame:
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "model": [pickle.dumps(tables)]})
 
     rows = model.groupBy("shard").applyInPandas(pack, "shard int, model binary")
-    return cut(rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "model"))
+    return cut(rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts(model.sparkSession) - 1))).alias("salt"), "model"))
 
 
 def log_probabilities(tables: dict[int, tuple[np.ndarray, np.ndarray]], keys: np.ndarray) -> np.ndarray:

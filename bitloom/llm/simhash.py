@@ -168,8 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     found = components(rows.select("fp").distinct(), tau)
     # smallest id of each fingerprint, then of each component: minima only, combined map-side
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, "fp")
-    named = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    # (both kept as tables: a join of plain scans is one that skew handling can split)
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, "fp"))
+    named = cut(least.groupBy("component").agg(F.min("least").alias("component_id")))
     by_fp = cut(least.select("fp", "component").join(named, "component").select("fp", "component_id"))
     return rows.join(by_fp, "fp")
 
