@@ -16,7 +16,6 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -209,8 +208,17 @@ def training_documents(n: int = 400, seed: int = 7) -> list[tuple[str, dict[str,
     return out
 
 
-@lru_cache(maxsize=1)
+_fitted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
 def weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fitted weights; fitted once, on the driver, and sent along with the functions that use them."""
+    if not _fitted:
+        _fitted.append(fit())
+    return _fitted[0]
+
+
+def fit() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token features x labels, neighbour potentials, skip potentials), by pseudo-likelihood.
 
     A token's label given its features and the true labels around it is a softmax; gradient ascent
@@ -297,6 +305,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind and start, then the field's.  Work per text is linear, whatever its length.
     """
     bounded_batches(docs.sparkSession)
+    weights()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
