@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, table
 
-DIMENSIONS = 1024
+DIMENSIONS = 4096
 NGRAM = 3
 #: Rules are inlined into the projection; more than this many belong into a join.
 MOST_RULES = 1000
@@ -71,7 +71,8 @@ def _slots(host: Column, path: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.char_length(s) - (NGRAM - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substr(s, i, F.lit(NGRAM))), F.lit(DIMENSIONS)).cast("int"))
 
-    return F.concat(grams(host, "h"), grams(ascii_lower(path), "p"))
+    # which number a page has says nothing, that there is one does
+    return F.concat(grams(host, "h"), grams(F.regexp_replace(ascii_lower(path), "[0-9]+", "0"), "p"))
 
 
 def train(labelled: DataFrame) -> list[float]:
