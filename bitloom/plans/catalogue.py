@@ -110,10 +110,10 @@ def queries() -> dict[str, Query]:
         "gather_by_index": lambda s, d: f(s, d).join(F.broadcast(s.range(3, 100, 7).withColumnRenamed("id", "fp_id")), "fp_id").select("fp_id", F.col("words")[0].alias("word")),
         "fold_by_cluster": lambda s, d: analysis.folds(_assigned(s, d), 5),
         "index_batches": lambda s, d: analysis.batches(f(s, d).select("fp_id"), "fp_id", 64),
-        "bitbirch_fit": _fitted(),
-        "bitbirch_refine": _fitted((cluster.Refine(2, "tolerance-diameter"),)),
-        "bitbirch_recluster": _fitted((cluster.Recluster(3, 0.02, seed=7, stop_early=True),)),
-        "bitbirch_multiround": _multiround,
+        "tree_fit": _fitted(),
+        "tree_refine": _fitted((cluster.Refine(2, "tolerance-diameter"),)),
+        "tree_recluster": _fitted((cluster.Recluster(3, 0.02, seed=7, stop_early=True),)),
+        "tree_multiround": _multiround,
     }
     return out | {f"merge_accept_{c.replace('-', '_')}": accept_pairs(c) for c in CRITERIA}
 
@@ -244,10 +244,10 @@ SELECT a.id AS id_1, b.id AS id_2, coalesce(i, 0)::DOUBLE / greatest(a.card + b.
         "file_offsets": "WITH g AS (SELECT vec_id // 100 AS file, count(*) AS n FROM embeddings GROUP BY 1) SELECT file, n, (sum(n) OVER (ORDER BY file) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY file))::BIGINT AS stop FROM g",
         "fold_by_cluster": "SELECT vec_id AS fp_id, label::BIGINT AS label, (label % 5)::INT AS fold FROM embeddings",
         "index_batches": "SELECT vec_id AS fp_id, vec_id // 64 AS batch FROM embeddings",
-        "bitbirch_fit": _COUNTS,
-        "bitbirch_refine": _COUNTS,
-        "bitbirch_recluster": _COUNTS,
-        "bitbirch_multiround": _COUNTS,
+        "tree_fit": _COUNTS,
+        "tree_refine": _COUNTS,
+        "tree_recluster": _COUNTS,
+        "tree_multiround": _COUNTS,
     }
     out["gather_by_index"] = out["fp_pack_words"] + " WHERE fp_id IN (SELECT unnest(range(3, 100, 7)))"
     return out | {f"merge_accept_{c.replace('-', '_')}": _accept_sql(c) for c in CRITERIA}
