@@ -6,8 +6,6 @@ last word left-aligned and filled with zeros.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +28,9 @@ def unpack(words: Column, n_features: int) -> Column:
     return F.slice(F.flatten(each), 1, n_features)
 
 
-def sign_word(values: Column, n: int = 64) -> Column:
-    """Fingerprint of the signs of up to 64 numbers: bit i is set where values[i] > 0, as one word."""
-    bits = [F.when(F.get(values, F.lit(i)) > 0, F.shiftleft(F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long")) for i in range(n)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def sign_word(column: str, n: int = 64) -> Column:
+    """Fingerprint of the signs of up to 64 numbers of an array column: bit i is set where its item i > 0, as one word."""
+    return F.expr(" | ".join(f"IF(get({column}, {i}) > 0, shiftleft(1L, {63 - i}), 0L)" for i in range(n)))
 
 
 def popcount(words: Column) -> Column:

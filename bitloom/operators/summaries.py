@@ -22,7 +22,7 @@ def word_sums(fps: DataFrame, by: list[str] | str | None = None) -> DataFrame:
     """by, w, n, k: for each word the array of its 64 column sums."""
     keys = _by(by)
     each = fps.select(*keys, F.posexplode("words").alias("w", "word"))
-    sums = [F.sum(F.getbit("word", F.lit(63 - i)).cast("long")).alias(f"k{i}") for i in range(64)]
+    sums = [F.expr(f"sum(CAST(getbit(word, {63 - i}) AS BIGINT)) AS k{i}") for i in range(64)]
     grouped = each.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"), *sums)
     return grouped.select(*keys, "w", "n", F.array(*[f"k{i}" for i in range(64)]).alias("k"))
 

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def embedding_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fp_id, label, words: signs of the 64 components, one word; the scan reads three columns."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("fp_id"), "label", F.array(B.sign_word(F.col("embedding"))).alias("words"))
+    return e.select(F.col("vec_id").alias("fp_id"), "label", F.array(B.sign_word("embedding")).alias("words"))
 
 
 def bit_of(token) -> F.Column:
