@@ -6,7 +6,8 @@ grouped by their nearest pivot.  Per cell a summary row keeps its size and its l
 distance to the pivot; from the summaries alone each query group gets an upper bound on the
 distance of its k-th neighbour, and only data blocks whose lower bound is not beyond it are sent to
 the group.  Vectors travel packed, a block of them in a row; each (query block, data block)
-meeting is solved by one matrix product in whole numbers and gives at most k rows a query.
+meeting is solved by one matrix product in whole numbers, and a task keeps the k best of each of its
+queries over all its meetings, so its output doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import bounded_batches, cut, ship, table
 
 #: Vectors in a packed block (queries, data), and most pivots.
 QUERY_BLOCK, DATA_BLOCK, MOST_PIVOTS = 1024, 2048, 64
+#: Queries whose best candidates a task keeps before it hands them on.
+HELD_QUERIES = 100_000
 #: Whole components of at least this size don't take part (their products would leave 64 bits).
 MOST = 1 << 24
 
@@ -83,6 +86,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: boo
     candidates all are returned; an empty side gives no rows.  Repeated ids in the data are
     candidates of their own; of repeated query ids the smallest vector asks.
     """
+    bounded_batches(data.sparkSession)
     data = cut(data)
     queries = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
     spark = data.sparkSession
@@ -115,34 +119,45 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: boo
 
     meet = sent.join(ds.select("block", F.col("ids").alias("d_ids"), F.col("m").alias("d_m")), "block")
     asked = qs.select(F.col("cell").alias("i"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    pairs = meet.join(asked, "i").select("q_ids", "q_m", "d_ids", "d_m")
+    pairs = meet.join(asked, "i").select("q_block", "q_ids", "q_m", "d_ids", "d_m")
+    nothing, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the k best so far of each query of this task, over all the data blocks it met
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for qi, ids, scores in held.values():
+                there = ids != last
+                yield pd.DataFrame({"query_id": np.repeat(qi, there.sum(axis=1)), "vec_id": ids[there], "score": scores[there]})
+            held.clear()
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 qi, di = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.d_ids, "<i8")
                 q, d = (np.frombuffer(m, "<i4").reshape(-1, dims) for m in (r.q_m, r.d_m))
                 order = np.argsort(di, kind="stable")  # then a stable sort by score leaves ties in id order
                 di, d = di[order], d[order]
+                _, ids, scores = held.setdefault(r.q_block, (qi, np.full((len(qi), k), last), np.full((len(qi), k), nothing)))
+                exact = float(np.abs(q).max()) * float(np.abs(d).max()) * dims < 2**53
                 for at in range(0, len(qi), 256):
                     own = q[at : at + 256]
-                    exact = float(np.abs(own).max()) * float(np.abs(d).max()) * dims < 2**53
                     s = (own.astype(float) @ d.T.astype(float)).astype(np.int64) if exact else own.astype(np.int64) @ d.T.astype(np.int64)
                     take = min(k, s.shape[1])
-                    ids, scores, asker = [], [], []
-                    for row, me in zip(s, qi[at : at + 256].tolist(), strict=True):
+                    for i, row in enumerate(s, at):
                         if exclude_same_id:  # below any product
-                            row[np.searchsorted(di, me) : np.searchsorted(di, me, "right")] = np.iinfo(np.int64).min
-                        edge = np.partition(row, len(row) - take)[len(row) - take]
-                        at_least = np.flatnonzero(row >= edge)
-                        best = at_least[np.argsort(-row[at_least], kind="stable")]
-                        if exclude_same_id:
-                            best = best[di[best] != me]
-                        best = best[:k]
-                        ids.append(di[best])
-                        scores.append(row[best])
-                        asker.append(np.full(len(best), me))
-                    yield pd.DataFrame({"query_id": np.concatenate(asker), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+                            row[np.searchsorted(di, qi[i]) : np.searchsorted(di, qi[i], "right")] = nothing
+                        edge = max(np.partition(row, len(row) - take)[len(row) - take], scores[i, -1], nothing + 1)
+                        new = np.flatnonzero(row >= edge)
+                        if len(new):
+                            new = new[np.argsort(-row[new], kind="stable")][:k]
+                            both_ids, both = np.concatenate([ids[i], di[new]]), np.concatenate([scores[i], row[new]])
+                            # what stands for nothing has no negative; it sorts last all the same
+                            best = np.lexsort((both_ids, -np.maximum(both, nothing + 1)))[:k]
+                            ids[i], scores[i] = both_ids[best], both[best]
+                if sum(len(x[0]) for x in held.values()) > HELD_QUERIES:
+                    yield from out()
+        yield from out()
 
     found = pairs.mapInPandas(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
