@@ -30,6 +30,8 @@ from .common import new_path, ship, table
 BLOCK_IDS = 1 << 19
 #: Word pieces kept by a worker between batches.
 CACHE = 900_000
+#: Letters below are letters to every version of Unicode.
+LATIN_END = chr(0x250)
 SCHEMA = "block long, width int, doc_ids binary, offsets binary, n_ids long, payload binary"
 
 
@@ -85,6 +87,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # bytes as the visible characters that byte-level models are made of
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.visible = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.byte_level = True
+        probe = ["a", "the", "Étre", "über", "anderwhithonre"]
+        self.byte_level = self._word_ids(probe) == self._ids([" " + p for p in probe])
         self.whole: dict[str, bytes] = {}  # pieces as they stand
         self.spaced: dict[str, bytes] = {}  # pieces without the space they begin with
 
@@ -109,8 +118,17 @@ class Encoder:
         lots = (pieces[at : at + 20_000] for at in range(0, len(pieces), 20_000))
         return [array("I", e.ids).tobytes() for lot in lots for e in self.tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Words of Latin letters after a space: a run of letters is one unit of the model, handed to it directly."""
+        split, see, space = self.tokenizer.model.tokenize, self.visible, self.visible[32]
+        return [array("I", [t.id for t in split(space + (w if w.isascii() else "".join([see[b] for b in w.encode()])))]).tobytes() for w in words]
+
     def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
         new = list(new)
+        if before and self.byte_level:
+            words = [p for p in new if p.isalpha() and (p.isascii() or max(p) < LATIN_END)]
+            known.update(zip(words, self._word_ids(words), strict=True))
+            new = [p for p in new if p not in known]
         known.update(zip(new, self._ids([before + p for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
