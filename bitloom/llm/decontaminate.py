@@ -1,7 +1,8 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds.
 
 A seed is a fixed mask over a window of words; the words under its 1s are hashed and the others
-are ignored, so a substituted word spoils only the windows that look at it.  Hashes of the
+are ignored, so a substituted word spoils only the windows that look at it.  The mask is short
+enough that every overlap within the tolerance has a window it doesn't spoil.  Hashes of the
 benchmark's windows and of the corpus' windows are joined, and each hit is verified along its
 diagonal: words of text and item are compared place by place, substitutions allowed.
 """
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: 1: the word counts, 0: it is ignored.  Fixed values.
-MASKS = ("1110100110111", "1101011000011101", "1111011101")
+#: 1: the word counts, 0: it is ignored.  Three equal words in a row stand in every stretch of WHOLE
+#: words or more of which AGREE are equal: n words less n / 4 others at most make n / 4 + 1 runs at
+#: most, which with two words at most each would be n <= 8.  No wider mask reaches all of them.
+MASKS = ("111",)
 #: Most benchmark windows (rows) whose hash table is broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
 #: Most contaminated ids that are broadcast when rows are filtered.
@@ -23,6 +26,8 @@ BROADCAST_IDS = 1_000_000
 LEAST_WORDS = 13
 #: ... of which this share agrees.
 AGREE = 0.75
+#: Items of fewer words must agree in all of them.
+WHOLE = 9
 NOT_WORD = r"[\s\p{Punct}]+"
 
 
@@ -42,7 +47,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     """key, item_id, at, words (of the item): one row per item, mask and place.
 
     Items shorter than a mask lack that mask; items shorter than every mask have one row for
-    their first word, and are found by it and compared whole (all words must agree).
+    their first word, and are found by it.
     """
     rows = benchmark.select(F.col(id_col).alias("item_id"), hashed_words(F.col(text_col)).alias("item")).where(F.size("item") > 0)
     shortest = min(map(len, masks))
@@ -57,7 +62,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """doc_id, item_id, start_word, n_words, n_match: each verified overlap of a text with an item.
 
     ``n_words`` are the words of the item that the text covers on that diagonal, trimmed to the
-    longest stretch whose agreement holds; ``n_match`` those that are equal.  Null and empty
+    longest stretch whose agreement holds (the first of several); ``n_match`` those that are equal.
+    Items of fewer than ``WHOLE`` words are compared whole (all words must agree).  Null and empty
     texts have none; repeated rows of a text and its id count once.
     """
     windows = benchmark_windows(benchmark, item_col, item_text_col, masks)
@@ -75,34 +81,46 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     # the diagonal: from the later of both beginnings to the earlier of both ends
     skip = F.greatest(F.lit(0), -begin)
     n = F.least(F.size("item") - skip, F.size("h") - F.greatest(begin, F.lit(0)))
-    hits = hits.select("doc_id", "item_id", begin.alias("begin"), F.size("item").alias("item_words"), F.zip_with(F.slice("item", skip + 1, n), F.slice("h", F.greatest(begin, F.lit(0)) + 1, n), lambda a, b: a == b).alias("same"))
+    # the stage that explodes and joins gives these short pieces, not whole texts: it buffers all rows
+    # of a text.  The number keeps the filter behind it out of the join.
+    pieces = F.slice("item", skip + 1, n).alias("theirs"), F.slice("h", F.greatest(begin, F.lit(0)) + 1, n).alias("own")
+    hits = hits.select("doc_id", "item_id", begin.alias("begin"), F.size("item").alias("item_words"), *pieces, F.monotonically_increasing_id().alias("number"))
+    # most hits are a few words alike: they go before the shuffle
+    same = F.zip_with("theirs", "own", lambda a, b: a == b)
+    least = F.ceil(agree * F.least(F.lit(least_words), F.col("item_words")) - 1e-9)
+    hits = hits.where((F.col("number") >= 0) & (F.size("own") >= least))
+    hits = hits.where(F.size(F.filter(same, lambda x: x)) >= least).withColumn("same", same)
     hits = hits.groupBy("doc_id", "item_id", "begin").agg(F.any_value("item_words").alias("item_words"), F.any_value("same").alias("same"))
-    # agreement of the best stretch: +1 for an equal word, a penalty for another, longest positive run (one pass)
-    lose = agree / (1 - agree)
-    step = F.aggregate(
-        "same",
-        F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in (("i", 0, "int"), ("s", 0.0, "double"), ("b", 0, "int"), ("m", 0, "int"), ("bs", 0.0, "double"), ("bb", 0, "int"), ("be", 0, "int"), ("bm", 0, "int"))]),
-        lambda a, x: _extend(a, x, lose),
-    )
-    best = hits.select("doc_id", "item_id", "begin", "item_words", step.alias("r"))
-    found = best.select("doc_id", "item_id", (F.greatest("begin", F.lit(0)) + F.col("r.bb")).alias("start_word"), (F.col("r.be") - F.col("r.bb")).alias("n_words"), F.col("r.bm").alias("n_match"), "item_words")
-    enough = (F.col("n_words") >= F.least(F.lit(least_words), F.col("item_words"))) & (F.col("n_match") >= agree * F.col("n_words"))
-    short = F.col("item_words") < min(map(len, masks))
+    hits = hits.withColumn("c", _running("same"))
+    hits = hits.withColumn("level", F.transform("c", lambda c, i: c - agree * i))
+    low = F.aggregate("level", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.least(x, F.get(a, F.size(a) - 1)))))
+    high = F.aggregate(F.reverse("level"), F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.greatest(x, F.get(a, F.size(a) - 1)))))
+    hits = hits.withColumn("low", low).withColumn("high", F.reverse(high))
+    longest = F.aggregate(F.sequence(F.lit(1), 2 * F.size("c")), F.struct(*[F.lit(0).alias(k) for k in ("i", "j", "b", "e")]), lambda a, _: _longer(a))
+    hits = hits.withColumn("l", longest)
+    step = F.struct(F.col("l.b").alias("bb"), F.col("l.e").alias("be"), (F.get("c", F.col("l.e")) - F.get("c", F.col("l.b"))).alias("bm"))
+    best = hits.select("doc_id", "item_id", "begin", "item_words", step.alias("r"), F.monotonically_increasing_id().alias("number"))  # again, lest the filter repeats all of the above
+    found = best.select("doc_id", "item_id", (F.greatest("begin", F.lit(0)) + F.col("r.bb")).alias("start_word"), (F.col("r.be") - F.col("r.bb")).alias("n_words"), F.col("r.bm").alias("n_match"), "item_words", "number")
+    enough = (F.col("number") >= 0) & (F.col("n_words") >= F.least(F.lit(least_words), F.col("item_words"))) & (F.col("n_match") >= agree * F.col("n_words"))
+    short = F.col("item_words") < WHOLE
     enough = enough & (~short | ((F.col("n_match") == F.col("item_words"))))
     return found.where(enough).select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("start_word", "n_words", "n_match")])
 
 
-def _extend(a: Column, x: Column, lose: float) -> Column:
-    """Best local run so far: restart where the running score is spent, keep the best end."""
-    fresh = a["s"] <= 0
-    s = F.when(fresh, F.lit(0.0)).otherwise(a["s"]) + F.when(x, 1.0).otherwise(-lose)
-    b = F.when(fresh, a["i"]).otherwise(a["b"])
-    m = F.when(fresh, F.lit(0)).otherwise(a["m"]) + x.cast("int")
-    better = s > a["bs"]
+def _running(same: str) -> Column:
+    """Equal words before each place, and in all."""
+    return F.aggregate(same, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + x.cast("int"))))
+
+
+def _longer(a: Column) -> Column:
+    """One step to the longest stretch from b to e whose level doesn't fall: i and j only go up,
+    with ``low`` the least level up to i and ``high`` the greatest from j on."""
+    fits = F.get("low", a["i"]) <= F.get("high", a["j"]) + 1e-9
+    better = fits & (a["j"] - a["i"] > a["e"] - a["b"])
+    up = F.coalesce((a["j"] < F.size("c")) & ~fits, F.lit(False))
     return F.struct(
-        (a["i"] + 1).alias("i"), s.alias("s"), b.alias("b"), m.alias("m"),
-        F.when(better, s).otherwise(a["bs"]).alias("bs"), F.when(better, b).otherwise(a["bb"]).alias("bb"),
-        F.when(better, a["i"] + 1).otherwise(a["be"]).alias("be"), F.when(better, m).otherwise(a["bm"]).alias("bm"),
+        (a["i"] + up.cast("int")).alias("i"), (a["j"] + F.coalesce(fits, F.lit(False)).cast("int")).alias("j"),
+        F.when(better, a["i"]).otherwise(a["b"]).alias("b"), F.when(better, a["j"]).otherwise(a["e"]).alias("e"),
     )
 
 

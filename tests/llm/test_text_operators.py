@@ -1,6 +1,7 @@
 """The operators on texts against brute force, and their edge cases."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -342,6 +343,33 @@ def test_decontamination(spark):
     assert decontaminate.clean(frame(spark, ODD, [None, *range(1, len(ODD))]), bench).count() == len(ODD)
 
 
+def brute_stretch(same):
+    """Length and equal words of the longest stretch of which 75 % are equal."""
+    return max(((e - b, -b, sum(same[b:e])) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if 4 * sum(same[b:e]) >= 3 * (e - b)), default=(0, 0, 0))
+
+
+def test_decontamination_within_tolerance(spark):
+    r = random.Random(14)
+    texts, same, item_of = [], [], []
+    items = [[f"w{i}x{k}" for k in range(n)] for i, n in enumerate((9, 10, 13, 15, 16, 20, 30))]
+    for i, item in enumerate(items):
+        n = len(item)
+        spoilt = [c for d in range(5) for c in itertools.combinations(range(n), d)] if n <= 13 else [(k,) for k in range(n)]
+        spoilt += [tuple(r.sample(range(n), r.randint(1, n // 3))) for _ in range(200)]
+        for c in spoilt:
+            texts.append("before " + " ".join("zzz" if k in c else w for k, w in enumerate(item)) + " after")
+            same.append([k not in c for k in range(n)])
+            item_of.append(i)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.start_word, x.n_words, x.n_match) for x in decontaminate.overlaps(frame(spark, texts), bench).collect()}
+    want = set()
+    for d, (s, i) in enumerate(zip(same, item_of, strict=True)):
+        n, b, m = brute_stretch(s)
+        if n >= min(13, len(items[i])):
+            want.add((d, i, 1 - b, n, m))
+    assert got == want and len(want) > 1000
+
+
 # --- licences ------------------------------------------------------------------------------------
 
 
