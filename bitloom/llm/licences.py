@@ -1,7 +1,7 @@
 """Licence scan by a positional rare-token index.
 
 Each template keeps its rarest words (by document frequency over the whole corpus) as postings
-with positions.  A text's own rarest licence words are looked up, every place where one stands
+with positions.  All index words of a text are looked up, every place where one stands
 proposes where the template would begin, the other postings are intersected by relative position,
 and a template counts when enough of them agree and its mandatory phrases stand in the window.
 Texts without index words (nearly all) leave after one set intersection; nothing is shuffled but
@@ -34,8 +34,6 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-#: Words of a text that are looked up, rarest first.
-LOOKED_UP = 16
 #: Share of a template's postings, and of its words, that must agree in relative position.
 AGREE = 0.6
 
@@ -87,7 +85,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     seen = F.array_intersect(F.split("flat", " "), F.array(*[F.lit(w) for w in order]))
     rows = rows.withColumn("seen", seen)
     ranked = F.array_sort(F.transform("seen", lambda w: F.array_position(F.array(*[F.lit(x) for x in order]), w).cast("int")))
-    rows = rows.withColumn("top", F.slice(ranked, 1, LOOKED_UP))
+    rows = rows.withColumn("top", ranked)
     maybe = F.size("top") >= 2
     rows = rows.withColumn("words", F.when(maybe | F.col("base_hit"), F.split("flat", " ")).otherwise(F.array().cast("array<string>"))).withColumn("maybe", maybe)
 
