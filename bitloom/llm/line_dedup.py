@@ -1,13 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-A document is a sequence of line hashes.  Lines that several documents hold, and that are rare or
-long enough to tell, bring documents together: each later holder is paired with the line's first
-holder.  That is at most one pair for each held line, however many documents hold it, and every
-later occurrence has the earlier document it repeats as partner.  Each pair is aligned with
-patience diff (lines unique on both sides, longest increasing run, recursion between), and blocks
-of consecutive aligned lines that are long enough are deleted from the later document.
-
-The first holder of a line is never the later one for it, so one occurrence of everything stays.
+A document is a sequence of line hashes.  Groups of consecutive lines, the fewest that reach the
+words of a deleted block from each line on and back from each line, bring documents together: each
+later holder of a group is paired with the group's first holder, however many documents hold it.
+Every line of a repeated block lies in a group within it, so every later occurrence has an
+earlier document it repeats as partner.  Each pair is aligned with patience diff (lines unique on
+both sides, longest increasing run, recursion between), and blocks of consecutive aligned lines
+that are long enough are deleted from the later document.
+
+The first holder of a group is never the later one for it, so one occurrence of everything stays.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, ship, table
 
-#: A line brings documents together if at most so many hold it ...
-RARE = 16
-#: ... or if it has so many words.
-LONG = 8
 #: Fewest words of an aligned block that is deleted.
 BLOCK_WORDS = 8
+#: Base of the groups' hashes.
+ODD = 0x9E3779B97F4A7C15
 
 
 def matching_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -84,6 +83,22 @@ def matching_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def groups(words: np.ndarray, edges: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line behind the last) of the shortest groups of block_words from each line on and back from each.
+
+    ``words``: of the lines of several documents, one after another; ``edges``: where each begins, and the end.
+    Groups begin and end with lines that have words.
+    """
+    before = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero(words > 0)
+    doc = np.searchsorted(edges, at, "right")
+    stop = np.searchsorted(before, before[at] + block_words)
+    start = np.searchsorted(before, before[at + 1] - block_words, "right") - 1
+    on, back = stop <= edges[np.minimum(doc, len(edges) - 1)], start >= edges[doc - 1]
+    both = np.unique(np.concatenate([np.column_stack([at, stop])[on], np.column_stack([start, at + 1])[back]]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version (hash of the text, for repeated ids), hs (line hashes), ws (words of each line)."""
     text = F.col(text_col).cast("string")
@@ -92,16 +107,30 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.select("doc_id", "version", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws"))
 
 
-def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG, block_words: int = BLOCK_WORDS) -> DataFrame:
+def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, version, blocks: array of (start, n, partner, partner_start), lines from 0; documents with blocks only.
 
     Of two documents the one with the greater (id, version) is the later one.
     """
     seqs = cut(sequences(docs, id_col, text_col).distinct())
-    each = seqs.select(F.struct("doc_id", "version").alias("d"), F.explode(F.array_distinct(F.arrays_zip("hs", "ws"))).alias("l"))
-    each = each.select("d", F.col("l.hs").alias("h"), F.col("l.ws").alias("w")).where("w > 0")
-    held = each.groupBy("h").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
-    held = cut(held.where((F.col("n") > 1) & ((F.col("n") <= rare) | (F.col("w") >= long))).select("h", "first"))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hs, ws = (np.concatenate([np.zeros(0, np.int64), *pdf[c]]).astype(np.int64) for c in ("hs", "ws"))
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in pdf["hs"]])]).astype(np.int64)
+            start, stop = groups(ws, edges, block_words)
+            # sums of hashes times powers of an odd number, brought back to the group's start: equal groups
+            # have equal keys, others hardly ever (they would only be compared in vain)
+            power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(hs), x, np.uint64)]))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hs.view(np.uint64) * power(ODD)[:-1])])
+            key = (sums[stop] - sums[start]) * power(pow(ODD, -1, 1 << 64))[start]
+            doc = np.searchsorted(edges, start, "right") - 1
+            one = pd.DataFrame({"doc": doc, "h": key.view(np.int64)}).drop_duplicates()
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[one["doc"]], "version": pdf["version"].to_numpy()[one["doc"]], "h": one["h"]})
+
+    each = cut(seqs.mapInPandas(keys, "doc_id long, version long, h long")).select(F.struct("doc_id", "version").alias("d"), "h")
+    held = each.groupBy("h").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n"))
+    held = cut(held.where("n > 1").select("h", "first"))
     pairs = each.join(held, "h").where(F.col("d") != F.col("first")).select(F.col("d.doc_id").alias("doc_id"), F.col("d.version").alias("version"), F.col("first.doc_id").alias("p_id"), F.col("first.version").alias("p_version")).distinct()
     pairs = cut(pairs)
     a = pairs.join(seqs, ["doc_id", "version"])
