@@ -6,7 +6,8 @@ later holder of a group is paired with the group's first holder, however many do
 Every line of a repeated block lies in a group within it, so every later occurrence has an
 earlier document it repeats as partner.  Each pair is aligned with patience diff (lines unique on
 both sides, longest increasing run, recursion between), and blocks of consecutive aligned lines
-that are long enough are deleted from the later document.
+that are long enough are deleted from the later document.  What the alignment leaves (lines that
+are unique on neither side, further or moved occurrences) goes by the pair's common groups.
 
 The first holder of a group is never the later one for it, so one occurrence of everything stays.
 """
@@ -99,6 +100,31 @@ def groups(words: np.ndarray, edges: np.ndarray, block_words: int) -> tuple[np.n
     return both[:, 0], both[:, 1]
 
 
+def repeated_blocks(a: list[int], a_words: np.ndarray, b: list[int], b_words: np.ndarray, block_words: int) -> list[tuple[int, int, int]]:
+    """Blocks of a that stand in b, (start in a, start in b, length): those of the alignment, then those
+    that the groups of both find for the lines left.  The blocks cover every line of a that lies in
+    a run of block_words or more that stands in b."""
+    before = np.concatenate([[0], np.cumsum(a_words)])
+    out = [(x, y, n) for x, y, n in matching_blocks(a, b) if before[x + n] - before[x] >= block_words]
+    gone = np.zeros(len(a), bool)
+    for x, _, n in out:
+        gone[x : x + n] = True
+    if gone.all():
+        return out
+    first: dict[tuple[int, ...], int] = {}
+    for s, e in zip(*(g.tolist() for g in groups(b_words, np.array([0, len(b)]), block_words)), strict=True):
+        first.setdefault(tuple(b[s:e]), s)
+    more: list[tuple[int, int, int]] = []
+    for s, e in zip(*(g.tolist() for g in groups(a_words, np.array([0, len(a)]), block_words)), strict=True):
+        if not gone[s:e].all() and (y := first.get(tuple(a[s:e]))) is not None:
+            if more and more[-1][0] - more[-1][1] == s - y and s <= more[-1][0] + more[-1][2]:
+                x, z, n = more.pop()
+                more.append((x, z, max(n, e - x)))
+            else:
+                more.append((s, y, e - s))
+    return out + more
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version (hash of the text, for repeated ids), hs (line hashes), ws (words of each line)."""
     text = F.col(text_col).cast("string")
@@ -134,16 +160,14 @@ def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = each.join(held, "h").where(F.col("d") != F.col("first")).select(F.col("d.doc_id").alias("doc_id"), F.col("d.version").alias("version"), F.col("first.doc_id").alias("p_id"), F.col("first.version").alias("p_version")).distinct()
     pairs = cut(pairs)
     a = pairs.join(seqs, ["doc_id", "version"])
-    b = seqs.select(F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"), F.col("hs").alias("p_hs"))
+    b = seqs.select(F.col("doc_id").alias("p_id"), F.col("version").alias("p_version"), F.col("hs").alias("p_hs"), F.col("ws").alias("p_ws"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                words = np.concatenate([[0], np.cumsum(r.ws)])
-                for x, y, n in matching_blocks(r.hs.tolist(), r.p_hs.tolist()):
-                    if words[x + n] - words[x] >= block_words:
-                        out.append((r.doc_id, r.version, x, n, r.p_id, y))
+                for x, y, n in repeated_blocks(r.hs.tolist(), r.ws, r.p_hs.tolist(), r.p_ws, block_words):
+                    out.append((r.doc_id, r.version, x, n, r.p_id, y))
             yield pd.DataFrame(out, columns=["doc_id", "version", "start", "n", "partner", "partner_start"])
 
     found = a.join(b, ["p_id", "p_version"]).mapInPandas(align, "doc_id long, version long, start int, n int, partner long, partner_start int")
