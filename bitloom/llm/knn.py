@@ -25,19 +25,24 @@ from .common import bounded_batches, cut, ship, table
 QUERY_BLOCK, DATA_BLOCK, MOST_PIVOTS = 1024, 2048, 64
 #: Queries whose best candidates a task keeps before it hands them on.
 HELD_QUERIES = 100_000
-#: Whole components of at least this size don't take part (their products would leave 64 bits).
+#: Vectors with whole components of at least this size are wide: they go the way of Python's integers.
 MOST = 1 << 24
+#: Vectors in a block there, and what makes scores positive (products of doubles' whole parts are less).
+WIDE_BLOCK, OFFSET = 256, 1 << 2200
 
 
 def whole_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id, v (array<long>): floor(scale * x) of each component as double.
+    """vec_id, v (array<long>): floor(scale * x) of each component as double, and wide (array<double>).
 
-    Left out: null ids and vectors, empty vectors, vectors with a null, non-finite or overlarge
-    component.  Vectors of several lengths count as filled up with zeros.
+    A vector with a component beyond MOST has null v and stands as ``wide``, scaled; others have null
+    wide.  Left out: null ids and vectors, empty vectors, vectors with a component that is null or,
+    scaled, no finite double.  Vectors of several lengths count as filled up with zeros.
     """
-    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    fine = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < MOST / scale), F.lit(False)))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fine).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    x = F.transform(F.col(vector_col), lambda c: c.cast("double") * float(scale))
+    fine = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    narrow = F.forall("x", lambda c: F.abs(c) < float(MOST))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fine)
+    return rows.select("vec_id", F.when(narrow, F.transform("x", lambda c: F.floor(c).cast("long"))).alias("v"), F.when(~narrow, F.col("x")).alias("wide"))
 
 
 def _as_matrix(vs, dims: int) -> np.ndarray:
@@ -82,10 +87,66 @@ def _packed(rows: DataFrame, pivots: np.ndarray, dims: int, top: int, block: int
 def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k highest inner products with the data.
 
-    Inputs are vec_id, v (array<long>).  Ties go to the smaller vec_id; with fewer than k
-    candidates all are returned; an empty side gives no rows.  Repeated ids in the data are
-    candidates of their own; of repeated query ids the smallest vector asks.
+    Inputs are vec_id, v (array<long>) and, where v is null, wide (array<double>).  Ties go to the
+    smaller vec_id; with fewer than k candidates all are returned; an empty side gives no rows.
+    Repeated ids in the data are candidates of their own; of repeated query ids the smallest vector
+    asks.  Ranks are exact for wide vectors too; a score that 64 bits don't hold is null.
     """
+    if "wide" not in data.columns or not data.where("wide IS NOT NULL").union(queries.where("wide IS NOT NULL")).limit(1).count():
+        return _packed_top_k(queries.select("vec_id", "v"), data.select("vec_id", "v"), k, exclude_same_id)
+    data = cut(data)
+    whole = F.coalesce("wide", F.col("v").cast("array<double>"))
+    queries = cut(queries.groupBy("vec_id").agg(F.min(F.struct(whole.alias("x"), "v", "wide")).alias("q")).select("vec_id", "q.v", "q.wide"))
+    narrow = lambda df: df.where("wide IS NULL").select("vec_id", "v")
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(key=[_key(int(s)) for s in pdf["score"]])
+
+    schema = "query_id long, vec_id long, score long, key string"
+    found = _packed_top_k(narrow(queries), narrow(data), k, exclude_same_id).select("query_id", "vec_id", "score").mapInPandas(keyed, schema)
+    met = _blocks(narrow(queries).withColumn("wide", F.lit(None).cast("array<double>")), "q").crossJoin(_blocks(data.where("wide IS NOT NULL"), "d"))
+    met = met.unionByName(_blocks(queries.where("wide IS NOT NULL"), "q").crossJoin(_blocks(data, "d")))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pickle
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ds, out = list(zip(*pickle.loads(r.d), strict=True)), []
+                for qi, q in pickle.loads(r.q):
+                    # vectors of several lengths: what one lacks is zero
+                    all_ = [(-sum(a * b for a, b in zip(q, d)), i) for i, d in zip(*ds, strict=True) if not (exclude_same_id and i == qi)]
+                    out += [(qi, i, -s if -(1 << 63) <= -s < 1 << 63 else None, _key(-s)) for s, i in sorted(all_)[:k]]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "key"]).astype({"score": "Int64"})
+
+    found = found.unionByName(met.select("q", "d").mapInPandas(solve, schema))
+    best = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _key(score: int) -> str:
+    """Text that sorts as the scores do."""
+    return format(score + OFFSET, "0552x")
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Pickled lists of (id, vector of Python integers)."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import math
+        import pickle
+
+        for pdf in batches:
+            each = [(int(i), [int(c) for c in v] if w is None else [math.floor(c) for c in w]) for i, v, w in zip(pdf["vec_id"], pdf["v"], pdf["wide"], strict=True)]
+            for at in range(0, len(each), WIDE_BLOCK):
+                yield pd.DataFrame({name: [pickle.dumps(each[at : at + WIDE_BLOCK])]})
+
+    return cut(rows.select("vec_id", "v", "wide").mapInPandas(pack, f"{name} binary"))
+
+
+def _packed_top_k(queries: DataFrame, data: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
+    """top_k of vec_id, v alone."""
     bounded_batches(data.sparkSession)
     data = cut(data)
     queries = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
