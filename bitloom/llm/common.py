@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -21,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitloom-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="bitloom-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,6 +53,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("cut-"):
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The frame, marked for broadcast only if it has at most ``rows`` (narrow) rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """The name, or one like it, that no column of df has (whatever its case)."""
     taken = {c.lower() for c in df.columns}
@@ -74,7 +93,9 @@ def union_components(edges: DataFrame) -> DataFrame:
     both = cut(both.distinct())
     parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
     up = lambda f: f.join(f.select(F.col("id").alias("p"), F.col("p").alias("g")), "p").select("id", "p", "g")
-    state = cut(up(cut(parent)))
+    first = cut(parent)
+    state = cut(up(first))
+    discard(first)
     while True:
         near = both.join(state.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("near"))
         seen = state.join(near.withColumnRenamed("a", "id"), "id").select("id", "p", "g", F.least("g", "near").alias("near"))
@@ -82,14 +103,22 @@ def union_components(edges: DataFrame) -> DataFrame:
         parent = cut(hooks.groupBy("id").agg(F.min("p").alias("p")))
         new = up(parent)
         new = cut(new.join(state.select("id", F.col("g").alias("old")), "id").select("id", "p", "g", (F.col("g") != F.col("old")).alias("moved")))
+        discard(parent, state)
         state = new.select("id", "p", "g")
         if not new.where("moved").limit(1).count():
+            discard(both)
             return state.select("id", F.col("g").alias("component"))
 
 
-def bounded_batches(spark: SparkSession, bytes_per_batch: str = "16m") -> None:
-    """Batches to Python workers end by size too, not by rows alone: texts and packed rows can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_per_batch)
+def bounded_batches(spark: SparkSession, bytes_per_batch: int = 16 << 20) -> None:
+    """Batches to Python workers end by size too, not by rows alone: texts and packed rows can be long.
+
+    The setting holds from here on, as plans run later than they are made; a smaller one of the caller's stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).removesuffix("b"))
+    if not 0 < now <= bytes_per_batch:
+        spark.conf.set(name, str(bytes_per_batch))
 
 
 def ship(module: str) -> None:

@@ -8,14 +8,18 @@ say which of them must be equal; those sets of equal segments are the join keys.
 under a key must then pass the chain test, and last the full distance.
 
 Only distinct fingerprints are joined.  Components need connectivity, not pairs, so it comes in
-two steps.  First every fingerprint is compared with a few pivots of each of its buckets (linear,
+two steps.  First every fingerprint is compared with the pivot of each of a few coarse buckets (linear,
 whatever the bucket's size).  Then only fingerprints of different components are compared, exactly
 and without limits: in each bucket all but those of its commonest component against all others.
 Hot buckets are one component after the first step and cost nothing in the second.
+
+``near_duplicates`` links by fingerprints alone; ``similar_components`` and ``keep_one`` hold every
+candidate pair's shingles against each other before they link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,24 +28,45 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, ship, table, union_components
+from .common import bounded_batches, cut, fresh, ship, table, union_components
 
 BITS, SEED = 64, 42
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
-#: Rounds of pivots before the exact step.
-PIVOTS = 1
+#: Rounds of pivots before the exact step, and their keys (segments that must be equal, one at a time).
+PIVOTS, FAMILY_KEYS = 1, 4
+#: Fingerprints that share a key by chance, more or less.
+STRANGERS = 64
+#: Most nodes whose ids are broadcast when texts are fetched; with more, the join shuffles.
+BROADCAST_IDS = 1_000_000
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 500_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def normal_words(text: str | None) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z lower-cased."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
+    return data.replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()
+
+
+def majority_bits(*hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are 1 where over half of all hashes have a 1; 0 without hashes."""
+    n, over = 0, np.zeros(BITS, np.int64)
+    for all_ in hashes:
+        for at in range(0, len(all_), 1 << 16):  # long texts in pieces
+            h = all_[at : at + (1 << 16)]
+            n += len(h)
+            over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * over > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """SimHash (as a signed 64-bit number) of the word shingles of a text, repeats included.
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased.  Fewer words than a
-    shingle: the whole sequence is the one shingle; no words (or null): 0.
+    Fewer words than a shingle: the whole sequence is the one shingle; no words (or null): 0.
     """
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
-    words = data.replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()
+    words = normal_words(text)
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -50,13 +75,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = (ends[:-1] + 1)[: len(words) - shingle]
     starts, stops = [0, *first.tolist()], ends[shingle - 1 :].tolist()
-    n, over = len(stops), np.zeros(BITS, np.int64)
     view = memoryview(joined)
-    for at in range(0, n, 1 << 16):  # long texts in pieces
-        h = np.array([digest(view[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], np.uint64)
-        over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * over > n).astype(np.uint8), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    pieces = range(0, len(stops), 1 << 16)
+    return majority_bits(*(np.array([digest(view[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], np.uint64) for at in pieces))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -116,75 +137,204 @@ def _chain_test(x: Column, m: int, tau: int) -> Column:
     return out
 
 
-def ring_for(n: int) -> tuple[int, int]:
-    """(segments, chain prefix that makes the keys): finer keys for more fingerprints, so that the
-    strangers met under keys stay a few for each.  Any choice gives the same links."""
-    return (6, 4) if n < 1 << 25 else (8, 5)
+def ring_for(n: int, tau: int = 4) -> tuple[int, int]:
+    """(segments, chain prefix that makes the keys): so many equal segments that no more than some
+    ``STRANGERS`` share a key by chance.  Any choice gives the same links."""
+    equal = next((z for z in range(2, 7) if n <= STRANGERS * 2 ** (BITS * z / (tau + z))), 7)
+    m = tau + equal
+    for chain in range(equal, m + 1):
+        if len(key_sets(m, tau, chain)[0]) >= equal:
+            return m, chain
+    return m, m
 
 
-def components(fps: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None) -> DataFrame:
-    """fps(fp: long, distinct) -> fp, component (a fingerprint of its component, the same for all)."""
-    fps = cut(fps)
-    m, chain = ring or ring_for(fps.count())
-    sets = key_sets(m, tau, chain)
-    parts = segments(m)
-    masks = [_mask([parts[i] for i in s]) for s in sets]
-    keyed = lambda df: df.withColumn("key", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(v))) for k, v in enumerate(masks)])))
-    near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau) & _chain_test(F.col(a).bitwiseXOR(F.col(b)), m, tau)
+Check = Callable[[DataFrame], DataFrame]
 
-    label = fps.select("fp", F.col("fp").alias("component"))
+
+def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None, check: Check | None = None) -> DataFrame:
+    """nodes(node: long, fp: long), distinct -> node, component (a node of its component, the same for all).
+
+    Nodes link when their fingerprints differ in ``tau`` bits at most and, where ``check`` is given,
+    it returns the pair: it gets distinct (a, b) and gives back those that link.
+    """
+    nodes = cut(nodes)
+    m, chain = ring or ring_for(nodes.count(), tau)
+    masks = _masks(key_sets(m, tau, chain), segments(m))
+    check = check or (lambda edges: edges)
+
+    # 1: families.  A few coarse keys; a pivot of each bucket that isn't of one component
+    label = nodes.select("node", "fp", F.col("node").alias("component"))
+    coarse = _masks([(i,) for i in range(FAMILY_KEYS)], segments(FAMILY_KEYS))
     for r in range(PIVOTS):
-        rows = keyed(label.select("fp", "component"))
-        order = F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), "fp")
-        # a pivot of each bucket that isn't of one component yet
-        pivot = rows.groupBy("key").agg(F.min(order)["fp"].alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "pivot")
-        edges = rows.join(pivot, "key").where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-        label = _relabel(label, edges)
-    rows = keyed(label.select("fp", "component"))
-    # buckets of several components; all rows but those of the commonest (estimated by the hash order's
-    # first row, any choice is right) meet all rows of other components
-    main = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(PIVOTS - 1)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
-    rows = cut(rows.join(main, "key"))
-    other = rows.where("component <> main").select("key", F.col("fp").alias("a"), F.col("component").alias("ca"))
-    every = rows.select("key", F.col("fp").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("of_main"))
-    met = other.join(every, (other["key"] == every["key"]) & (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & near("a", "b"))
-    return _relabel(label, met.select("a", "b"))
+        rows = _keyed(label, coarse)
+        order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("pivot"), F.col("fp").alias("pivot_fp"))
+        pivot = rows.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "p.pivot", "p.pivot_fp")
+        met = rows.join(pivot, "key").where((F.col("node") != F.col("pivot")) & _near("fp", "pivot_fp", m, tau))
+        label = _relabel(label, check(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()))
+    # 2: exactly.  In buckets of several components all rows but those of the commonest (estimated by the
+    # hash order's first row, any choice is right) meet all rows of other components
+    rows = _keyed(label, masks)
+    main = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
+    rows = rows.join(main, "key")
+    other = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
+    every = rows.select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("of_main"), "k")
+    met = (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & _near("fa", "fb", m, tau) & _first_key("fa", "fb", masks)
+    met = other.join(every, (other["key"] == every["key"]) & met)
+    return _relabel(label, check(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).select("node", "component")
+
+
+def _masks(sets: list[tuple[int, ...]], parts: list[tuple[int, int]]) -> list[int]:
+    return [_mask([parts[i] for i in s]) for s in sets]
+
+
+def _keyed(label: DataFrame, masks: list[int]) -> DataFrame:
+    """node, fp, component, k, key: one row for each set of segments (the k-th), key covering the bits under it."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(v))) for k, v in enumerate(masks)])
+    return label.select("node", "fp", "component", F.posexplode(keys).alias("k", "key"))
+
+
+def _near(a: str, b: str, m: int, tau: int) -> Column:
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return (F.bit_count(x) <= tau) & _chain_test(x, m, tau)
+
+
+def _first_key(a: str, b: str, masks: list[int]) -> Column:
+    """A pair that meets under several keys counts under the first of them only (``k`` is that of the row)."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    first = F.array_position(F.array(*[x.bitwiseAND(F.lit(v)) == 0 for v in masks]), True)
+    return first == F.col("k") + 1
 
 
 def _relabel(label: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components after adding edges between fingerprints: the edges are carried over to the present components."""
-    to = label.select(F.col("fp").alias("a"), F.col("component").alias("x"))
+    """Components after adding edges between nodes: the edges are carried over to the present components."""
+    to = label.select(F.col("node").alias("a"), F.col("component").alias("x"))
     edges = edges.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     joined = union_components(edges).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return cut(label.join(joined, "component", "left").select("fp", F.coalesce("to", "component").alias("component")))
+    return cut(label.join(joined, "component", "left").select("node", "fp", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id for every row; component_id is the smallest id reachable over links.
 
-    Copies and all texts without words share a fingerprint and so a component.  A null id is
-    never the smallest unless all ids of the component are null.
+    Copies, repeated rows and all texts without words (null ones too) share a fingerprint and so a
+    component.  A null id is never the smallest unless all ids of the component are null; a
+    repeated id stands for each of its rows.  Texts of any length are hashed whole.  No rows in: no
+    rows out.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    found = components(rows.select("fp").distinct(), tau)
+    found = components(rows.select(F.col("fp").alias("node"), "fp").distinct(), tau)
     # smallest id of each fingerprint, then of each component: minima only, combined map-side
     # (both kept as tables: a join of plain scans is one that skew handling can split)
-    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, "fp"))
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "fp"), "fp"))
     named = cut(least.groupBy("component").agg(F.min("least").alias("component_id")))
     by_fp = cut(least.select("fp", "component").join(named, "component").select("fp", "component_id"))
     return rows.join(by_fp, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, one row each, all columns.
+def shingle_hashes(text: str | None, shingle: int, known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text, in order; of all its words if those are fewer.
+
+    Words' hashes are combined, so that a word is hashed once for all its shingles; ``known`` keeps them.
+    """
+    words = normal_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, SEED)
+    a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[j : j + len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id (NULL_ID for null), version, node (of the words in order: the same for texts of the same words), fp."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        for pdf in batches:
+            out = []
+            for t in pdf["text"].tolist():
+                h = shingle_hashes(t, shingle, known)
+                node = xxhash.xxh64_intdigest(h.tobytes(), len(h))
+                out.append((np.uint64(node).astype(np.int64), majority_bits(h)))
+            yield pd.concat([pdf[["doc_id", "version"]], pd.DataFrame(out, columns=["node", "fp"])], axis=1)
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return rows.mapInPandas(each, "doc_id long, version long, node long, fp long")
+
+
+def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the edges (a, b) whose texts have a Jaccard similarity of word shingles of at least ``similarity``.
+
+    Only texts that stand in an edge are fetched, one for each node.
+    """
+    edges = cut(edges)
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))).distinct()
+    holders = cut(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("d")).select("node", F.col("d.doc_id").alias("h_id"), F.col("d.version").alias("h_version")))
+    few = holders.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("h_id"), F.xxhash64(text).alias("h_version"), text.alias("text"))
+    # repeated rows of an id and a text: one of them will do
+    texts = cut(own.join(F.broadcast(holders) if few else holders, ["h_id", "h_version"]).groupBy("node").agg(F.min("text").alias("text")))
+    both = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        last: dict[int, np.ndarray] = {}  # a pivot stands in many pairs one after another
+
+        def of(node: int, text: str) -> np.ndarray:
+            if node not in last:
+                if len(last) > 64:
+                    last.clear()
+                last[node] = np.unique(shingle_hashes(text, shingle, known))
+            return last[node]
+
+        for pdf in batches:
+            keep = []
+            for a, b, ta, tb in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["ta"].tolist(), pdf["tb"].tolist(), strict=True):
+                x, y = of(a, ta), of(b, tb)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return cut(both.mapInPandas(compare, "a long, b long"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id (NULL_ID for null), version (hash of the text), component of every row.
+
+    Texts link when their fingerprints of ``shingle``-word shingles differ in ``tau`` bits at most and
+    the shingles' Jaccard similarity is at least ``similarity``; texts of the same words always do.
+    A pair of 0.8 differs in some 10 of 64 bits, so ``tau`` decides how many of such pairs are seen
+    (the README has figures); what is linked is never less similar.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = cut(sketches(docs, id_col, text_col, shingle))
+    found = components(rows.select("node", "fp").distinct(), tau, check=lambda edges: alike(docs, rows, edges, id_col, text_col, shingle, similarity))
+    return rows.join(found, "node").select("doc_id", "version", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of ``similar_components``, all columns.
 
-    Null ids count as one smallest id, so a row of null id stays only where all of its component are null.
+    It is the one of the smallest id (null ids count as the smallest), then of the smallest hash of
+    the text; of repeated rows of that id and text one stays.  Rows of a repeated id with other texts
+    are rows of their own.
     """
-    own, n = fresh("kept_id", docs), fresh("kept_n", docs)
-    kept = near_duplicates(docs, id_col, **options).select(F.coalesce(F.col("component_id"), F.lit(NULL_ID)).alias(own)).distinct()
-    order = Window.partitionBy(own).orderBy(*[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int")])
-    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    first = rows.join(kept, own, "left_semi").withColumn(n, F.row_number().over(order))
+    own, mark, n = fresh("kept_id", docs), fresh("kept_version", docs), fresh("kept_n", docs)
+    found = similar_components(docs, id_col, text_col, **options)
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("d")).select(F.col("d.doc_id").alias(own), F.col("d.version").alias(mark))
+    order = Window.partitionBy(own, mark).orderBy(*[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int")])
+    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    first = rows.join(cut(kept.distinct()), [own, mark], "left_semi").withColumn(n, F.row_number().over(order))
     return first.where(F.col(n) == 1).select(*docs.columns)
 
 
