@@ -83,6 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts and texts of white space only have size 0 and take 0.  A null source is a source
     of its own, last in the order.  Repeated ids are rows like any others.  No rows in: no rows out.
+    Ties of the finish time go by source, copy, hash, id and size.  Extra columns play no part.
     ``taken`` is ``size`` times the number of copies taken, 0 to ``max_epochs``.
     """
     # what a row is ordered by covers its text too, so that repeated ids spread
@@ -122,14 +123,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with all their columns."""
-    own, h, n = fresh("mixed_id", docs), fresh("mixed_h", docs), fresh("mixed_n", docs)
-    found = mix(docs, id_col, text_col, **options).where("taken > 0")
-    # rows of one id and text are interchangeable, and taken together
-    each = F.ceil(F.sum(F.expr("taken div size")) / F.count(F.lit(1))).cast("int").alias(n)
-    found = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias(own), F.col("h").alias(h)).agg(each)
-    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(h, order_key(F.col(id_col), F.col(text_col)))
-    return rows.join(found, [own, h]).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it is taken, with all their columns.
+
+    Rows of equal id, text and source are interchangeable: together they appear as often as the mix
+    takes them, dealt out evenly.  No row appears more than ``max_epochs`` times.
+    """
+    own, h, of, n, m, at = (fresh(c, docs) for c in ("mixed_id", "mixed_h", "mixed_source", "mixed_n", "mixed_m", "mixed_at"))
+    source = options.get("source_col", "source")
+    found = mix(docs, id_col, text_col, **options)
+    keys = F.coalesce("doc_id", F.lit(NULL_ID)).alias(own), F.col("h").alias(h), F.xxhash64("source").alias(of)
+    found = found.groupBy(*keys).agg(F.sum(F.expr("CASE WHEN size > 0 THEN taken div size ELSE 0 END")).alias(n), F.count(F.lit(1)).alias(m)).where(F.col(n) > 0)
+    rows = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(h, order_key(F.col(id_col), F.col(text_col))).withColumn(of, F.xxhash64(F.col(source).cast("string")))
+    found = cut(found)
+    single = rows.join(found.where(F.col(m) == 1), [own, h, of]).withColumn(at, F.lit(1))
+    equal = found.where(F.col(m) > 1)
+    if equal.limit(1).count():
+        several = rows.join(equal, [own, h, of]).withColumn(at, F.row_number().over(Window.partitionBy(own, h, of).orderBy(h)))
+        single = single.unionByName(several)
+    each = F.expr(f"`{n}` div `{m}`") + (F.col(at) <= F.col(n) % F.col(m)).cast("long")
+    return single.withColumn(n, each.cast("int")).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -150,12 +162,12 @@ l AS (
 f AS (SELECT arg_min(level, pos) AS lv, (SELECT sum(source_size) FROM s) AS budget FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, rank, least(cap::DOUBLE, weight * lv) AS target, budget FROM l, f),
 q AS (
-  SELECT d.*, t.source_size, t.rank, t.target, t.budget,
+  SELECT d.*, t.source_size, t.rank, t.target, t.budget, row_number() OVER () AS row,
     sum(size) OVER (PARTITION BY t.rank ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT q.*, e, (source_size * e + upto)::DOUBLE / target AS vft FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND target > 0),
 r AS (SELECT *, sum(size) OVER (ORDER BY vft, rank, e, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM c),
-k AS (SELECT doc_id, h, count(*) AS n FROM r WHERE run <= budget GROUP BY doc_id, h)
+k AS (SELECT row, count(*) AS n FROM r WHERE run <= budget GROUP BY row)
 SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(k.n, 0) * q.size)::BIGINT AS taken
-FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.h = k.h
+FROM q LEFT JOIN k ON q.row = k.row
 """
