@@ -5,6 +5,7 @@ executor leaves no half block behind.  A block holds whole documents in ascendin
 
     part, block   place in the global order (part: range of doc_id, block: number within it)
     width         bits of an id: the fewest that hold the vocabulary
+    least_id, greatest_id   of its documents: readers skip blocks (and row groups) by them
     doc_ids       int64 little-endian, one for each document
     offsets       uint32/uint64 little-endian, documents + 1: first id of each document within the block
     n_ids         ids in the block
@@ -32,46 +33,56 @@ BLOCK_IDS = 1 << 19
 CACHE = 900_000
 #: Letters below are letters to every version of Unicode.
 LATIN_END = chr(0x250)
-SCHEMA = "block long, width int, doc_ids binary, offsets binary, n_ids long, payload binary"
+SCHEMA = "block long, width int, least_id long, greatest_id long, doc_ids binary, offsets binary, n_ids long, payload binary"
 
 
 def id_width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def _lanes(width: int) -> list[list[tuple[int, int]]]:
+    """For each byte of a group of 8 ids (``width`` bytes) the ids that have bits in it: (id, how far its bits go left)."""
+    return [[(i, i * width + width - 8 * byte - 8) for i in range(8 * byte // width, min(7, (8 * byte + 7) // width) + 1)] for byte in range(width)]
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids below 2**width, each in ``width`` bits, most significant first; the last byte is filled with 0."""
-    ids = np.asarray(ids)
-    if width == 16:
-        return ids.astype(">u2").tobytes()
-    out = []
-    for at in range(0, len(ids), 1 << 18):  # multiples of 8 ids keep pieces on byte borders
-        piece = ids[at : at + (1 << 18)].astype(np.uint32)
-        bits = np.unpackbits(piece.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-        out.append(np.packbits(bits).tobytes())
-    return b"".join(out)
+    n = len(ids)
+    groups = np.zeros((-(-n // 8), 8), np.uint64)
+    groups.ravel()[:n] = ids
+    out = np.zeros((len(groups), width), np.uint8)
+    for byte, parts in enumerate(_lanes(width)):
+        # the id's last bit is ``right`` bits before the byte's last one: bits beyond the byte fall off
+        for i, right in parts:
+            v = groups[:, i]
+            out[:, byte] |= ((v >> np.uint64(right)) if right >= 0 else (v << np.uint64(-right))).astype(np.uint8)
+    return out.tobytes()[: (n * width + 7) // 8]
 
 
 def unpack(payload: bytes, width: int, start: int = 0, n: int | None = None) -> np.ndarray:
-    """Ids start .. start + n of a payload, as uint32, without touching what is before or after."""
+    """Ids start .. start + n of a payload, as uint32, without touching what is before or after (but for a group of 8)."""
     if n is None:
         n = len(payload) * 8 // width - start
-    if width == 16:
-        return np.frombuffer(payload, ">u2", n, 2 * start).astype(np.uint32)
-    out = np.empty(n, np.uint32)
-    weights = (1 << np.arange(width - 1, -1, -1, dtype=np.int64)).astype(np.int64)
-    for at in range(0, n, 1 << 18):
-        k = min(1 << 18, n - at)
-        first = (start + at) * width
-        raw = np.frombuffer(payload, np.uint8, (first + k * width + 7) // 8 - first // 8, first // 8)
-        bits = np.unpackbits(raw)[first % 8 : first % 8 + k * width].reshape(k, width)
-        out[at : at + k] = bits @ weights
-    return out
+    first, last = start // 8, -(-(start + n) // 8)
+    raw = np.frombuffer(payload, np.uint8, min(len(payload), last * width) - first * width, first * width)
+    if len(raw) < (last - first) * width:
+        raw = np.concatenate([raw, np.zeros((last - first) * width - len(raw), np.uint8)])
+    groups = raw.reshape(-1, width)
+    out = np.zeros((len(groups), 8), np.uint32)
+    mask = np.uint32((1 << width) - 1)
+    for byte, parts in enumerate(_lanes(width)):
+        v = groups[:, byte].astype(np.uint32)
+        for i, right in parts:
+            out[:, i] |= ((v << np.uint32(right)) if right >= 0 else (v >> np.uint32(-right))) & mask
+    return out.ravel()[start - 8 * first :][:n]
 
 
 class Encoder:
     """encode(text, add_special_tokens=False) of a byte-level BPE without prefix space, with a cache.
 
+    Strings of special tokens in a text are those tokens, as the library has it; with ``plain_specials``
+    they are ordinary text.  Texts that hold one go to the library whole.
+
     Such a tokenizer never joins across a single space that a non-space follows, so a text falls
     into pieces that begin at those spaces, and a piece's ids depend on the piece alone.  Pieces
     that begin with other white space stay with what is before them.  Within a piece letters and
@@ -82,11 +93,13 @@ class Encoder:
     SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32)
     END_MARKS = ".,;:!?"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(t.content for t in added if not (t.special and plain_specials))
         # bytes as the visible characters that byte-level models are made of
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
@@ -134,8 +147,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.whole) + len(self.spaced) > CACHE:
             self.whole, self.spaced = {}, {}
-        split = []
-        for t in texts:
+        split, apart = [], {}
+        for n, t in enumerate(texts):
+            if t and any(a in t for a in self.added):
+                apart[n] = t
+                split.append(([], []))
+                continue
             parts = t.split(" ") if t else []
             split.append((parts[:1], parts[1:]) if t and self.plain(t, parts) else (self.pieces(t) if t else [], []))
         new = set().union(*[b for _, b in split]).difference(self.spaced)
@@ -149,25 +166,29 @@ class Encoder:
         self._learn(self.whole, set().union(tails, *[a for a, _ in split]).difference(self.whole), "")
         self.spaced.update({p: self.spaced[core] + self.whole[p[len(core) :]] for p, core in ended.items()})
         whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
-        return [np.frombuffer(b"".join([*map(whole, a), *map(spaced, b)]), "<u4") for a, b in split]
+        out = [np.frombuffer(b"".join([*map(whole, a), *map(spaced, b)]), "<u4") for a, b in split]
+        for n, ids in zip(apart, self._ids(list(apart.values())), strict=True):
+            out[n] = np.frombuffer(ids, "<u4")
+        return out
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, plain_specials: bool) -> Encoder:
     """The worker process' own encoder, kept from task to task."""
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_bitloom_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, plain_specials) not in held:
+        held[path, plain_specials] = Encoder(path, plain_specials)
+    return held[path, plain_specials]
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
+def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plain_specials: bool = False) -> None:
     """Encode every text and write the file set to ``path``, documents in ascending id order.
 
-    A null text has no ids of its own; ``end_id`` closes every document.  Null ids come first,
-    repeated ids stand next to one another.  The texts are dealt by ranges of id (a sampled range
-    sort), so no task sees more than its range.
+    A null or empty text has no ids of its own; ``end_id`` closes every document.  Null ids come
+    first, repeated ids stand next to one another, by the hash of their texts.  The texts are dealt by
+    ranges of (id, hash) (a sampled range sort), so no task sees more than its range.  An empty table
+    gives an empty file set; extra columns aren't read.
     """
     width = id_width(vocabulary)
     tail = np.array([] if end_id is None else [end_id], np.uint32)
@@ -176,7 +197,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, plain_specials)
         ids: list[np.ndarray] = []
         held: list[int] = []
         total, number = 0, 0
@@ -184,7 +205,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
         def block() -> pd.DataFrame:
             counts = np.array([0, *map(len, ids)], np.uint64).cumsum()
             flat = np.concatenate(ids) if ids else np.array([], np.uint32)
-            return pd.DataFrame({"block": [number], "width": [width], "doc_ids": [np.array(held, "<i8").tobytes()], "offsets": [counts.astype("<u8").tobytes()], "n_ids": [len(flat)], "payload": [pack(flat, width)]})
+            return pd.DataFrame({"block": [number], "width": [width], "least_id": [held[0]], "greatest_id": [held[-1]], "doc_ids": [np.array(held, "<i8").tobytes()], "offsets": [counts.astype("<u8").tobytes()], "n_ids": [len(flat)], "payload": [pack(flat, width)]})
 
         for pdf in batches:
             texts = pdf["text"].tolist()
@@ -201,10 +222,10 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
             yield block()
 
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("order"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    out = dealt.mapInPandas(blocks, SCHEMA).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(parts, "doc_id", "order").sortWithinPartitions("doc_id", "order")
+    out = dealt.select("doc_id", "text").mapInPandas(blocks, SCHEMA).withColumn("part", F.spark_partition_id())
     out.write.option("compression", "zstd").parquet(path)
 
 
@@ -241,6 +262,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """Random access: doc_id and ids (array) of a few documents; only their runs of bits are unpacked."""
     wanted = np.array(doc_ids, np.int64)
+    near = F.lit(False)
+    for i in doc_ids:
+        near = near | ((F.col("least_id") <= i) & (F.col("greatest_id") >= i))
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,7 +273,7 @@ def read_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 for i in np.flatnonzero(np.isin(held, wanted)):
                     yield pd.DataFrame({"doc_id": [held[i]], "ids": [unpack(b.payload, b.width, offsets[i], offsets[i + 1] - offsets[i]).astype(np.int64)]})
 
-    return spark.read.parquet(path).mapInPandas(some, "doc_id long, ids array<long>")
+    return spark.read.parquet(path).where(near).mapInPandas(some, "doc_id long, ids array<long>")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, vocabulary: int, name: str = "tokens", **options) -> DataFrame:
@@ -261,9 +285,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, vocabulary: int, name
 
 
 def default_tokenizer() -> tuple[str, int]:
+    """(path, number of ids) of the tokenizer that the query names; the number is the file's own."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    return public_tokenizers.path("byte_bpe_50k.json"), 50_257
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return path, Tokenizer.from_file(path).get_vocab_size()
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
