@@ -8,8 +8,9 @@ joined shard by shard (salted, so that a common symbol is no hot key).  Each mee
 probabilities of its documents' trigrams, their sum is the document's, in whole micro-units so
 that reruns agree to the last digit.
 
-A document is rejected when its perplexity lies beyond what all but a small share of its
-language's trusted documents have, after shrinking short texts' deviation from the median.
+A document is rejected when its perplexity lies outside of what its language's trusted documents
+have, but for a small share at either end: far above (junk, foreign or garbled text) or far below
+(a few words repeated).  Thresholds are wider for shorter texts, whose perplexity varies more.
 """
 
 from __future__ import annotations
@@ -24,19 +25,21 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, ship, table
 
-#: Symbols: code points below DIRECT as they are (0 for white space), the others in 64 classes.
-DIRECT, CLASSES = 0x180, 64
+#: Symbols: code points below DIRECT (all alphabets of letters) as they are, 0 for white space, and the
+#: others (mostly ideographs) in classes.  A symbol takes PLACES bits of a key.
+PLACES = 14
+BASE, DIRECT = 1 << PLACES, 0x3100
+CLASSES = BASE - DIRECT
 SYMBOLS = DIRECT + CLASSES
-BASE = 512
 SHARDS, SALTS = 8, 16
 #: Characters packed together.
 CHUNK = 2_000_000
 #: Most trusted ids that are broadcast; with more, the semi-join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Share of trusted documents within the threshold, and characters at which a deviation counts half.
-QUANTILE, SHRINK = 0.999, 150
-#: Trusted documents from which on a language has a threshold of its own.
-LEAST_TRUSTED = 20
+#: Share of a language's trusted documents below the upper threshold, and above the lower one.
+QUANTILE = 0.999
+#: A text of n characters may deviate (SHORT + n) / n times as much from the median as a long one.
+SHORT = 150
 UNIT = 1e6
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
@@ -120,7 +123,7 @@ def train(counts: DataFrame) -> DataFrame:
     kind 3: trigrams seen, 2: bigrams seen, 1: symbols (in every shard), -3: weight after two
     symbols, -2: weight after one.  Nothing is cut off or sampled.
     """
-    counts = cut(counts.select("key", "n", F.shiftright("key", 18).alias("a"), F.shiftright("key", 9).bitwiseAND(F.lit(BASE - 1)).alias("b"), F.col("key").bitwiseAND(F.lit(BASE - 1)).alias("c")))
+    counts = cut(counts.select("key", "n", F.shiftright("key", 2 * PLACES).alias("a"), F.shiftright("key", PLACES).bitwiseAND(F.lit(BASE - 1)).alias("b"), F.col("key").bitwiseAND(F.lit(BASE - 1)).alias("c")))
     tri, ctx3 = _smoothed(counts, "n", ["a", "b"])
     pairs = cut(counts.groupBy("b", "c").agg(F.count(F.lit(1)).alias("m")))
     bi, ctx2 = _smoothed(pairs, "m", ["b"])
@@ -183,16 +186,16 @@ def profiles(docs: DataFrame) -> DataFrame:
             langs = [x if isinstance(x, str) else None for x in pdf["lang"].tolist()]
             yield pd.DataFrame({"shard": [-1], "salt": [0], "ids": [ids.tobytes()], "n": [0], "packed": [pickle.dumps(langs)]})
             for rows, keys in chunks([t if isinstance(t, str) else "" for t in pdf["text"].tolist()]):
-                both, n = np.unique(rows << 27 | keys, return_counts=True)
-                row, key = both >> 27, both & ((1 << 27) - 1)
-                shard = shard_of[(key >> 9) & (BASE - 1)]
+                both, n = np.unique(rows << 3 * PLACES | keys, return_counts=True)
+                row, key = both >> 3 * PLACES, both & ((1 << 3 * PLACES) - 1)
+                shard = shard_of[(key >> PLACES) & (BASE - 1)]
                 number += 1
                 out = []
                 for s in range(SHARDS):
                     own = np.flatnonzero(shard == s)
                     if len(own):
                         here, place = np.unique(row[own], return_inverse=True)
-                        out.append((s, int(ids[here[0], 1] + number) % copies, ids[here].tobytes(), len(own), _pack(place, key[own], n[own])))
+                        out.append((s, int(ids[here[0], 1] + number) % copies, ids[here].tobytes(), len(own), _pack(place, key[own] >> PLACES, key[own] & (BASE - 1), n[own])))
                 yield pd.DataFrame(out, columns=["shard", "salt", "ids", "n", "packed"])
 
     return docs.mapInPandas(pack, "shard int, salt int, ids binary, n long, packed binary")
@@ -229,8 +232,8 @@ def log_probabilities(tables: dict[int, tuple[np.ndarray, np.ndarray]], keys: np
     floor = float(tables[-1][1][0])
     p1, _ = get(1, rest & (BASE - 1), floor)
     p2, pair = get(2, rest & (BASE * BASE - 1), 0.0)
-    low = np.where(pair, p2, get(-2, (rest >> 9) & (BASE - 1), 0.0)[0] + p1)
-    out[~seen] = get(-3, rest >> 9, 0.0)[0] + low
+    low = np.where(pair, p2, get(-2, (rest >> PLACES) & (BASE - 1), 0.0)[0] + p1)
+    out[~seen] = get(-3, rest >> PLACES, 0.0)[0] + low
     return out[place]
 
 
@@ -260,8 +263,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
                 if r.shard == -1:
                     ll, n, copies, lang = 0, 0, 1, pickle.loads(r.packed)
                 else:
-                    place, key, n = _unpacked(r.packed, r.n, 3)
-                    lp = log_probabilities(pickle.loads(r.model), key.astype(np.int64)) if r.model is not None else np.zeros(len(key))
+                    place, context, symbol, n = _unpacked(r.packed, r.n, 4)
+                    key = context.astype(np.int64) << PLACES | symbol
+                    lp = log_probabilities(pickle.loads(r.model), key) if r.model is not None else np.zeros(len(key))
                     ll = np.bincount(place, np.rint(lp * UNIT) * n, len(ids)).astype(np.int64)
                     n, copies, lang = np.bincount(place, n, len(ids)).astype(np.int64), 0, None
                 yield pd.DataFrame({"doc_id": ids[:, 0], "version": ids[:, 1], "ll": ll, "n": n, "copies": copies, "lang": lang})
@@ -275,47 +279,52 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return out.select("doc_id", "version", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "n", "nll")
 
 
-def verdicts(scored: DataFrame, quantile: float = QUANTILE, shrink: float = SHRINK) -> DataFrame:
-    """+ perplexity, threshold (both comparable: after shrinking), keep.
+def verdicts(scored: DataFrame, quantile: float = QUANTILE, short: float = SHORT) -> DataFrame:
+    """+ perplexity, lowest, threshold, keep: whether lowest <= perplexity <= threshold.
 
-    A document's deviation from its language's median (of trusted documents) counts n / (n +
-    shrink), n its characters.  The threshold is the language's ``quantile`` of that among trusted
-    documents; languages with fewer than ``LEAST_TRUSTED`` of them use that of all.  Documents
-    without text are kept, and so is everything where nothing is trusted.
+    Per language, deviations of trusted documents' mean log probability from its median, times n /
+    (n + short) for n characters, have a quantile at either end.  The thresholds for a text of n
+    characters are what lies at those, times (n + short) / n.  A language without any trusted
+    document goes by the quantiles of all.  Documents without text are kept, and so is everything
+    where nothing is trusted.
     """
     scored = cut(scored)
     good = scored.where("trusted AND nll IS NOT NULL")
     every = F.lit(None).cast("string")
-    both = good.select("lang", "nll", "n").union(good.select(every, "nll", "n"))
+    # a language's documents, and under null those of all languages; a document without one is under 'of all' only
+    both = good.where("lang IS NOT NULL").select("lang", "nll", "n").union(good.select(every, "nll", "n"))
     exact = 100_000
-    mid = both.groupBy("lang").agg(F.percentile_approx("nll", 0.5, exact).alias("mid"), F.count(F.lit(1)).alias("docs"))
-    mid = cut(mid)
-    small = mid.count() <= 10_000
+    mid = cut(both.groupBy("lang").agg(F.percentile_approx("nll", 0.5, exact).alias("mid")).withColumnRenamed("lang", "of"))
+    small = mid.limit(10_001).count() <= 10_000
     hint = F.broadcast if small else (lambda df: df)
-    dev = (F.col("nll") - F.col("mid")) * F.col("n") / (F.col("n") + shrink)
-    same = lambda a, b: a["lang"].eqNullSafe(b["lang"])
-    m = mid.withColumnRenamed("lang", "of")
-    edge = both.join(hint(m), F.col("lang").eqNullSafe(F.col("of"))).groupBy("lang").agg(F.percentile_approx(dev, quantile, exact).alias("edge"))
-    edge = cut(edge.join(mid, same(edge, mid)).select(edge["lang"].alias("of"), "mid", "edge", "docs"))
-    del same
+    dev = (F.col("nll") - F.col("mid")) * F.col("n") / (F.col("n") + short)
+    ends = F.percentile_approx(dev, F.array(F.lit(1 - quantile), F.lit(quantile)), exact)
+    edge = both.join(hint(mid), F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", "mid").agg(ends.alias("ends"))
+    edge = cut(edge.select("of", "mid", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")))
     overall = edge.where("of IS NULL").first()
+    nothing = F.lit(None).cast("double")
     if overall is None:
-        return scored.select("*", F.exp("nll").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    known = edge.where(F.col("of").isNotNull() & (F.col("docs") >= LEAST_TRUSTED)).drop("docs")
-    out = scored.join(hint(known), F.col("lang") == F.col("of"), "left")
-    mid_, edge_ = F.coalesce("mid", F.lit(overall["mid"])), F.coalesce("edge", F.lit(overall["edge"]))
-    shrunk = mid_ + (F.col("nll") - mid_) * F.col("n") / (F.col("n") + shrink)
-    keep = F.coalesce(shrunk <= mid_ + edge_ + 1e-9, F.lit(True))
-    return out.select(*scored.columns, F.exp(shrunk).alias("perplexity"), F.exp(mid_ + edge_).alias("threshold"), keep.alias("keep"))
+        return scored.select("*", F.exp("nll").alias("perplexity"), nothing.alias("lowest"), nothing.alias("threshold"), F.lit(True).alias("keep"))
+    out = scored.join(hint(edge.where("of IS NOT NULL")), F.col("lang") == F.col("of"), "left")
+    wide = F.try_divide(F.col("n") + short, F.col("n"))
+    at = lambda end: F.coalesce("mid", F.lit(overall["mid"])) + F.coalesce(end, F.lit(overall[end])) * wide
+    keep = F.coalesce((F.col("nll") <= at("high") + 1e-9) & (F.col("nll") >= at("low") - 1e-9), F.lit(True))
+    return out.select(*scored.columns, F.exp("nll").alias("perplexity"), F.exp(at("low")).alias("lowest"), F.exp(at("high")).alias("threshold"), keep.alias("keep"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents labelled good and not toxic."""
-    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    """Documents labelled good and not toxic, and by no row otherwise."""
+    fine = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    return labels.groupBy("doc_id").agg(F.min(fine).alias("fine")).where("fine").select("doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """doc_id, version, lang, trusted, n, nll, perplexity, threshold, keep for every row of docs."""
+    """doc_id, version, lang, trusted, n, nll, perplexity, lowest, threshold, keep for every row of docs.
+
+    Repeated rows are judged each, alike; rows of one id and other texts by their own text.  Null and
+    empty texts have no perplexity and are kept.  Texts are scored whole, whatever their length.
+    Extra columns are ignored; no rows in, no rows out.
+    """
     return verdicts(perplexities(docs, trusted_ids(labels), **columns))
 
 
@@ -333,7 +342,7 @@ def filter_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.where("keep").select("doc_id", "lang", "n", "perplexity", "threshold", "keep")
+    return found.where("keep").select("doc_id", "lang", "n", "perplexity", "lowest", "threshold", "keep")
 
 
 ship(__name__)
