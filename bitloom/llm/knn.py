@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, ship, table
 
-#: Vectors in a packed block (queries, data), and most pivots.
-QUERY_BLOCK, DATA_BLOCK, MOST_PIVOTS = 1024, 2048, 64
+#: Vectors in a packed block (queries, data), and most pivots (their distances are a table of its square).
+QUERY_BLOCK, DATA_BLOCK, MOST_PIVOTS = 1024, 2048, 512
+#: Query blocks of a cell that meet data in one place.
+CHUNK_BLOCKS = 16
 #: Queries whose best candidates a task keeps before it hands them on.
 HELD_QUERIES = 100_000
 #: Vectors with whole components of at least this size are wide: they go the way of Python's integers.
@@ -52,7 +54,7 @@ def _as_matrix(vs, dims: int) -> np.ndarray:
     return out
 
 
-def _packed(rows: DataFrame, pivots: np.ndarray, dims: int, top: int, block: int, lifted: bool, extra: str) -> DataFrame:
+def _packed(rows: DataFrame, pivots: np.ndarray, dims: int, top: int, block: int, lifted: bool) -> DataFrame:
     """Blocks of vectors of one cell: cell, lo, hi (distances to the pivot), n, ids and matrix as bytes."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +86,7 @@ def _packed(rows: DataFrame, pivots: np.ndarray, dims: int, top: int, block: int
     return rows.mapInPandas(blocks, "cell int, lo double, hi double, n long, ids binary, m binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: bool = True, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k highest inner products with the data.
 
     Inputs are vec_id, v (array<long>) and, where v is null, wide (array<double>).  Ties go to the
@@ -93,7 +95,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: boo
     asks.  Ranks are exact for wide vectors too; a score that 64 bits don't hold is null.
     """
     if "wide" not in data.columns or not data.where("wide IS NOT NULL").union(queries.where("wide IS NOT NULL")).limit(1).count():
-        return _packed_top_k(queries.select("vec_id", "v"), data.select("vec_id", "v"), k, exclude_same_id)
+        return _packed_top_k(queries.select("vec_id", "v"), data.select("vec_id", "v"), k, exclude_same_id, data_block, query_block)
     data = cut(data)
     whole = F.coalesce("wide", F.col("v").cast("array<double>"))
     queries = cut(queries.groupBy("vec_id").agg(F.min(F.struct(whole.alias("x"), "v", "wide")).alias("q")).select("vec_id", "q.v", "q.wide"))
@@ -104,7 +106,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20, exclude_same_id: boo
             yield pdf.assign(key=[_key(int(s)) for s in pdf["score"]])
 
     schema = "query_id long, vec_id long, score long, key string"
-    found = _packed_top_k(narrow(queries), narrow(data), k, exclude_same_id).select("query_id", "vec_id", "score").mapInPandas(keyed, schema)
+    found = _packed_top_k(narrow(queries), narrow(data), k, exclude_same_id, data_block, query_block).select("query_id", "vec_id", "score").mapInPandas(keyed, schema)
     met = _blocks(narrow(queries).withColumn("wide", F.lit(None).cast("array<double>")), "q").crossJoin(_blocks(data.where("wide IS NOT NULL"), "d"))
     met = met.unionByName(_blocks(queries.where("wide IS NOT NULL"), "q").crossJoin(_blocks(data, "d")))
 
@@ -145,7 +147,7 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     return cut(rows.select("vec_id", "v", "wide").mapInPandas(pack, f"{name} binary"))
 
 
-def _packed_top_k(queries: DataFrame, data: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
+def _packed_top_k(queries: DataFrame, data: DataFrame, k: int, exclude_same_id: bool, data_block: int, query_block: int) -> DataFrame:
     """top_k of vec_id, v alone."""
     bounded_batches(data.sparkSession)
     data = cut(data)
@@ -158,29 +160,24 @@ def _packed_top_k(queries: DataFrame, data: DataFrame, k: int, exclude_same_id:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims, top = max(facts["dims"], qdims), int(facts["top"])
     # pivots: the vectors of smallest hash, a bounded sample; any pivots give the same result
-    want = int(min(MOST_PIVOTS, max(1, round((facts["n"] / DATA_BLOCK) ** 0.5))))
+    want = int(min(MOST_PIVOTS, max(1, round((facts["n"] / data_block) ** 0.5))))
     sample = data.select(F.xxhash64("vec_id", "v").alias("h"), "v").orderBy("h", "v").limit(want).collect()
     p = _as_matrix([r["v"] for r in sample], dims)
     pivots = np.column_stack([p.astype(float), np.sqrt(np.maximum(top - (p * p).sum(axis=1), 0).astype(float))])
-    qs = cut(_packed(queries, pivots, dims, top, QUERY_BLOCK, False, "q"))
-    ds = cut(_packed(data, pivots, dims, top, DATA_BLOCK, True, "d"))
-
-    # summaries are one row per block; bounds per query group, from summaries alone
-    between = [(i, j, float(np.sqrt(((pivots[i] - pivots[j]) ** 2).sum()))) for i in range(len(pivots)) for j in range(len(pivots))]
-    gaps = spark.createDataFrame(between, "i int, cell int, gap double")
-    groups = qs.groupBy("cell").agg(F.max("hi").alias("reach")).withColumnRenamed("cell", "i")
-    cells = ds.select("block", "cell", "lo", "hi", "n").join(F.broadcast(gaps), "cell").join(F.broadcast(groups), "i")
-    far = F.col("reach") + F.col("gap") + F.col("hi")
-    need = k + (data.groupBy("vec_id").count().agg(F.max("count")).first()[0] if exclude_same_id else 0)
-    run = F.sum("n").over(Window.partitionBy("i").orderBy("far", "block").rowsBetween(Window.unboundedPreceding, 0))
-    bound = cells.withColumn("far", far).withColumn("run", run).where(F.col("run") >= need).groupBy("i").agg(F.min("far").alias("bound"))
-    slack = 1e-6 * (1 + float(top) ** 0.5)  # rounding of the distances; products are compared exactly
-    least = F.greatest(F.lit(0.0), F.col("gap") - F.col("reach") - F.col("hi"), F.col("lo") - F.col("reach") - F.col("gap"))
-    sent = cells.join(bound, "i", "left").where(F.col("bound").isNull() | (least <= F.col("bound") + slack)).select("i", "block")
-
-    meet = sent.join(ds.select("block", F.col("ids").alias("d_ids"), F.col("m").alias("d_m")), "block")
-    asked = qs.select(F.col("cell").alias("i"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    pairs = meet.join(asked, "i").select("q_block", "q_ids", "q_m", "d_ids", "d_m")
+    qs = cut(_packed(queries, pivots, dims, top, query_block, False))
+    ds = cut(_packed(data, pivots, dims, top, data_block, True))
+
+    sent = _sent(qs, ds, pivots, k + (data.groupBy("vec_id").count().agg(F.max("count")).first()[0] if exclude_same_id else 0), float(top))
+    # query blocks of a cell in chunks: (cell, chunk) are as many keys as there are queries for
+    turn = Window.partitionBy("cell").orderBy("block")
+    chunk = F.floor((F.row_number().over(turn) - 1) / CHUNK_BLOCKS).alias("chunk")
+    chunks = cut(qs.select("cell", "block", chunk))  # a row a block
+    asked = qs.join(F.broadcast(chunks) if chunks.limit(200_001).count() <= 200_000 else chunks, ["cell", "block"])
+    asked = asked.select(F.col("cell").alias("i"), "chunk", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    parts = chunks.groupBy(F.col("cell").alias("i")).agg(F.max("chunk").alias("last"))
+    sent = sent.join(F.broadcast(parts), "i").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "last")))  # a row a cell
+    meet = sent.select("i", "chunk", "block").join(ds.select("block", F.col("ids").alias("d_ids"), F.col("m").alias("d_m")), "block")
+    pairs = meet.join(asked, ["i", "chunk"]).select("q_block", "q_ids", "q_m", "d_ids", "d_m")
     nothing, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,6 +222,29 @@ def _packed_top_k(queries: DataFrame, data: DataFrame, k: int, exclude_same_id:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sent(qs: DataFrame, ds: DataFrame, pivots: np.ndarray, need: int, top: float) -> DataFrame:
+    """i, block: the data blocks that may hold one of the ``need`` nearest of a query of cell i.
+
+    From summaries alone: the cells nearest by their farthest vector bound how far the last of the
+    nearest can be; a block goes where its nearest vector could be nearer than that.
+    """
+    spark = ds.sparkSession
+    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 0))
+    between = [(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))]
+    gaps = spark.createDataFrame(between, "i int, cell int, gap double")
+    groups = qs.groupBy("cell").agg(F.max("hi").alias("reach")).withColumnRenamed("cell", "i")
+    cells = ds.groupBy("cell").agg(F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    near = gaps.join(F.broadcast(groups), "i")  # no more rows than pivots
+    far = F.col("reach") + F.col("gap") + F.col("hi")
+    run = F.sum("n").over(Window.partitionBy("i").orderBy("far", "cell").rowsBetween(Window.unboundedPreceding, 0))
+    bound = near.join(F.broadcast(cells), "cell").withColumn("far", far).withColumn("run", run).where(F.col("run") >= need).groupBy("i").agg(F.min("far").alias("bound"))
+    slack = 1e-6 * (1 + top**0.5)  # rounding of the distances; products are compared exactly
+    least = F.greatest(F.lit(0.0), F.col("gap") - F.col("reach") - F.col("hi"), F.col("lo") - F.col("reach") - F.col("gap"))
+    limits = near.join(F.broadcast(bound), "i", "left")
+    met = ds.select("block", "cell", "lo", "hi").join(F.broadcast(limits), "cell")  # the square of the pivots at most
+    return met.where(F.col("bound").isNull() | (least <= F.col("bound") + slack)).select("i", "block")
+
+
 def op8_knn(spark, sf_dir: str) -> DataFrame:
     rows = cut(whole_vectors(table(spark, sf_dir, "embeddings")))
     return top_k(rows.where("vec_id % 20 = 0"), rows)
