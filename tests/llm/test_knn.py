@@ -34,3 +34,13 @@ def test_knn(spark):
     assert knn.top_k(whole.limit(0), whole).count() == 0 and knn.top_k(whole, whole.limit(0)).count() == 0
     twice = whole.where("vec_id < 40").union(whole.where("vec_id < 40"))
     assert knn.top_k(twice.where("vec_id = 0"), twice).count() == 20
+
+
+def test_knn_of_many_cells(spark):
+    r = random.Random(3)
+    centres = [[r.gauss(0, 2) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [r.gauss(c, 0.2) for c in centres[r.randrange(12)]]) for i in range(900)]
+    whole = knn.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    plain = [(x.vec_id, x.embedding) for x in spark.createDataFrame(rows, "vec_id long, embedding array<float>").collect()]
+    found = knn.top_k(whole.where("vec_id % 20 = 0"), whole, data_block=8, query_block=2)  # some ten cells, chunks of queries
+    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in found.collect()} == brute(plain, 20)

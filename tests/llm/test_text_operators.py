@@ -35,7 +35,7 @@ ODD = [None, "", "   ", "\n\n", "x", "x", "é " * 10, "word " * 20_000, "a" * 50
 def test_patience_blocks():
     assert line_dedup.matching_blocks([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
     assert line_dedup.matching_blocks([9, 1, 2, 8], [1, 2, 7]) == [(1, 0, 2)]
-    assert line_dedup.matching_blocks([5, 5, 5], [5, 5]) == [(0, 0, 2)] or True
+    assert line_dedup.matching_blocks([5, 5, 5], [5, 5]) == [(0, 0, 2)]
     r = random.Random(1)
     for _ in range(300):
         a, b = [r.randint(0, 8) for _ in range(r.randint(0, 14))], [r.randint(0, 8) for _ in range(r.randint(0, 14))]
@@ -114,8 +114,6 @@ def test_simhash_against_brute_force(spark):
     assert [simhash.fingerprint(t) % (1 << 64) for t in texts] == fps
     got = {x.doc_id: x for x in simhash.near_duplicates(frame(spark, texts)).collect()}
     assert [got[i].component_id for i in range(len(texts))] == brute_components(range(len(texts)), fps, 4)
-    kept = {x.doc_id for x in simhash.keep_one(frame(spark, texts)).collect()}
-    assert kept == {x.component_id for x in got.values()}
 
 
 def test_simhash_hot_cluster(spark):
@@ -131,7 +129,7 @@ def test_simhash_hot_cluster(spark):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     for ring in ((6, 4), (8, 5)):
-        got = {x.fp % (1 << 64): x.component for x in simhash.components(spark.createDataFrame([(x,) for x in signed], "fp long"), ring=ring).collect()}
+        got = {x.node % (1 << 64): x.component for x in simhash.components(spark.createDataFrame([(x, x) for x in signed], "node long, fp long"), ring=ring).collect()}
         want = brute_components(list(range(len(fps))), fps, 4)
         groups = collections.defaultdict(set)
         for x, w in zip(fps, want, strict=True):
@@ -141,18 +139,20 @@ def test_simhash_hot_cluster(spark):
 
 def test_simhash_key_sets_cover():
     r = random.Random(5)
-    for m, chain in ((5, 1), (6, 4), (8, 5), (10, 6)):
-        parts = simhash.segments(m)
-        masks = [simhash._mask([parts[i] for i in k]) % (1 << 64) for k in simhash.key_sets(m, 4, chain)]
-        for _ in range(2000):
-            x = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
-            assert any(x & k == 0 for k in masks)
+    for tau in (4, 8):
+        for m, chain in {(tau + 1, 1), (tau + 2, 4 if tau == 4 else 6), *(simhash.ring_for(n, tau) for n in (10, 1 << 20, 1 << 26, 1 << 32))}:
+            parts = simhash.segments(m)
+            masks = [simhash._mask([parts[i] for i in k]) % (1 << 64) for k in simhash.key_sets(m, tau, chain)]
+            for _ in range(2000):
+                x = sum(1 << b for b in r.sample(range(64), r.randint(0, tau)))
+                assert any(x & k == 0 for k in masks)
 
 
 def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, ODD, [None, *range(1, len(ODD))])).count() == len(ODD)
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
-    assert simhash.keep_one(frame(spark, ["same text here now"] * 3, [7, 7, None])).count() <= 1 + 1
+    kept = simhash.keep_one(frame(spark, ["same text here now"] * 3, [7, 7, None])).collect()
+    assert [x.doc_id for x in kept] == [None]
 
 
 # --- url filter ----------------------------------------------------------------------------------
@@ -195,7 +195,7 @@ def test_kneser_ney_sums_to_one(spark):
     texts = [prose(r, 40) for _ in range(60)]
     model = quality.train(quality.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()
     shard_of = quality._shard_of()
-    for b in (0, ord("t"), ord("q")):  # after a blank, a common and an unseen letter
+    for b in (0, ord("t"), 0x416):  # after a blank, a common and an unseen letter
         tables = {}
         for k in {x.kind for x in model}:
             part = sorted((x.key, x.value) for x in model if x.kind == k and x.shard == shard_of[b])
@@ -245,7 +245,9 @@ def test_quality_against_brute_force(spark):
     for i, want in enumerate(brute_nll(texts, texts[0:50:2])):
         assert abs(got[i].nll - want) < 2e-6
     assert not got[50].keep and not got[51].keep
-    assert sum(got[i].keep for i in range(0, 50, 2)) >= 24
+    assert sum(got[i].keep for i in range(0, 50, 2)) == 25
+    for x in got.values():
+        assert x.keep == (x.lowest - 1e-6 <= x.perplexity <= x.threshold + 1e-6) and abs(np.log(x.perplexity) - x.nll) < 1e-9
     kept = quality.filter_good(frame(spark, texts), labels)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.keep}
@@ -414,10 +416,16 @@ def test_bit_packing():
 
 
 def test_encoder_is_exact():
+    from tokenizers import Tokenizer
+
     r = random.Random(11)
-    e = token_files.Encoder(token_files.default_tokenizer()[0])
-    texts = ["".join(r.choice(" \n\t \x1c　ab'.s1é<|,") for _ in range(r.randint(0, 14))) for _ in range(5000)] + ["<|endoftext|> a", "don't, won't", ""]
-    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    path = token_files.default_tokenizer()[0]
+    texts = ["".join(r.choice([*" \n\t\x1c\u3000ab'.s1é<|,", "<|endoftext|>"]) for _ in range(r.randint(0, 14))) for _ in range(5000)] + ["<|endoftext|> a", "don't, won't", ""]
+    for plain in (False, True):
+        library = Tokenizer.from_file(path)
+        if plain:
+            library.encode_special_tokens = True
+        assert [x.tolist() for x in token_files.Encoder(path, plain).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_round_trip(spark):
@@ -425,17 +433,19 @@ def test_token_files_round_trip(spark):
 
     path, vocabulary = token_files.default_tokenizer()
     r = random.Random(12)
-    texts = [t for t in ODD if t is None or len(t) < 10_000] + [prose(r, r.randint(1, 80)) for _ in range(60)]
+    texts = [t for t in ODD if t is None or len(t) < 10_000] + ["<|endoftext|> a"] + [prose(r, r.randint(1, 80)) for _ in range(60)]
     ids = list(range(len(texts)))
     r.shuffle(ids)
-    got = {x.doc_id: x for x in token_files.encode_documents(frame(spark, texts, ids), path, vocabulary, block_ids=500).collect()}
-    t, start = Tokenizer.from_file(path), 0
-    for i in sorted(ids):
-        own = np.array([*t.encode(texts[ids.index(i)] or "", add_special_tokens=False).ids, 0], "<u4")
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(own), zlib.crc32(own.tobytes()))
-        start += len(own)
+    for size in (vocabulary, 100_000):  # 16 and 17 bits
+        got = {x.doc_id: x for x in token_files.encode_documents(frame(spark, texts, ids), path, size, block_ids=500).collect()}
+        t, start = Tokenizer.from_file(path), 0
+        for i in sorted(ids):
+            own = np.array([*t.encode(texts[ids.index(i)] or "", add_special_tokens=False).ids, 0], "<u4")
+            assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(own), zlib.crc32(own.tobytes()))
+            start += len(own)
     assert token_files.encode_documents(frame(spark, []), path, vocabulary).count() == 0
-    assert token_files.encode_documents(frame(spark, ["a b", "a b", "c"], [1, 1, None]), path, vocabulary).count() == 3
+    got = sorted((x.start, x.doc_id, x.n_tokens) for x in token_files.encode_documents(frame(spark, ["a b", "a b", "c"], [1, 1, None]), path, vocabulary).collect())
+    assert got == [(0, None, 2), (2, 1, 3), (5, 1, 3)]
 
 
 def test_token_files_random_access(spark):
@@ -495,7 +505,9 @@ def test_extra_columns_with_clashing_names(spark, url_model):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit(1))
     bench = spark.createDataFrame([(0, "q w e r t y u i o p a s d f")], "item_id long, text string").withColumn("key", F.lit(1))
     path, vocabulary = token_files.default_tokenizer()
-    for out in (line_dedup.dedup_lines(docs), simhash.near_duplicates(docs), quality.classify(docs, labels), pii.find(docs), decontaminate.clean(docs, bench), licences.scan(docs), token_files.encode_documents(docs, path, vocabulary), mixing.mix(docs), quality.filter_good(docs, labels), simhash.keep_one(docs)):
-        assert 1 <= out.count() <= 2, out.columns
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for run in (line_dedup.dedup_lines, simhash.near_duplicates, lambda d: quality.classify(d, labels), pii.find, lambda d: decontaminate.clean(d, bench), licences.scan, lambda d: token_files.encode_documents(d, path, vocabulary), mixing.mix, lambda d: quality.filter_good(d, labels), simhash.keep_one, mixing.mixed_rows):
+        out, want = run(docs), run(plain)
+        assert sorted(map(str, out.select(want.columns).collect())) == sorted(map(str, want.collect())), want.columns
     pages = spark.createDataFrame([(0, "http://a.test/x")], "page_id long, url string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
     assert url_filter.judge(pages, url_model).count() == 1
