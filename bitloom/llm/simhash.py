@@ -40,7 +40,9 @@ STRANGERS = 64
 #: Most nodes whose ids are broadcast when texts are fetched; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
+#: Shingles that a worker keeps of the texts it compared last.
+HELD_SHINGLES = 200_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -292,7 +294,7 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
 
         def of(node: int, text: str) -> np.ndarray:
             if node not in last:
-                if len(last) > 64:
+                if sum(map(len, last.values())) > HELD_SHINGLES:
                     last.clear()
                 last[node] = np.unique(shingle_hashes(text, shingle, known))
             return last[node]
