@@ -153,66 +153,73 @@ def ring_for(n: int, tau: int = 4) -> tuple[int, int]:
 Check = Callable[[DataFrame], DataFrame]
 
 
-def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None, check: Check | None = None) -> DataFrame:
+def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None, check: Check | None = None, wide: int | None = None) -> DataFrame:
     """nodes(node: long, fp: long), distinct -> node, component (a node of its component, the same for all).
 
-    Nodes link when their fingerprints differ in ``tau`` bits at most and, where ``check`` is given,
-    it returns the pair: it gets distinct (a, b) and gives back those that link.
+    Nodes link when their fingerprints differ in ``tau`` bits at most, where ``wide`` is given fp and a
+    second fingerprint fp2 together in ``wide`` bits at most, and where ``check`` is given, it returns the
+    pair: it gets distinct (a, b) and gives back those that link.
     """
     nodes = cut(nodes)
     m, chain = ring or ring_for(nodes.count(), tau)
     masks = _masks(key_sets(m, tau, chain), segments(m))
     check = check or (lambda edges: edges)
+    fps = ["fp"] if wide is None else ["fp", "fp2"]
+    apart = lambda c, d: F.bit_count(F.col(c).bitwiseXOR(F.col(d)))
+
+    def near(a: str, b: str) -> Column:
+        out = apart(f"fp_{a}", f"fp_{b}") <= tau
+        return out if wide is None else out & (apart(f"fp_{a}", f"fp_{b}") + apart(f"fp2_{a}", f"fp2_{b}") <= wide)
+
+    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in fps]
+
+    def pairs(met: DataFrame, *more: Column) -> DataFrame:
+        # the joins' own condition stays short, as it runs for every two that share a key; the number
+        # keeps the filter behind them
+        x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+        met = met.select("a", "b", x.alias("x"), *more, F.monotonically_increasing_id().alias("number"))
+        fits = (F.col("number") >= 0) & _chain_test(F.col("x"), m, tau)
+        if more:  # a pair that meets under several keys counts under the first of them
+            first = F.array_position(F.array(*[F.col("x").bitwiseAND(F.lit(v)) == 0 for v in masks]), True)
+            fits = fits & (first == F.col("k") + 1)
+        return met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # 1: families.  A few coarse keys; a pivot of each bucket that isn't of one component
-    label = nodes.select("node", "fp", F.col("node").alias("component"))
+    label = nodes.select("node", *fps, F.col("node").alias("component"))
     coarse = _masks([(i,) for i in range(FAMILY_KEYS)], segments(FAMILY_KEYS))
     for r in range(PIVOTS):
-        rows = _keyed(label, coarse)
-        order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("pivot"), F.col("fp").alias("pivot_fp"))
-        pivot = rows.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "p.pivot", "p.pivot_fp")
-        met = rows.join(pivot, "key").where((F.col("node") != F.col("pivot")) & _near("fp", "pivot_fp", m, tau))
-        label = _relabel(label, check(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()))
+        rows = _keyed(label, fps, coarse)
+        order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("b"), *named("b"))
+        pivot = rows.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "p.*").drop("h")
+        met = rows.select("key", F.col("node").alias("a"), *named("a")).join(pivot, "key").where((F.col("a") != F.col("b")) & near("a", "b"))
+        label = _relabel(label, fps, check(pairs(met).distinct()))
     # 2: exactly.  In buckets of several components all rows but those of the commonest (estimated by the
     # hash order's first row, any choice is right) meet all rows of other components
-    rows = _keyed(label, masks)
+    rows = _keyed(label, fps, masks)
     main = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
     rows = rows.join(main, "key")
-    other = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
-    every = rows.select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("of_main"), "k")
-    met = (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & _near("fa", "fb", m, tau) & _first_key("fa", "fb", masks)
-    met = other.join(every, (other["key"] == every["key"]) & met)
-    return _relabel(label, check(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())).select("node", "component")
+    other = rows.where("component <> main").select("key", F.col("node").alias("a"), *named("a"), F.col("component").alias("ca"))
+    every = rows.select(F.col("key").alias("key_b"), F.col("node").alias("b"), *named("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("of_main"), "k")
+    met = other.join(every, (F.col("key") == F.col("key_b")) & near("a", "b") & (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))))
+    return _relabel(label, fps, check(pairs(met, F.col("k")))).select("node", "component")
 
 
 def _masks(sets: list[tuple[int, ...]], parts: list[tuple[int, int]]) -> list[int]:
     return [_mask([parts[i] for i in s]) for s in sets]
 
 
-def _keyed(label: DataFrame, masks: list[int]) -> DataFrame:
-    """node, fp, component, k, key: one row for each set of segments (the k-th), key covering the bits under it."""
+def _keyed(label: DataFrame, fps: list[str], masks: list[int]) -> DataFrame:
+    """node, fps, component, k, key: one row for each set of segments (the k-th), key covering the bits under it."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(v))) for k, v in enumerate(masks)])
-    return label.select("node", "fp", "component", F.posexplode(keys).alias("k", "key"))
+    return label.select("node", *fps, "component", F.posexplode(keys).alias("k", "key"))
 
 
-def _near(a: str, b: str, m: int, tau: int) -> Column:
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return (F.bit_count(x) <= tau) & _chain_test(x, m, tau)
-
-
-def _first_key(a: str, b: str, masks: list[int]) -> Column:
-    """A pair that meets under several keys counts under the first of them only (``k`` is that of the row)."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    first = F.array_position(F.array(*[x.bitwiseAND(F.lit(v)) == 0 for v in masks]), True)
-    return first == F.col("k") + 1
-
-
-def _relabel(label: DataFrame, edges: DataFrame) -> DataFrame:
+def _relabel(label: DataFrame, fps: list[str], edges: DataFrame) -> DataFrame:
     """Components after adding edges between nodes: the edges are carried over to the present components."""
     to = label.select(F.col("node").alias("a"), F.col("component").alias("x"))
     edges = edges.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     joined = union_components(edges).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return cut(label.join(joined, "component", "left").select("node", "fp", F.coalesce("to", "component").alias("component")))
+    return cut(label.join(joined, "component", "left").select("node", *fps, F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, shingle: int = 4) -> DataFrame:
@@ -256,7 +263,7 @@ def shingle_hashes(text: str | None, shingle: int, known: dict[bytes, int]) -> n
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id (NULL_ID for null), version, node (of the words in order: the same for texts of the same words), fp."""
+    """doc_id (NULL_ID for null), version, node (of the words in order: the same for texts of the same words), fp, fp2."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -265,12 +272,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             for t in pdf["text"].tolist():
                 h = shingle_hashes(t, shingle, known)
                 node = xxhash.xxh64_intdigest(h.tobytes(), len(h))
-                out.append((np.uint64(node).astype(np.int64), majority_bits(h)))
-            yield pd.concat([pdf[["doc_id", "version"]], pd.DataFrame(out, columns=["node", "fp"])], axis=1)
+                out.append((np.uint64(node).astype(np.int64), majority_bits(h), majority_bits(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ h >> np.uint64(29))))
+            yield pd.concat([pdf[["doc_id", "version"]], pd.DataFrame(out, columns=["node", "fp", "fp2"])], axis=1)
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    return rows.mapInPandas(each, "doc_id long, version long, node long, fp long")
+    return rows.mapInPandas(each, "doc_id long, version long, node long, fp long, fp2 long")
 
 
 def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -278,9 +285,10 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
 
     Only texts that stand in an edge are fetched, one for each node.
     """
-    edges = cut(edges)
-    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))).distinct()
-    holders = cut(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("d")).select("node", F.col("d.doc_id").alias("h_id"), F.col("d.version").alias("h_version")))
+    edges = cut(edges)  # distinct
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    holders = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("d")).join(ends, "node", "left_semi")
+    holders = cut(holders.select("node", F.col("d.doc_id").alias("h_id"), F.col("d.version").alias("h_version")))
     few = holders.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     text = F.col(text_col).cast("string")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("h_id"), F.xxhash64(text).alias("h_version"), text.alias("text"))
@@ -310,17 +318,18 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
     return cut(both.mapInPandas(compare, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 8, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 8, wide: int = 24, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id (NULL_ID for null), version (hash of the text), component of every row.
 
-    Texts link when their fingerprints of ``shingle``-word shingles differ in ``tau`` bits at most and
-    the shingles' Jaccard similarity is at least ``similarity``; texts of the same words always do.
-    A pair of 0.8 differs in some 10 of 64 bits, so ``tau`` decides how many of such pairs are seen
-    (the README has figures); what is linked is never less similar.
+    Texts link when their fingerprints of ``shingle``-word shingles differ in ``tau`` of 64 bits at
+    most, a second one and the first together in ``wide`` of 128, and the shingles' Jaccard similarity
+    is at least ``similarity``; texts of the same words always do.  A pair of 0.8 differs in some 10 of
+    64 bits, so ``tau`` decides how many of such pairs are seen (the README has figures); what is
+    linked is never less similar.
     """
     bounded_batches(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col, shingle))
-    found = components(rows.select("node", "fp").distinct(), tau, check=lambda edges: alike(docs, rows, edges, id_col, text_col, shingle, similarity))
+    found = components(rows.select("node", "fp", "fp2").distinct(), tau, wide=wide, check=lambda edges: alike(docs, rows, edges, id_col, text_col, shingle, similarity))
     return rows.join(found, "node").select("doc_id", "version", "component")
 
 

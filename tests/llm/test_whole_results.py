@@ -16,11 +16,14 @@ from bitloom.llm.common import cut, discard
 # --- near copies: one row of each component ---------------------------------------------------------
 
 
-def brute_similar(texts, tau, shingle, similarity):
+def brute_similar(texts, tau, shingle, similarity, wide=24):
     """Component of each text by all pairs; shingles as tuples of words, fingerprints from the module's hashes."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
     sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
-    fps = [simhash.majority_bits(simhash.shingle_hashes(t, shingle, {})) % (1 << 64) for t in texts]
+    hashes = [simhash.shingle_hashes(t, shingle, {}) for t in texts]
+    fps = [simhash.majority_bits(h) % (1 << 64) for h in hashes]
+    second = [simhash.majority_bits(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ h >> np.uint64(29)) % (1 << 64) for h in hashes]
+    bits = lambda f, i, j: bin(f[i] ^ f[j]).count("1")
     root = list(range(len(texts)))
 
     def find(x):
@@ -30,7 +33,7 @@ def brute_similar(texts, tau, shingle, similarity):
 
     for i, j in itertools.combinations(range(len(texts)), 2):
         same, both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-        if words[i] == words[j] or bin(fps[i] ^ fps[j]).count("1") <= tau and same >= similarity * both:
+        if words[i] == words[j] or bits(fps, i, j) <= tau and bits(fps, i, j) + bits(second, i, j) <= wide and same >= similarity * both:
             root[find(j)] = find(i)
     return [find(i) for i in range(len(texts))]
 
