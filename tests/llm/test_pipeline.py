@@ -64,7 +64,7 @@ def test_stages(spark, corpus):
 
     # 2: the smallest id of each component
     ids = sorted(first)
-    comp = brute_similar([texts[i] for i in ids], 8, 5, 0.8)
+    comp = brute_similar([texts[i] for i in ids], 6, 5, 0.8)
     second = sorted(x.doc_id for x in seen[1])
     assert second == [ids[k] for k in sorted({comp.index(c) for c in comp})] and len(second) < len(first)
     assert not any(kind[i] == "copy" and i - 5 in first for i in second)
@@ -121,7 +121,7 @@ def test_stages_lose_no_odd_rows(spark, tmp_path):
     assert sum(rows(kept).values()) == sum(x.keep for x in judged) and not rows(kept) - before
 
     one = rows(steps[1](spark, docs, d))
-    comp = brute_similar(texts, 8, 5, 0.8)
+    comp = brute_similar(texts, 6, 5, 0.8)
     assert max(one.values()) == 1 and sum(one.values()) == len(set(comp)) and not one - before
     of = {(i, t): c for i, t, c in zip(ids, texts, comp, strict=True)}
     assert {of[i, t] for i, t, _ in one} == set(comp)
