@@ -10,8 +10,8 @@ under a key must then pass the chain test, and last the full distance.
 Only distinct fingerprints are joined.  Components need connectivity, not pairs, so it comes in
 two steps.  First every fingerprint is compared with the pivot of each of a few coarse buckets (linear,
 whatever the bucket's size).  Then only fingerprints of different components are compared, exactly
-and without limits: in each bucket all but those of its commonest component against all others.
-Hot buckets are one component after the first step and cost nothing in the second.
+and without limits: in each large bucket all but those of its commonest component against all
+others.  Hot buckets are one component after the first step and cost nothing in the second.
 
 ``near_duplicates`` links by fingerprints alone; ``similar_components`` and ``keep_one`` hold every
 candidate pair's shingles against each other before they link.
@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh, ship, table, union_components
+from .common import bounded_batches, cut, fresh, ship, small, table, union_components
 
 BITS, SEED = 64, 42
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
 #: Rounds of pivots before the exact step, and their keys (segments that must be equal, one at a time).
 PIVOTS, FAMILY_KEYS = 1, 4
-#: Fingerprints that share a key by chance, more or less.
-STRANGERS = 64
+#: Fingerprints that share a key by chance, more or less, and rows from which on a bucket is large.
+STRANGERS, LARGE_BUCKET = 64, 512
 #: Most nodes whose ids are broadcast when texts are fetched; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a worker keeps.
@@ -189,15 +189,25 @@ def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = No
         pivot = rows.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "p.*").drop("h")
         met = rows.select("key", F.col("node").alias("a"), *named("a")).join(pivot, "key").where(near & (F.col("a") != F.col("b")))
         label = _relabel(label, fps, check(pairs(met).distinct()))
-    # 2: exactly.  In buckets of several components all rows but those of the commonest (estimated by the
-    # hash order's first row, any choice is right) meet all rows of other components
+    # 2: exactly.  Buckets of a moderate size: all their pairs of different components.  In larger ones that
+    # aren't of one component all rows but those of the commonest (estimated by the hash order's first row,
+    # any choice is right) meet all rows of other components
     rows = _keyed(label, fps, masks)
-    main = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
-    rows = rows.join(main, "key")
-    other = rows.where("component <> main").select("key", F.col("node").alias("a"), *named("a"), F.col("component").alias("ca"))
-    every = rows.select(F.col("key").alias("key_b"), F.col("node").alias("b"), *named("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("of_main"), "k")
-    met = other.join(every, (F.col("key") == F.col("key_b")) & near & (F.col("ca") != F.col("cb")) & (F.col("of_main") | (F.col("a") < F.col("b"))) & first_key)
-    return _relabel(label, fps, check(pairs(met))).select("node", "component")
+    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET).select("key"))
+    some = bool(large.limit(1).count())
+    left = lambda df: df.select("key", F.col("node").alias("a"), *named("a"), F.col("component").alias("ca"))
+    right = lambda df, *more: df.select(F.col("key").alias("key_b"), F.col("node").alias("b"), *named("b"), F.col("component").alias("cb"), "k", *more)
+    met = (F.col("key") == F.col("key_b")) & near & (F.col("ca") != F.col("cb")) & first_key
+    plain = rows.join(small(large), "key", "left_anti") if some else rows
+    edges = pairs(left(plain).join(right(plain), met & (F.col("a") < F.col("b"))))
+    if some:
+        most = rows.join(small(large), "key")
+        main = most.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
+        most = most.join(main, "key")
+        other = left(most.where("component <> main"))
+        every = right(most, (F.col("component") == F.col("main")).alias("of_main"))
+        edges = edges.union(pairs(other.join(every, met & (F.col("of_main") | (F.col("a") < F.col("b"))))))
+    return _relabel(label, fps, check(edges.distinct())).select("node", "component")
 
 
 def _masks(sets: list[tuple[int, ...]], parts: list[tuple[int, int]]) -> list[int]:
@@ -314,7 +324,7 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
     return cut(both.mapInPandas(compare, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 6, wide: int = 22, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 6, wide: int = 20, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id (NULL_ID for null), version (hash of the text), component of every row.
 
     Texts link when one of two fingerprints of their ``shingle``-word shingles differs in ``tau`` of 64

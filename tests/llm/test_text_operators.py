@@ -116,7 +116,9 @@ def test_simhash_against_brute_force(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(range(len(texts)), fps, 4)
 
 
-def test_simhash_hot_cluster(spark):
+@pytest.mark.parametrize("large", [512, 3])
+def test_simhash_hot_cluster(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
     r = random.Random(4)
     base = r.getrandbits(64)
     fps = set()

@@ -16,7 +16,7 @@ from bitloom.llm.common import cut, discard
 # --- near copies: one row of each component ---------------------------------------------------------
 
 
-def brute_similar(texts, tau, shingle, similarity, wide=22):
+def brute_similar(texts, tau, shingle, similarity, wide=20):
     """Component of each text by all pairs; shingles as tuples of words, fingerprints from the module's hashes."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
     sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
