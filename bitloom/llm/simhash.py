@@ -157,32 +157,31 @@ def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = No
     """nodes(node: long, fp: long), distinct -> node, component (a node of its component, the same for all).
 
     Nodes link when their fingerprints differ in ``tau`` bits at most.  Where ``wide`` is given, there is a
-    second fingerprint fp2: either must be within ``tau``, and both together within ``wide``.  Where
-    ``check`` is given, it must also return the pair: it gets distinct (a, b) and gives back those that link.
+    second fingerprint fp2, and both together must be within ``wide``.  Where ``check`` is given, it must
+    also return the pair: it gets distinct (a, b) and gives back those that link.
     """
     nodes = cut(nodes)
     m, chain = ring or ring_for(nodes.count(), tau)
     check = check or (lambda edges: edges)
     fps = ["fp"] if wide is None else ["fp", "fp2"]
-    masks = [(c, v) for c in fps for v in _masks(key_sets(m, tau, chain), segments(m))]
+    masks = _masks(key_sets(m, tau, chain), segments(m))
     apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    near = apart("fp") <= tau if wide is None else (apart("fp") + apart("fp2") <= wide) & ((apart("fp") <= tau) | (apart("fp2") <= tau))
+    near = apart("fp") <= tau if wide is None else (apart("fp") <= tau) & (apart("fp") + apart("fp2") <= wide)
     named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in fps]
-    xor = lambda c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+    xor = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     # a pair that meets under several keys counts under the first of them
-    first_key = F.array_position(F.array(*[xor(c).bitwiseAND(F.lit(v)) == 0 for c, v in masks]), True) == F.col("k") + 1
+    first_key = F.array_position(F.array(*[xor.bitwiseAND(F.lit(v)) == 0 for v in masks]), True) == F.col("k") + 1
 
     def pairs(met: DataFrame) -> DataFrame:
         # the chain test stays out of the join's own condition, which runs for every two that share a key:
         # the number keeps this filter behind it
-        met = met.select("a", "b", *[xor(c).alias(f"x_{c}") for c in fps], F.monotonically_increasing_id().alias("number"))
-        fits = [(F.bit_count(f"x_{c}") <= tau) & _chain_test(F.col(f"x_{c}"), m, tau) for c in fps]
-        met = met.where((F.col("number") >= 0) & (fits[0] if wide is None else fits[0] | fits[1]))
+        met = met.select("a", "b", xor.alias("x"), F.monotonically_increasing_id().alias("number"))
+        met = met.where((F.col("number") >= 0) & _chain_test(F.col("x"), m, tau))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # 1: families.  A few coarse keys; a pivot of each bucket that isn't of one component
     label = nodes.select("node", *fps, F.col("node").alias("component"))
-    coarse = [("fp", v) for v in _masks([(i,) for i in range(FAMILY_KEYS)], segments(FAMILY_KEYS))]
+    coarse = _masks([(i,) for i in range(FAMILY_KEYS)], segments(FAMILY_KEYS))
     for r in range(PIVOTS):
         rows = _keyed(label, fps, coarse)
         order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("b"), *named("b"))
@@ -214,9 +213,9 @@ def _masks(sets: list[tuple[int, ...]], parts: list[tuple[int, int]]) -> list[in
     return [_mask([parts[i] for i in s]) for s in sets]
 
 
-def _keyed(label: DataFrame, fps: list[str], masks: list[tuple[str, int]]) -> DataFrame:
+def _keyed(label: DataFrame, fps: list[str], masks: list[int]) -> DataFrame:
     """node, fps, component, k, key: one row for each set of segments (the k-th), key covering the bits under it."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col(c).bitwiseAND(F.lit(v))) for k, (c, v) in enumerate(masks)])
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(v))) for k, v in enumerate(masks)])
     return label.select("node", *fps, "component", F.posexplode(keys).alias("k", "key"))
 
 
@@ -324,11 +323,11 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
     return cut(both.mapInPandas(compare, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 6, wide: int = 20, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 6, wide: int = 22, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id (NULL_ID for null), version (hash of the text), component of every row.
 
-    Texts link when one of two fingerprints of their ``shingle``-word shingles differs in ``tau`` of 64
-    bits at most, both together in ``wide`` of 128, and the shingles' Jaccard similarity is at least
+    Texts link when their fingerprints of ``shingle``-word shingles differ in ``tau`` of 64 bits at most,
+    with a second one in ``wide`` of 128, and the shingles' Jaccard similarity is at least
     ``similarity``; texts of the same words always do.  A pair of 0.8 differs in some 10 of 64 bits, so
     ``tau`` decides how many of such pairs are seen (the README has figures); what is linked is never
     less similar.
