@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import analysis, cluster, metrics
+from .operators import analysis, cluster, metrics, pairs
 from .sources import npy, smiles
 
 
@@ -42,21 +42,26 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--bin-size", type=int, default=10)
         c.add_argument("--midsection-rounds", type=int, default=1)
         c.add_argument("--max-fps", type=int)
+        c.add_argument("--one-tree", action="store_true", help="one tree, whatever the number of rows")
+        c.add_argument("--split-largest", action="store_true", help="take the largest clusters apart between rounds")
     c = command("summary")
     c.add_argument("fps", help="folder of fingerprint files")
     c.add_argument("--top", type=int, default=20)
+    c.add_argument("--output", help="folder for the table as CSV")
     c.add_argument("--metrics", action="store_true")
     command("info")
     c = command("split", "output")
     c.add_argument("--parts", type=int)
     c.add_argument("--max-fps-per-file", type=int)
     c = command("merge", "output")
+    c.add_argument("--max-fps-per-file", type=int, default=1_000_000)
     c = command("shuffle", "output")
     c.add_argument("--seed", type=int, required=True)
     c = command("from-smiles", "output")
     c.add_argument("--kind", default="substrings4")
     c.add_argument("--n-features", type=int, default=2048)
     c.add_argument("--skip-invalid", action="store_true")
+    c.add_argument("--max-fps-per-file", type=int, help="write .npy files of so many rows instead of a table")
     return p
 
 
@@ -72,23 +77,29 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         if a.command == "run":
             steps = [cluster.Refine(a.refine_num, a.refine_merge_criterion, a.threshold_change, a.tolerance) for _ in range(a.refine_rounds)]
             steps += [cluster.Recluster(a.recluster_rounds, seed=a.seed)] if a.recluster_rounds else []
-            found = cluster.labelled(cluster.fit(fps, width, params, steps)).cache()
-            members = cluster.assignments(found)
+            found, members = cluster.fit_all(fps, width, params, steps, one_tree=a.one_tree)
+            found = found.cache()
         else:
             files = fps.select("file").distinct().withColumn("part", F.row_number().over(Window.orderBy("file")).cast("long"))
-            part = fps.join(F.broadcast(files), "file")  # one row per file
-            rounds = cluster.Rounds(a.bin_size, a.midsection_rounds, a.refine_merge_criterion, None, a.threshold_change, tolerance=a.tolerance)
+            part = fps.join(pairs.small(files, 0), "file")  # one row per file
+            rounds = cluster.Rounds(a.bin_size, a.midsection_rounds, a.refine_merge_criterion, None, a.threshold_change, tolerance=a.tolerance, split_largest=a.split_largest)
             found, members = cluster.multiround(part, width, params, rounds)
         found.write.mode(mode).parquet(f"{a.output}/clusters")
+        fitted = time.time()
         cluster.cluster_centroids(found, width).select("label", "n", "words").write.mode(mode).parquet(f"{a.output}/centroids")
         members.write.mode(mode).parquet(f"{a.output}/assignments")
+        smiles.write_run(spark, a.output, vars(a), {"read and fit": fitted - began, "total": time.time() - began})
         print(json.dumps(vars(a) | {"seconds": round(time.time() - began, 3)}))
     elif a.command == "summary":
         members = spark.read.parquet(f"{a.input}/assignments")
         fps = npy.read_npy(spark, a.fps)
         width = 64 * fps.select(F.size("words")).first()[0]
         analysis.size_stats(members).show(truncate=False)
-        analysis.cluster_analysis(members, fps, width, a.top).orderBy("rank").show(a.top, truncate=False)
+        analysis.summary_ratios(members).show(truncate=False)
+        table = analysis.cluster_analysis(members, fps, width, a.top).orderBy("rank").cache()
+        table.show(a.top, truncate=False)
+        if a.output:
+            smiles.write_metrics(table, a.output)
         if a.metrics:
             largest = analysis.top_clusters(members, 100, 1).select("label")
             rows = members.join(F.broadcast(largest), "label", "left_semi").join(fps.select("fp_id", "words"), "fp_id").cache()
@@ -98,12 +109,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "split":
         npy.split(npy.read_npy(spark, a.input), a.parts, a.max_fps_per_file).write.mode(mode).partitionBy("part").parquet(a.output)
     elif a.command == "merge":
-        npy.read_npy(spark, a.input).write.mode(mode).parquet(a.output)
+        # numbers run on over the files, by name
+        npy.write_npy(npy.read_npy(spark, a.input), a.output, 64 * npy.read_npy(spark, a.input).select(F.size("words")).first()[0], a.max_fps_per_file)
     elif a.command == "shuffle":
         npy.shuffle(npy.read_npy(spark, a.input), a.seed).write.mode(mode).parquet(a.output)
     else:
         fps = smiles.fps_from_smiles(smiles.read_smiles(spark, a.input), a.kind, a.n_features, a.skip_invalid)
-        smiles.valid(fps).write.mode(mode).parquet(a.output)
+        fps = smiles.valid(fps)
+        if a.max_fps_per_file:
+            npy.write_npy(fps, a.output, a.n_features, a.max_fps_per_file)
+        else:
+            fps.write.mode(mode).parquet(a.output)
 
 
 if __name__ == "__main__":

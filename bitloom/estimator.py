@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits as B
@@ -29,24 +31,27 @@ class _Settings(Params):
 
 
 class BitClusters(Estimator, _Settings):
-    """Clusters fingerprints (fp_id, words) with one tree per ``part`` column, or one tree in all."""
+    """Clusters fingerprints (fp_id, words): one tree per ``part`` column where there is one; else one tree for a
+    table of up to ``cluster.PART_ROWS`` rows, and trees and merging rounds for a larger one."""
 
     def __init__(self, **given):
         super().__init__()
         self._start(**given)
 
     def _fit(self, dataset: DataFrame) -> BitClustersModel:
-        part = "part" if "part" in dataset.columns else None
-        found = cluster.labelled(cluster.fit(dataset, self.getOrDefault(self.nFeatures), self.settings(), part=part))
-        return self._model(found)
+        n, settings = self.getOrDefault(self.nFeatures), self.settings()
+        if "part" in dataset.columns:
+            return self._model(cluster.labelled(cluster.fit(dataset, n, settings, part="part")))
+        found, members = cluster.fit_all(dataset, n, settings)
+        return self._model(found, members)
 
     def partial_fit(self, model: BitClustersModel | None, dataset: DataFrame) -> BitClustersModel:
         """The model after online insertion of more rows."""
         old = model.clusters.select("pos", "n", "ls", "ids") if model else None
         return self._model(cluster.labelled(cluster.partial_fit(old, dataset, self.getOrDefault(self.nFeatures), self.settings())))
 
-    def _model(self, clusters: DataFrame) -> BitClustersModel:
-        return self._copyValues(BitClustersModel(clusters.cache()))
+    def _model(self, clusters: DataFrame, members: DataFrame | None = None) -> BitClustersModel:
+        return self._copyValues(BitClustersModel(clusters.cache(), members))
 
     def fit_predict(self, dataset: DataFrame) -> DataFrame:
         """fp_id, label as the tree assigned them (transform assigns to the nearest centroid instead)."""
@@ -54,20 +59,35 @@ class BitClusters(Estimator, _Settings):
 
 
 class BitClustersModel(Model, _Settings):
-    def __init__(self, clusters: DataFrame):
+    def __init__(self, clusters: DataFrame, members: DataFrame | None = None):
         super().__init__()
         self._start()
-        self.clusters = clusters
+        self.clusters, self.members = clusters, members
 
     def assignments(self) -> DataFrame:
-        return cluster.assignments(self.clusters)
+        """fp_id, label of every fitted row."""
+        return cluster.assignments(self.clusters) if self.members is None else self.members
+
+    def save(self, path: str) -> None:
+        """Clusters, members and parameters; ``load`` gives the model back."""
+        self.clusters.write.parquet(f"{path}/clusters")
+        self.assignments().write.parquet(f"{path}/members")
+        given = [(p.name, json.dumps(self.getOrDefault(p))) for p in self.params if self.isDefined(p)]
+        self.clusters.sparkSession.createDataFrame(given, "name string, value string").coalesce(1).write.parquet(f"{path}/parameters")
+
+    @classmethod
+    def load(cls, path: str) -> BitClustersModel:
+        spark = SparkSession.active()
+        model = cls(spark.read.parquet(f"{path}/clusters"), spark.read.parquet(f"{path}/members"))
+        return model._set(**{r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/parameters").collect()})  # a row a parameter
 
     def centroids(self) -> DataFrame:
         """label, words of the clusters."""
         return cluster.cluster_centroids(self.clusters, self.getOrDefault(self.nFeatures)).select("label", "words")
 
     def features_out(self) -> list[str]:
-        return [f"cluster{r['label']}" for r in self.clusters.select("label").orderBy("label").collect()]
+        """Names of the distances, one for each label: labels are 1, 2, 3, ... without gaps."""
+        return [f"cluster{i}" for i in range(1, self.clusters.count() + 1)]
 
     def distances(self, dataset: DataFrame) -> DataFrame:
         """fp_id, label, distance to every centroid."""

@@ -63,3 +63,10 @@ def centroid_bits(ls: Column, n: Column) -> Column:
 def dtype_rank(n: Column) -> Column:
     """Bits of the smallest unsigned type that holds n: 8, 16, 32 or 64."""
     return F.when(n <= 255, 8).when(n <= 65535, 16).when(n <= 4294967295, 32).otherwise(64)
+
+
+def min_safe_uint(n: Column) -> Column:
+    """Bits of the smallest unsigned type that holds n (whole numbers of any width); negative or beyond 64 bits raises."""
+    whole = n.cast("decimal(38,0)")
+    fine = (whole >= 0) & (whole <= F.lit("18446744073709551615").cast("decimal(38,0)"))
+    return F.when(fine, dtype_rank(whole)).when(whole.isNotNull(), F.raise_error(F.lit("no unsigned type holds this"))).cast("int")

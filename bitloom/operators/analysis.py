@@ -42,6 +42,32 @@ def cluster_analysis(assigned: DataFrame, fps: DataFrame, n_features: int, top:
     return out.crossJoin(F.broadcast(total)).select("rank", "label", "size", (100 * F.col("size") / F.col("total")).alias("percent"), "isim")
 
 
+def summary_ratios(assigned: DataFrame) -> DataFrame:
+    """One row: clusters over rows, and the percentage of clusters that are single, above 10 and above 100."""
+    share = lambda c: (100 * F.col(c) / F.col("clusters")).alias(f"{c}_percent")
+    return size_stats(assigned).select("clusters", "rows", (F.col("clusters") / F.col("rows")).alias("clusters_per_row"), share("singletons"), share("above_10"), share("above_100"))
+
+
+def top_offsets(assigned: DataFrame, top: int = 20, min_size: int = 0) -> DataFrame:
+    """rank, label, n, start, stop: running ranges of the largest clusters, one after another."""
+    chosen = top_clusters(assigned, top, min_size)
+    stop = F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))  # at most ``top`` rows
+    return chosen.select("rank", "label", F.col("size").alias("n"), (stop - F.col("size")).alias("start"), stop.alias("stop"))
+
+
+def population(assigned: DataFrame, top: int = 20) -> DataFrame:
+    """What a plot of cluster sizes shows: rank, size and the running share of all rows of the largest clusters."""
+    total = assigned.agg(F.count(F.lit(1)).alias("total"))
+    run = F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return top_clusters(assigned, top).withColumn("run", run).join(F.broadcast(total), F.lit(True)).select("rank", "size", (F.col("run") / F.col("total")).alias("share"))
+
+
+def distinct_kinds(assigned: DataFrame, kinds: DataFrame) -> DataFrame:
+    """label, n_kinds: how many different values of kinds(fp_id, kind), such as scaffolds, a cluster holds."""
+    each = assigned.join(kinds.select("fp_id", "kind"), "fp_id").select("label", "kind").distinct()
+    return each.groupBy("label").agg(F.count("kind").alias("n_kinds"))
+
+
 def folds(assigned: DataFrame, k: int) -> DataFrame:
     """fp_id, label, fold: whole clusters go to folds, by label in turn."""
     return assigned.withColumn("fold", (F.col("label") % k).cast("int"))

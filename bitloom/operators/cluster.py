@@ -17,17 +17,20 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from . import merges, tree
 from .merges import Accept
 from .order import cut, numbered
+from .summaries import medoids
 from .tree import Entry, Tree, exploded, rebuild, regrouped
 
-#: Rows of a group that one tree is built over.
-PART_ROWS = 200_000
+#: Rows of a group that one tree is built over, and summaries that the last tree of a run is built over.
+PART_ROWS, LAST_SUMMARIES = 200_000, 200_000
+#: Centroids up to which grouping by agglomeration is done (it takes the square of their number, in one task).
+AGGLOMERATED = 5_000
 LEAVES = "part long, pos long, dtype int, n long, ls array<long>, ids array<long>"
 
 
@@ -136,6 +139,20 @@ def fit(fps: DataFrame, n_features: int, params: Params = Params(), steps: Seque
     return rows.groupBy("part").applyInPandas(build, LEAVES)
 
 
+def fit_all(fps: DataFrame, n_features: int, params: Params = Params(), steps: Sequence[Refine | Recluster] = (), rounds: Rounds | None = None, part_rows: int = PART_ROWS, one_tree: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(clusters with label, assignments fp_id and label) of a table of any size.
+
+    Up to ``part_rows`` rows are one tree, as they are with ``one_tree``.  More are a tree for each part
+    of so many rows, and rounds that merge their summaries; ``steps`` are a matter of single trees,
+    multi-round runs have their refinement in ``rounds``.
+    """
+    if one_tree or fps.limit(part_rows + 1).count() <= part_rows:
+        found = labelled(fit(fps, n_features, params, steps))
+        return found, assignments(found)
+    parts = fps if "part" in fps.columns else with_parts(fps, part_rows)
+    return multiround(parts, n_features, params, rounds or Rounds())
+
+
 def fit_summaries(summaries: DataFrame, n_features: int, params: Params, order: Sequence[str], part: str = "part") -> DataFrame:
     """Trees over summary rows (bf_id, n, ls), each part's in the given order; ids are those of summaries."""
     names = [c.removeprefix("-") for c in order]
@@ -162,9 +179,38 @@ def labelled(leaves: DataFrame) -> DataFrame:
     return leaves.join(rank.select("part", "pos", (F.col("label") + 1).alias("label")), ["part", "pos"])
 
 
-def assignments(clusters: DataFrame) -> DataFrame:
-    """fp_id, label of every member."""
-    return clusters.select(F.explode("ids").alias("fp_id"), "label")
+def assignments(clusters: DataFrame, global_labels: DataFrame | None = None) -> DataFrame:
+    """fp_id, label of every member; with ``global_labels`` (label, global_label) that of its group of clusters."""
+    out = clusters.select(F.explode("ids").alias("fp_id"), "label")
+    if global_labels is None:
+        return out
+    return out.join(global_labels, "label").select("fp_id", F.col("global_label").alias("label"))
+
+
+def members(clusters: DataFrame, in_order: bool = False) -> DataFrame:
+    """label, ids: members in order of insertion, or ascending."""
+    return clusters.select("label", F.array_sort("ids").alias("ids") if in_order else F.col("ids"))
+
+
+def cluster_medoids(assigned: DataFrame, fps: DataFrame, n_features: int) -> DataFrame:
+    """label, fp_id, words: the medoid of each cluster (or group of clusters) of assigned(fp_id, label)."""
+    rows = assigned.join(fps.select("fp_id", "words"), "fp_id")
+    found = medoids(rows, n_features, "label").withColumnRenamed("medoid_id", "fp_id")
+    return found.join(fps.select("fp_id", "words"), "fp_id").select("label", "fp_id", "words")
+
+
+def save(clusters: DataFrame, path: str, params: Params) -> None:
+    """A cluster table and its settings; what ``load`` gives back goes on being refined, merged or inserted into."""
+    if callable(params.merge):
+        raise ValueError("a custom criterion can't be saved")
+    clusters.write.parquet(f"{path}/clusters")
+    rows = [(params.threshold, params.branching, params.merge, params.tolerance)]
+    clusters.sparkSession.createDataFrame(rows, "threshold double, branching int, merge string, tolerance double").coalesce(1).write.parquet(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, Params]:
+    """(clusters, settings) of ``save``."""
+    return spark.read.parquet(f"{path}/clusters"), Params(**spark.read.parquet(f"{path}/settings").first().asDict())
 
 
 def check_assignments(found: DataFrame, n: int) -> None:
@@ -191,6 +237,8 @@ class Rounds:
     threshold_change: float = 0.0
     refinement: str = "full"  # none, split or full, before the first merging round
     tolerance: float = 0.05
+    split_largest: bool = False  # take the largest cluster of each batch apart after every midsection round
+    last_summaries: int = LAST_SUMMARIES  # more midsection rounds until so few are left, or until they help no more
 
 
 def multiround(fps: DataFrame, n_features: int, params: Params = RUN, rounds: Rounds = Rounds(), part: str = "part") -> tuple[DataFrame, DataFrame]:
@@ -198,8 +246,9 @@ def multiround(fps: DataFrame, n_features: int, params: Params = RUN, rounds: Ro
 
     Round 1 is a tree per part; each merging round takes batches of ``bin_size`` (part, counter
     width) pairs in order, wider counters first within a batch; the last round is one tree over all
-    summaries that are left, so its size is what bounds a run: more midsection rounds make it smaller.
-    Results don't depend on the number of executors.
+    summaries that are left: midsection rounds go on until ``last_summaries`` are left or a round
+    makes them hardly fewer.  Results don't depend on the number of executors.  Members of a cluster
+    that is taken apart are inserted by fp_id.
     """
     if rounds.refinement not in ("none", "split", "full"):
         raise ValueError("refinement is none, split or full")
@@ -223,13 +272,24 @@ def multiround(fps: DataFrame, n_features: int, params: Params = RUN, rounds: Ro
     bf_id = (F.shiftleft(F.col("part"), 32) + F.col("pos")).alias("bf_id")
     member = leaves.select(bf_id, F.explode("ids").alias("fp_id"))
     merging = Params(params.threshold + rounds.threshold_change, params.branching, rounds.merge, rounds.tolerance)
-    for _ in range(rounds.midsection):
+    done, left = 0, math.inf
+    while True:
+        if done >= rounds.midsection:
+            before, left = left, leaves.limit(rounds.last_summaries + 1).count()
+            if left <= rounds.last_summaries:
+                break
+            left = leaves.count()
+            if left > 0.9 * before:
+                break
+        done += 1
         summaries = leaves.select(bf_id, "part", "pos", "dtype", "n", "ls")
         pairs = summaries.groupBy("part", "dtype").count()  # a few rows for each part
         number = F.row_number().over(Window.orderBy("part", "dtype")) - 1
         batches = pairs.select("part", "dtype", F.floor(number / rounds.bin_size).cast("long").alias("batch"))
         leaves = cut(fit_summaries(summaries.join(batches, ["part", "dtype"]).withColumn("was", F.col("part")), n_features, merging, ["-dtype", "was", "pos"], part="batch"))
         member = _regroup(member, leaves)
+        if rounds.split_largest:
+            leaves, member = _without_largest(leaves, member, fps, n_features)
     summaries = leaves.select(bf_id, F.lit(0).alias("all"), "part", "pos", "dtype", "n", "ls").withColumn("was", F.col("part"))
     last = replace(merging, merge=rounds.final_merge or rounds.merge)
     leaves = cut(fit_summaries(summaries, n_features, last, ["was", "dtype", "pos"], part="all"))
@@ -244,22 +304,43 @@ def _regroup(member: DataFrame, leaves: DataFrame) -> DataFrame:
     return member.join(to, "bf_id").select(F.col("to").alias("bf_id"), "fp_id")
 
 
+def _without_largest(leaves: DataFrame, member: DataFrame, fps: DataFrame, n_features: int) -> tuple[DataFrame, DataFrame]:
+    """The largest cluster of each part taken apart into its fingerprints, behind all other summaries of the part."""
+    bf_id = F.shiftleft(F.col("part"), 32) + F.col("pos")
+    largest = leaves.where((F.col("pos") == 0) & (F.col("n") > 1))  # clusters come largest first
+    gone = largest.select(bf_id.alias("bf_id"), "part").join(leaves.groupBy("part").agg((F.max("pos") + 1).alias("behind")), "part")
+    apart = member.join(gone, "bf_id")
+    turn = F.row_number().over(Window.partitionBy("part").orderBy("fp_id")) - 1  # rows of a cluster within a batch
+    apart = apart.withColumn("pos", (F.col("behind") + turn).cast("long")).select("part", "pos", "fp_id")
+    apart = cut(apart)
+    bits = F.transform(B.unpack(F.col("words"), n_features), lambda b: b.cast("long"))
+    singles = apart.join(fps.select("fp_id", "words"), "fp_id").select("part", "pos", F.lit(8).alias("dtype"), F.lit(1).cast("long").alias("n"), bits.alias("ls"), F.array(F.lit(-1).cast("long")).alias("ids"))
+    kept = leaves.join(largest.select("part", "pos"), ["part", "pos"], "left_anti").select("part", "pos", "dtype", "n", "ls", "ids")
+    stay = member.join(gone.select("bf_id"), "bf_id", "left_anti").select("bf_id", "fp_id")
+    return cut(kept.unionByName(singles)), cut(stay.unionByName(apart.select(bf_id.alias("bf_id"), "fp_id")))
+
+
 def partial_fit(summaries: DataFrame | None, fps: DataFrame, n_features: int, params: Params = Params()) -> DataFrame:
     """Online insertion: new fingerprints go into the tree of the stored clusters; the new cluster table.
 
-    Stored clusters (n, ls, ids) are inserted first, in their order, then the rows by fp_id.
+    Stored clusters (n, ls, ids) are inserted first, in their order, then the rows by fp_id, which travel
+    as packed words.  It is one tree, and so one task: a table that has outgrown ``PART_ROWS`` clusters
+    is for ``multiround``.
     """
-    from pyspark.sql import SparkSession  # noqa: F401
-
-    rows = fps.select(F.lit(1).alias("kind"), F.col("fp_id").alias("pos"), F.lit(1).cast("long").alias("n"), F.transform(B.unpack(F.col("words"), n_features), lambda b: b.cast("long")).alias("ls"), F.array("fp_id").alias("ids"))
+    longs = F.lit(None).cast("array<long>")
+    rows = fps.select(F.lit(1).alias("kind"), F.col("fp_id").alias("pos"), F.lit(1).cast("long").alias("n"), longs.alias("ls"), "words", F.array("fp_id").alias("ids"))
     if summaries is not None:
-        rows = summaries.select(F.lit(0).alias("kind"), "pos", "n", "ls", "ids").unionByName(rows)
+        rows = summaries.select(F.lit(0).alias("kind"), "pos", "n", "ls", longs.alias("words"), "ids").unionByName(rows)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "pos"], kind="stable")
         t = params.tree(n_features)
-        for n, ls, ids in zip(pdf["n"], pdf["ls"], pdf["ids"], strict=True):
+        old = pdf[pdf["kind"] == 0]
+        for n, ls, ids in zip(old["n"], old["ls"], old["ids"], strict=True):
             t.insert(Entry(int(n), np.array(ls, np.int64), list(ids)))
+        new = pdf[pdf["kind"] == 1]
+        if len(new):
+            t.insert_words(packed_rows(new["words"]), new["pos"].tolist())
         return _rows(0, regrouped(t.clusters()))
 
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(build, LEAVES)
@@ -267,7 +348,8 @@ def partial_fit(summaries: DataFrame | None, fps: DataFrame, n_features: int, pa
 
 def global_clusters(clusters: DataFrame, n_features: int, k: int, method: str = "kmeans", seed: int = 42) -> DataFrame:
     """label, global_label (from 1): clusters grouped by their centroids with k-means (``kmeans-normalized``
-    on unit vectors) of Spark ML; k is at most the number of clusters.  Joined by label, never by position."""
+    on unit vectors) of Spark ML, or by ``agglomerative`` merging (Ward's) of at most AGGLOMERATED of them; k is
+    at most the number of clusters.  Joined by label, never by position."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
@@ -276,14 +358,44 @@ def global_clusters(clusters: DataFrame, n_features: int, k: int, method: str =
     rows = cut(clusters.select("label", bits.alias("bits"))).select("label", array_to_vector("bits").alias("features"))
     if method == "kmeans-normalized":
         rows = Normalizer(inputCol="features", outputCol="unit").transform(rows).select("label", F.col("unit").alias("features"))
-    elif method != "kmeans":
+    elif method not in ("kmeans", "agglomerative"):
         raise ValueError(f"unknown method {method!r}")
     k = min(k, rows.count())
+    if method == "agglomerative":
+        return _agglomerated(clusters.select("label", bits.alias("bits")), k)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="g").fit(rows) if k > 1 else None
     found = model.transform(rows) if model else rows.withColumn("g", F.lit(0))
     return found.select("label", (F.col("g") + 1).cast("long").alias("global_label"))
 
 
+def _agglomerated(rows: DataFrame, k: int) -> DataFrame:
+    """label, global_label: the two groups whose union raises the squared deviations least are merged until k are
+    left; groups are numbered by their smallest label."""
+    if rows.limit(AGGLOMERATED + 1).count() > AGGLOMERATED:
+        raise ValueError(f"more than {AGGLOMERATED} clusters; group them with k-means")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("label")
+        x = np.stack(pdf["bits"].to_list()).astype(float)
+        n, group, live = np.ones(len(x)), np.arange(len(x)), np.ones(len(x), bool)
+        square = (x * x).sum(axis=1)
+        cost = (square[:, None] + square[None] - 2 * x @ x.T) / 2  # of merging two single ones
+        np.fill_diagonal(cost, np.inf)
+        for _ in range(len(x) - k):
+            i, j = divmod(int(cost.argmin()), len(x))
+            i, j = min(i, j), max(i, j)
+            # cost of any third group with the union, from those with its halves
+            new = ((n[i] + n) * cost[i] + (n[j] + n) * cost[j] - n * cost[i, j]) / (n[i] + n[j] + n)
+            live[j] = False
+            new[~live] = new[i] = np.inf
+            cost[i], cost[:, i], cost[j], cost[:, j] = new, new, np.inf, np.inf
+            n[i] += n[j]
+            group[group == j] = i
+        return pd.DataFrame({"label": pdf["label"].to_numpy(np.int64), "global_label": np.unique(group, return_inverse=True)[1] + 1})
+
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(merge, "label long, global_label long")
+
+
 def threshold_rule(mean_isim: float, std: float, factor: float = 4.0) -> float:
     """A starting threshold: mean similarity and some standard deviations more, within 0 and 1."""
     return min(max(mean_isim + factor * std, 0.0), 1.0) if not math.isnan(mean_isim) else 0.0

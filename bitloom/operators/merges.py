@@ -7,6 +7,9 @@
 ``tolerance-legacy``    ... and a single newcomer is not too far from the others on average
 ``never-merge``         nothing merges
 A custom criterion is any callable of (threshold, new_ls, new_n, old_ls, nom_ls, old_n, nom_n).
+
+Criteria on iSIM need no more than (n, sum of the column sums, sum of their squares) of the union, the
+old entry and the newcomer: ``sums_criterion``.  The others are given the column sums.
 """
 
 from __future__ import annotations
@@ -17,18 +20,22 @@ from collections.abc import Callable
 import numpy as np
 
 Accept = Callable[[float, np.ndarray, int, np.ndarray, np.ndarray, int, int], bool]
+Sums = tuple[int, int, int]
 NAMES = ("radius", "diameter", "tolerance-diameter", "tolerance-radius", "tolerance-legacy", "never-merge")
+#: Size of the old entry at which an adaptive tolerance is used up, and its decay; fixed values.
+LARGEST, DECAY = 1000, 1e-3
 
 
-def isim(ls: np.ndarray, n: int) -> float:
+def isim_of(n: int, s: int, q: int) -> float:
+    """Mean pairwise similarity from the sum of column sums and the sum of their squares."""
     if n < 2:
         return math.nan
-    s = int(ls.sum())
-    if s == 0:
-        return 1.0
-    q = int(np.dot(ls, ls))
-    a = (q - s) / 2
-    return a / (a + (n * s - q))
+    common = (q - s) / 2
+    return common / (common + (n * s - q)) if s else 1.0
+
+
+def isim(ls: np.ndarray, n: int) -> float:
+    return isim_of(n, int(ls.sum()), int(np.dot(ls, ls)))
 
 
 def radius_complement(ls: np.ndarray, n: int) -> float:
@@ -36,35 +43,34 @@ def radius_complement(ls: np.ndarray, n: int) -> float:
     return ((n + 1) * isim(ls + centre, n + 1) - (n - 1) * isim(ls, n)) / 2
 
 
-def criterion(name: str | Accept, tolerance: float = 0.05, n_max: int = 1000, decay: float = 1e-3, adaptive: bool = True) -> Accept:
-    """The criterion of a name; callables pass.  ``tolerance`` counts only where the name has one."""
-    if callable(name):
-        return name
-    if name not in NAMES:
-        raise ValueError(f"unknown merge criterion {name!r}; known: {', '.join(NAMES)}")
+def allowance(tolerance: float, old_n: int, n_max: int = LARGEST, decay: float = DECAY) -> float:
+    """How far the union may fall below the old entry: all of the tolerance at first, nothing at ``n_max``."""
+    return max(tolerance * (math.exp(-decay * old_n) - math.exp(-decay * n_max)), 0.0)
+
+
+def sums_criterion(name: str | Accept, tolerance: float = 0.05) -> Callable[[float, Sums, Sums, Sums], bool] | None:
+    """The criterion as a function of (threshold, union, old, newcomer), each (n, s, q); None if that isn't enough."""
     if name == "never-merge":
         return lambda *_: False
-    measure = radius_complement if name in ("radius", "tolerance-radius") else isim
-    if name in ("radius", "diameter"):
-        return lambda t, new, n, *_: measure(new, n) >= t
+    if name == "diameter":
+        return lambda t, union, old, new: isim_of(*union) >= t
+    if name == "tolerance-diameter":
+        return lambda t, union, old, new: (d := isim_of(*union)) >= t and (old[0] == 1 or d >= isim_of(*old) - allowance(tolerance, old[0]))
     if name == "tolerance-legacy":
+        # mean similarity of a single newcomer to the old members, against the old mean
+        far = lambda d, n, before, m: (d * n - before * (m - 1)) / 2 < before - tolerance
+        return lambda t, union, old, new: (d := isim_of(*union)) >= t and not (old[0] > 1 and new[0] == 1 and far(d, union[0], isim_of(*old), old[0]))
+    return None
+
 
-        def legacy(t, new, n, old, nom, old_n, nom_n):
-            d = isim(new, n)
-            if d < t:
-                return False
-            if old_n == 1 or nom_n != 1:
-                return True
-            before = isim(old, old_n)
-            return (d * n - before * (old_n - 1)) / 2 >= before - tolerance
-
-        return legacy
-    rate, floor = (decay, math.exp(-decay * n_max)) if adaptive else (0.0, 0.0)
-
-    def within(t, new, n, old, nom, old_n, nom_n):
-        d = measure(new, n)
-        if d < t:
-            return False
-        return old_n == 1 or d >= measure(old, old_n) - max(tolerance * (math.exp(-rate * old_n) - floor), 0.0)
-
-    return within
+def criterion(name: str | Accept, tolerance: float = 0.05) -> Accept:
+    """The criterion of a name on column sums; callables pass.  ``tolerance`` counts only where the name has one."""
+    if callable(name):
+        return name
+    if name not in NAMES:
+        raise ValueError(f"unknown merge criterion {name!r}; known: {', '.join(NAMES)}")
+    if (by_sums := sums_criterion(name, tolerance)) is not None:
+        sums = lambda ls, n: (n, int(ls.sum()), int(np.dot(ls, ls)))
+        return lambda t, new, n, old, nom, old_n, nom_n: by_sums(t, sums(new, n), sums(old, old_n), sums(nom, nom_n))
+    least = (lambda old, old_n: radius_complement(old, old_n) - allowance(tolerance, old_n)) if name == "tolerance-radius" else (lambda *_: -math.inf)
+    return lambda t, new, n, old, nom, old_n, nom_n: (d := radius_complement(new, n)) >= t and (old_n == 1 or d >= least(old, old_n))

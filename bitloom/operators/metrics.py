@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import isim as I
-from .pairs import small
+from .pairs import meet
 from .summaries import centroids, linear_sums, medoids
 
 
@@ -51,7 +51,7 @@ def dbi(members: DataFrame, n_features: int, own: DataFrame | None = None) -> Da
     b = side.select(F.col("label").alias("j"), F.col("words").alias("wj"), F.col("s").alias("sj"))
     gap = 1 - B.jt_words(F.col("wi"), F.col("wj"))
     ratio = F.when(gap == 0, F.when(F.col("si") + F.col("sj") > 0, F.lit(float("inf")))).otherwise((F.col("si") + F.col("sj")) / gap)
-    worst = a.join(small(b), F.col("i") != F.col("j")).groupBy("i", "n").agg(F.max(ratio).alias("r"))
+    worst = meet(a, b, "i", "j", F.col("i") != F.col("j")).groupBy("i", "n").agg(F.max(ratio).alias("r"))
     return worst.agg(F.sum("r").alias("r"), F.sum("n").alias("n")).select((F.col("r") / F.col("n")).alias("dbi"))
 
 
@@ -65,5 +65,5 @@ def dunn(members: DataFrame, n_features: int) -> DataFrame:
     a = sums.select(F.col("label").alias("i"), F.col("n").alias("ni"), F.col("ls").alias("li"))
     b = sums.select(F.col("label").alias("j"), F.col("n").alias("nj"), F.col("ls").alias("lj"))
     union = 1 - I.isim_of(F.zip_with("li", "lj", lambda x, y: x + y), F.col("ni") + F.col("nj"))
-    gap = a.join(small(b), F.col("i") < F.col("j")).agg(F.least(F.min(union), F.lit(1.0)).alias("g"))
+    gap = meet(a, b, "i", "j", F.col("i") < F.col("j"), elements=n_features).agg(F.least(F.min(union), F.lit(1.0)).alias("g"))
     return gap.crossJoin(F.broadcast(top)).select((F.coalesce("g", F.lit(1.0)) / F.when(F.coalesce("d", F.lit(0.0)) == 0, 1.0).otherwise(F.col("d"))).alias("dunn"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,24 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's folder for checkpoints; a temporary one only where it names none."""
+    """The session's folder for checkpoints; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bitloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="bitloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept as a table in the shared folder; the plan starts anew from a scan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,24 +1,60 @@
 """Pairwise operators: similarity pairs and matrices, neighbours, nearest centroids.
 
 All pairs of a table are quadratic by definition, so they are meant for samples and summaries.
-Over whole tables use ``pairs_above`` (prefix of a length filter and bands of popcounts) or give
-the small side of a nearest-neighbour search.
+Sides that are small in bytes are broadcast; beyond that, rows are dealt into blocks, and blocks of
+both sides meet under keys of their own: an equi-join that any number of machines share, in which
+no key grows with the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 
-#: Rows of a side that is broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes of a side that is broadcast, and of a row's columns besides its array.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Rows of a block, where all rows of a table meet all others.
+BLOCK_ROWS = 20_000
+
+
+def _row_bytes(df: DataFrame, elements: int) -> int:
+    """Bytes of a row whose arrays have up to ``elements`` numbers."""
+    return ROW_BYTES + 8 * elements * sum(t.startswith("array") for _, t in df.dtypes)
+
+
+def fits(df: DataFrame, elements: int = 32) -> bool:
+    """Whether the frame, with arrays of so many numbers, is small enough to broadcast; it counts up to the limit."""
+    rows = BROADCAST_BYTES // _row_bytes(df, elements)
+    return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast only if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, elements: int = 32) -> DataFrame:
+    """The frame, marked for broadcast only if it is small in bytes."""
+    return F.broadcast(df) if fits(df, elements) else df
+
+
+def blocks(n: int) -> int:
+    return max(1, math.ceil(n / BLOCK_ROWS))
+
+
+def meet(a: DataFrame, b: DataFrame, id_a: str, id_b: str, on: Column, elements: int = 32, keys: list[str] | None = None) -> DataFrame:
+    """Rows of a with rows of b for which ``on`` holds (and the columns ``keys``, if any, are equal).
+
+    b is broadcast if it is small; else each row of a stands in one row of blocks and each of b in one
+    column, and every cell of that square is a join key.
+    """
+    if keys is None and fits(b, elements):
+        return a.join(F.broadcast(b), on)
+    sa, sb = blocks(a.count()), blocks(b.count())
+    turn = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = a.withColumn("block_a", turn(id_a, sa)).withColumn("block_b", every(sb))
+    right = b.withColumn("block_b", turn(id_b, sb)).withColumn("block_a", every(sa))
+    return left.join(right, [*(keys or []), "block_a", "block_b"]).where(on).drop("block_a", "block_b")
 
 
 def _side(fps: DataFrame, tag: str) -> DataFrame:
@@ -31,8 +67,7 @@ def _jt():
 
 def similarity_pairs(fps: DataFrame) -> DataFrame:
     """id_1 < id_2, jt for all pairs."""
-    a, b = _side(fps, "1"), _side(fps, "2")
-    return a.join(small(b), F.col("id_1") < F.col("id_2")).select("id_1", "id_2", _jt().alias("jt"))
+    return meet(_side(fps, "1"), _side(fps, "2"), "id_1", "id_2", F.col("id_1") < F.col("id_2")).select("id_1", "id_2", _jt().alias("jt"))
 
 
 def similarity_matrix(fps: DataFrame) -> DataFrame:
@@ -47,10 +82,8 @@ def pairs_above(fps: DataFrame, threshold: float) -> DataFrame:
 
     Similar fingerprints have popcounts within a factor: t * |x| <= |y| <= |x| / t.  Popcounts fall
     into bands of that factor, so partners are in the same or a neighbouring band: an equi-join on
-    bands, with the popcount filter and the similarity behind it.
+    bands and, within them, blocks, so that a band that holds most rows is many keys.
     """
-    import math
-
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     step = -math.log(threshold) if threshold < 1 else 1e-9
@@ -59,34 +92,49 @@ def pairs_above(fps: DataFrame, threshold: float) -> DataFrame:
     a = a.withColumn("band", band("card_1"))
     b = b.withColumn("band", F.explode(F.array(*[band("card_2") + d for d in (-1, 0, 1)])))
     inside = (F.col("card_1") * threshold <= F.col("card_2") + 1e-9) & (F.col("card_2") * threshold <= F.col("card_1") + 1e-9)
-    met = a.join(b, "band").where((F.col("id_1") < F.col("id_2")) & inside)
+    met = meet(a, b, "id_1", "id_2", (F.col("id_1") < F.col("id_2")) & inside, keys=["band"])
     return met.select("id_1", "id_2", _jt().alias("jt")).where(F.col("jt") >= threshold)
 
 
 def nearest(queries: DataFrame, fps: DataFrame, k: int = 5, exclude_same_id: bool = True) -> DataFrame:
     """id_1, rank, id_2, jt: the k most similar fps of each query, ties to the smaller id.
 
-    The smaller input is broadcast when it is small; each task keeps the k best it saw of a query
-    before the shuffle (a rank within the partition).
+    Small queries are broadcast, else blocks of queries meet blocks of fps; each task keeps the k best
+    it saw of a query before the shuffle (a rank within the partition).
     """
     q, d = _side(queries, "1"), _side(fps, "2")
     on = F.col("id_1") != F.col("id_2") if exclude_same_id else F.lit(True)
-    met = d.join(small(q), on).select("id_1", "id_2", _jt().alias("jt"))
+    met = meet(d, q, "id_2", "id_1", on).select("id_1", "id_2", _jt().alias("jt"))
     best = Window.partitionBy("id_1").orderBy(F.desc("jt"), "id_2")
     # row_number() <= k on a window: Spark limits each group before and after the exchange
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id_1", "rank", "id_2", "jt")
 
 
+def _centroid_side(centroids: DataFrame) -> DataFrame:
+    return centroids.select("label", F.col("words").alias("words_2"), B.popcount(F.col("words")).alias("card_2"))
+
+
 def centroid_distances(fps: DataFrame, centroids: DataFrame) -> DataFrame:
     """fp_id, label, distance (1 - JT) to every centroid(label, words)."""
-    c = centroids.select("label", F.col("words").alias("words_2"), B.popcount(F.col("words")).alias("card_2"))
     f = fps.select("fp_id", F.col("words").alias("words_1"), B.popcount(F.col("words")).alias("card_1"))
-    return f.crossJoin(small(c)).select("fp_id", "label", (1 - _jt()).alias("distance"))
+    return meet(f, _centroid_side(centroids), "fp_id", "label", F.lit(True)).select("fp_id", "label", (1 - _jt()).alias("distance"))
 
 
 def nearest_centroid(fps: DataFrame, centroids: DataFrame) -> DataFrame:
-    """fp_id, label of the most similar centroid, the smallest label on ties: a mergeable minimum per row."""
-    return centroid_distances(fps, centroids).groupBy("fp_id").agg(F.min(F.struct("distance", "label")).alias("m")).select("fp_id", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"))
+    """fp_id, label of the most similar centroid, the smallest label on ties, and its distance.
+
+    Small sets of centroids travel as one array, and the minimum is taken within the row: no shuffle of
+    the fingerprints.  With more, each pair is a row and the minimum is merged per fingerprint.
+    """
+    c = _centroid_side(centroids)
+    if not fits(c):
+        return centroid_distances(fps, centroids).groupBy("fp_id").agg(F.min(F.struct("distance", "label")).alias("m")).select("fp_id", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"))
+    table = c.agg(F.collect_list(F.struct("label", "words_2", "card_2")).alias("table"))  # one row, of a checked size
+    f = fps.select("fp_id", F.col("words").alias("words_1"), B.popcount(F.col("words")).alias("card_1"))
+    distance = lambda o: (1 - B.jt(B.intersection(F.col("words_1"), o["words_2"]), F.col("card_1"), o["card_2"])).alias("distance")
+    least = F.array_min(F.transform("table", lambda o: F.struct(distance(o), o["label"].alias("label"))))
+    found = f.join(F.broadcast(table), F.lit(True)).withColumn("m", least).where(F.col("m").isNotNull())
+    return found.select("fp_id", F.col("m.label").alias("label"), F.col("m.distance").alias("distance"))
 
 
 def reassign(fps: DataFrame, assignments: DataFrame, centroids: DataFrame, top: int = 20) -> DataFrame:

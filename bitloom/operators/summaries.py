@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import isim as I
-from .order import numbered
+from .order import cut, numbered
 
 
 def _by(cols: list[str] | str | None) -> list[str]:
@@ -35,6 +35,14 @@ def linear_sums(fps: DataFrame, n_features: int, by: list[str] | str | None = No
     return rows.select(*keys, "n", flat.alias("ls"))
 
 
+def merge_sums(sums: DataFrame, by: list[str] | str | None = None) -> DataFrame:
+    """by, n, ls of the unions of summaries (n, ls): element by element, combined before the shuffle."""
+    keys = _by(by)
+    each = sums.select(*keys, "n", F.posexplode("ls").alias("pos", "k")).groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    rows = each.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("parts"))  # a number for each feature
+    return rows.select(*keys, "n", F.transform("parts", lambda p: p["k"]).alias("ls"))
+
+
 def isims(fps: DataFrame, by: list[str] | str | None = None) -> DataFrame:
     """by, n, isim.  Squares are summed per word first, so no array of column sums is ever built."""
     keys = _by(by)
@@ -121,10 +129,10 @@ def stratified_sample(fps: DataFrame, n_features: int, strata: int) -> DataFrame
 
 def jt_std(fps: DataFrame, n_features: int, samples: int | None = None) -> DataFrame:
     """jt_std: population standard deviation of all pairwise similarities of a stratified sample."""
-    from .pairs import similarity_pairs
+    from .pairs import similarity_pairs, small
 
     if samples is None:
         samples = max(fps.count() // 1000, 50)
-    chosen = stratified_sample(fps, n_features, samples)
-    few = fps.join(F.broadcast(chosen.select("fp_id")), "fp_id", "left_semi")  # as many rows as strata
+    chosen = cut(stratified_sample(fps, n_features, samples))
+    few = cut(fps.join(small(chosen.select("fp_id"), 0), "fp_id", "left_semi"))  # as many rows as strata
     return similarity_pairs(few).agg(F.stddev_pop("jt").alias("jt_std"))

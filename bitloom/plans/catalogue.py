@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import isim as I
+from ..estimator import BitClusters
 from ..operators import analysis, cluster, metrics, pairs, summaries
-from ..sources import tables
+from ..operators.order import new_path
+from ..sources import fake, npy, smiles, tables
+from ..streaming import online
+from . import golden
 
 N = 64
 CRITERIA = ("radius", "diameter", "tolerance-diameter", "tolerance-radius", "tolerance-legacy", "never-merge")
@@ -42,7 +46,7 @@ def accept_pairs(criterion: str) -> Query:
         s = summaries.linear_sums(_fps(spark, d), N, "label")
         a = s.select(F.col("label").alias("i"), F.col("n").alias("ni"), F.col("ls").alias("li"))
         b = s.select(F.col("label").alias("j"), F.col("n").alias("nj"), F.col("ls").alias("lj"))
-        both = a.join(pairs.small(b), F.col("i") < F.col("j"))
+        both = pairs.meet(a, b, "i", "j", F.col("i") < F.col("j"), elements=N)
         union = F.zip_with("li", "lj", lambda x, y: x + y)
         ok = I.accepts(criterion, 0.33, (F.col("ni") + F.col("nj"), union), (F.col("ni"), F.col("li")), (F.col("nj"), F.col("lj")))
         return both.select("i", "j", ok.alias("accepted"))
@@ -67,9 +71,116 @@ def _fitted(steps=(), params=cluster.Params(threshold=0.5)) -> Query:
     return run
 
 
-def _multiround(spark, d):
+#: A tree that is one leaf: its clusters can be followed in SQL.
+FLAT = cluster.Params(threshold=0.5, branching=100_000)
+
+
+def _flat(spark, d) -> DataFrame:
+    return cluster.assignments(cluster.labelled(cluster.fit(_fps(spark, d), N, FLAT)))
+
+
+def _by_part(spark, d):
+    """Members and clusters of each part of 100 rows that has a tree of its own."""
+    found = cluster.fit(cluster.with_parts(_fps(spark, d), 100), N, FLAT, part="part")
+    return found.groupBy("part").agg(F.sum("n").alias("members"), F.sum(F.size("ids")).cast("long").alias("ids"), F.min(F.array_min("ids")).alias("first"), F.max(F.array_max("ids")).alias("last"))
+
+
+def _saved(spark, d):
+    path = new_path(spark, "saved")
+    cluster.save(cluster.labelled(cluster.fit(_fps(spark, d), N, FLAT)), path, FLAT)
+    found, params = cluster.load(spark, path)
+    return cluster.assignments(found).withColumn("threshold", F.lit(params.threshold)).withColumn("branching", F.lit(params.branching).cast("long"))
+
+
+def _global_members(spark, d):
+    """Members of groups of clusters, here odd and even labels."""
+    c = cluster.labelled(cluster.fit(_fps(spark, d), N, FLAT))
+    return cluster.assignments(c, c.select("label", (F.col("label") % 2 + 1).alias("global_label")))
+
+
+def _generated(spark, n: int, seed: int) -> DataFrame:
+    words = fake.fake_fingerprints(n, 2048, seed).view(">i8").astype("int64")
+    return spark.createDataFrame([(i, [int(w) for w in r]) for i, r in enumerate(words)], "fp_id long, words array<long>")
+
+
+def _golden(spark, steps):
+    fps = _generated(spark, 100, golden.SEED)
+    return cluster.assignments(cluster.labelled(cluster.fit(fps, 2048, cluster.Params(0.3), steps)))
+
+
+def _leading(spark, d):
+    found = cluster.assignments(cluster.labelled(cluster.fit(_generated(spark, 3000, golden.SEED), 2048, cluster.Params(0.65, 50))))
+    return found.where(F.col("label").isin(*golden.LEADING_LABELS))
+
+
+def _fake_counts(spark, d):
+    return _generated(spark, len(golden.COUNTS), golden.COUNTS_SEED).select("fp_id", B.popcount(F.col("words")).alias("n_bits"))
+
+
+def _npy_files(spark, d) -> str:
+    path = new_path(spark, "npy")
+    npy.write_npy(_fps(spark, d), path, N, 130)
+    return path
+
+
+def _npy(spark, d, head: int | None = None):
+    return npy.read_npy(spark, _npy_files(spark, d), max_rows=head).select("fp_id", F.col("words")[0].alias("word"))
+
+
+def _npy_info(spark, d):
+    ranges = npy.file_ranges(npy.file_info(spark, _npy_files(spark, d)))
+    return ranges.select(F.regexp_extract("path", "[0-9]+[.]npy$", 0).alias("file"), "rows", "width", "dtype", "valid", "start", "stop")
+
+
+def _lines(spark, d):
+    path = new_path(spark, "lines")
+    tables.table(spark, d, "pages").select("page_id", "url").coalesce(1).sortWithinPartitions("page_id").select("url").write.text(path)
+    return smiles.read_smiles(spark, path)
+
+
+def _invalid_lines(spark, d):
+    lines = tables.table(spark, d, "pages").select(F.col("page_id").alias("idx"), F.col("url").alias("smiles"))
+    return smiles.invalid_ids(smiles.fps_from_smiles(lines, "substrings4", 256, skip_invalid=True))
+
+
+def _sink(spark, d):
+    path = new_path(spark, "assignments")
+    lines = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.concat(F.lit("C"), F.col("vec_id")).alias("smiles"))
+    smiles.write_assignments(_assigned(spark, d).withColumn("label", F.col("label") + 1), path, lines)
+    return spark.read.csv(path, header=True, schema="assignments long, smiles string")
+
+
+def _metrics_sink(spark, d):
+    path = new_path(spark, "metrics")
+    smiles.write_metrics(analysis.top_clusters(_assigned(spark, d), 6), path)
+    return spark.read.csv(path, header=True, schema="label long, size long, rank long")
+
+
+def _run_sink(spark, d):
+    path = new_path(spark, "run")
+    smiles.write_run(spark, path, {"threshold": 0.5, "branching": 50}, {"fit": 1.5})
+    return spark.read.json(f"{path}/settings").select("name", "value")
+
+
+def _threshold(spark, d):
+    found = summaries.isims(_fps(spark, d)).crossJoin(summaries.jt_std(_fps(spark, d), N))  # single rows
+    r = found.first()
+    return spark.range(1).select(F.round(F.lit(cluster.threshold_rule(r["isim"], r["jt_std"])), 6).alias("threshold"))
+
+
+def _accept_singles(spark, d):
+    """Label sums as old entries, each fingerprint as a single newcomer to the next label: the legacy criterion's last branch."""
+    s = summaries.linear_sums(_fps(spark, d), N, "label").select(F.col("label").alias("i"), F.col("n").alias("ni"), F.col("ls").alias("li"))
+    one = _fps(spark, d).select("fp_id", ((F.col("label") + 1) % 10).alias("i"), F.transform(B.unpack(F.col("words"), N), lambda b: b.cast("long")).alias("lj"))
+    both = one.join(s, "i")
+    union = F.zip_with("li", "lj", lambda x, y: x + y)
+    ok = I.accepts("tolerance-legacy", 0.33, (F.col("ni") + 1, union), (F.col("ni"), F.col("li")), (F.lit(1).cast("long"), F.col("lj")))
+    return both.select("fp_id", ok.alias("accepted"))
+
+
+def _multiround(spark, d, split: bool = False):
     fps = cluster.with_parts(_fps(spark, d), 100)
-    c, a = cluster.multiround(fps, N, cluster.Params(threshold=0.5), cluster.Rounds(bin_size=2))
+    c, a = cluster.multiround(fps, N, cluster.Params(threshold=0.5), cluster.Rounds(bin_size=2, split_largest=split))
     return _invariants(spark, d, c, a)
 
 
@@ -80,9 +191,9 @@ def queries() -> dict[str, Query]:
         "fp_pack_words": lambda s, d: tables.table(s, d, "embeddings").select(F.col("vec_id").alias("fp_id"), B.pack(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)), N)[0].alias("word")),
         "fp_unpack_bits": lambda s, d: f(s, d).select("fp_id", F.posexplode(B.unpack(F.col("words"), N)).alias("pos", "bit")).select("fp_id", F.col("pos").cast("long").alias("pos"), F.col("bit").cast("long").alias("bit")),
         "jt_pairwise": lambda s, d: pairs.similarity_pairs(f(s, d)),
-        "jt_matrix": lambda s, d: pairs.similarity_matrix(f(s, d).where("label = 0")),
+        "jt_matrix": lambda s, d: pairs.similarity_matrix(f(s, d)),
         "jt_pairs_above_t": lambda s, d: pairs.pairs_above(f(s, d), 0.5),
-        "jt_knn_top5": lambda s, d: pairs.nearest(f(s, d).where("label = 0"), f(s, d), 5),
+        "jt_knn_top5": lambda s, d: pairs.nearest(f(s, d).where("fp_id % 20 = 0"), f(s, d), 5),  # the stated queries, all rows as candidates
         "linear_sum_by_label": lambda s, d: _positions(summaries.linear_sums(f(s, d), N, "label"), "ls", "k"),
         "centroid_by_label": lambda s, d: _positions(summaries.centroids(summaries.linear_sums(f(s, d), N, "label")), "centroid", "bit"),
         "isim_all": lambda s, d: summaries.isims(f(s, d)),
@@ -110,10 +221,47 @@ def queries() -> dict[str, Query]:
         "gather_by_index": lambda s, d: f(s, d).join(F.broadcast(s.range(3, 100, 7).withColumnRenamed("id", "fp_id")), "fp_id").select("fp_id", F.col("words")[0].alias("word")),
         "fold_by_cluster": lambda s, d: analysis.folds(_assigned(s, d), 5),
         "index_batches": lambda s, d: analysis.batches(f(s, d).select("fp_id"), "fp_id", 64),
-        "tree_fit": _fitted(),
+        "tree_fit": lambda s, d: _flat(s, d).select("fp_id", "label"),
+        "tree_online": lambda s, d: cluster.assignments(cluster.labelled(cluster.partial_fit(None, f(s, d), N, FLAT))),
+        "tree_sizes": lambda s, d: cluster.labelled(cluster.fit(f(s, d), N, FLAT)).select("label", "n"),
+        "tree_column_sums": lambda s, d: _positions(cluster.labelled(cluster.fit(f(s, d), N, FLAT)), "ls", "k"),
+        "tree_members": lambda s, d: cluster.members(cluster.labelled(cluster.fit(f(s, d), N, FLAT)), True).select("label", F.posexplode("ids").alias("pos", "fp_id")).select("label", F.col("pos").cast("long").alias("pos"), "fp_id"),
+        "tree_centroids": lambda s, d: cluster.cluster_centroids(cluster.labelled(cluster.fit(f(s, d), N, FLAT)), N).select("label", F.col("words")[0].alias("word")),
+        "tree_medoids": lambda s, d: cluster.cluster_medoids(_flat(s, d), f(s, d), N).select("label", "fp_id"),
+        "tree_part_labels": _by_part,
+        "tree_saved": _saved,
+        "tree_global_members": _global_members,
+        "tree_estimator": lambda s, d: BitClusters(threshold=FLAT.threshold, branchingFactor=FLAT.branching, nFeatures=N).fit_predict(f(s, d)),
+        "tree_golden_fit": lambda s, d: _golden(s, ()),
+        "tree_golden_refine": lambda s, d: _golden(s, (cluster.Refine(1),)),
+        "tree_golden_leading": _leading,
         "tree_refine": _fitted((cluster.Refine(2, "tolerance-diameter"),)),
         "tree_recluster": _fitted((cluster.Recluster(3, 0.02, seed=7, stop_early=True),)),
         "tree_multiround": _multiround,
+        "tree_multiround_split": lambda s, d: _multiround(s, d, True),
+        "npy_round_trip": _npy,
+        "npy_info": _npy_info,
+        "npy_head": lambda s, d: _npy(s, d, 30),
+        "smiles_scan": _lines,
+        "smiles_invalid": _invalid_lines,
+        "assignments_sink": _sink,
+        "metrics_sink": _metrics_sink,
+        "run_sink": _run_sink,
+        "fake_counts": _fake_counts,
+        "fps_split": lambda s, d: npy.split(f(s, d).select("fp_id"), parts=7),
+        "fps_merge": lambda s, d: npy.merge([f(s, d).select("fp_id", F.col("words")[0].alias("word")).where("fp_id < 200"), f(s, d).select(F.col("fp_id") - 200, F.col("words")[0].alias("word")).toDF("fp_id", "word").where("fp_id >= 0")]),
+        "fps_shuffle": lambda s, d: npy.shuffle(f(s, d).select("fp_id", F.col("words")[0].alias("word")), 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp_id").alias("ids"), F.min("fp_id").alias("lo"), F.max("fp_id").alias("hi"), F.sum(F.pmod("word", F.lit(1009))).alias("check")),
+        "min_uint": lambda s, d: tables.table(s, d, "nation").select("n_nationkey", F.pow(F.lit(2.0), 2 * F.col("n_nationkey")).cast("decimal(20,0)").alias("n")).select("n_nationkey", B.min_safe_uint(F.col("n")).alias("bits")),
+        "top_offsets": lambda s, d: analysis.top_offsets(_assigned(s, d), 4).select(F.col("rank").cast("long").alias("rank"), "label", "n", "start", "stop"),
+        "clusters_of_min_size": lambda s, d: analysis.top_clusters(_assigned(s, d), 20, 51).select("label", "size"),
+        "summary_ratios": lambda s, d: analysis.summary_ratios(_assigned(s, d)),
+        "population": lambda s, d: analysis.population(_assigned(s, d), 5).select(F.col("rank").cast("long").alias("rank"), "size", "share"),
+        "distinct_kinds": lambda s, d: analysis.distinct_kinds(_assigned(s, d), f(s, d).select("fp_id", F.getbit(F.col("words")[0], F.lit(5)).alias("kind"))),
+        "summary_merge": lambda s, d: _positions(summaries.merge_sums(summaries.linear_sums(f(s, d), N, "label").withColumn("label", F.col("label") % 3), "label"), "ls", "k"),
+        "dbi_medoid": lambda s, d: metrics.dbi(_members(s, d), N, metrics.centres(_members(s, d), N, "medoid")).select(F.round("dbi", 9).alias("dbi")),
+        "hourly_counts": lambda s, d: online.hourly_counts(tables.table(s, d, "events")),
+        "threshold_rule": lambda s, d: _threshold(s, d),
+        "merge_accept_single_newcomers": _accept_singles,
     }
     return out | {f"merge_accept_{c.replace('-', '_')}": accept_pairs(c) for c in CRITERIA}
 
@@ -183,6 +331,33 @@ SELECT i, j, """
     }[criterion] + " AS accepted FROM v"
 
 
+#: Sequential clustering in one leaf: each fingerprint goes to the first of the most similar majority centroids if the
+#: iSIM of the union reaches 0.5, else it begins a cluster; labels by size, equals in order of their beginning.
+_FLAT = f"""WITH RECURSIVE {_FP},
+fs AS (SELECT fp_id, [x::BIGINT FOR x IN bits] AS bits, card, row_number() OVER (ORDER BY fp_id) AS step FROM c),
+tree AS (
+  SELECT 0::BIGINT AS step, []::STRUCT(n BIGINT, ls BIGINT[])[] AS cs, []::BIGINT[] AS went
+  UNION ALL
+  SELECT step, CASE WHEN ok THEN [CASE WHEN z[2] = best THEN {{'n': n, 'ls': u}} ELSE z[1] END FOR z IN list_zip(cs, range(1, len(cs) + 1))] ELSE list_append(cs, {{'n': 1::BIGINT, 'ls': bits}}) END,
+    list_append(went, CASE WHEN ok THEN best ELSE len(cs) + 1 END)
+  FROM (
+    SELECT *, coalesce(len(cs) > 0 AND {_isim('n', 's', 'q')} >= 0.5, false) AS ok FROM (
+      SELECT *, list_sum(u)::BIGINT AS s, list_sum([x * x FOR x IN u])::BIGINT AS q FROM (
+        SELECT *, cs[best].n + 1 AS n, [z[1] + z[2] FOR z IN list_zip(cs[best].ls, bits)] AS u FROM (
+          SELECT *, list_position(sims, list_max(sims))::BIGINT AS best FROM (
+            SELECT f.step, t.cs, t.went, f.bits, [list_sum([z[1] * z[2] FOR z IN list_zip(m, f.bits)])::DOUBLE
+              / greatest(list_sum(m) + f.card - list_sum([z[1] * z[2] FOR z IN list_zip(m, f.bits)]), 1)::DOUBLE FOR m IN [[CASE WHEN 2 * x >= k.n THEN 1 ELSE 0 END FOR x IN k.ls] FOR k IN t.cs]] AS sims
+            FROM tree t JOIN fs f ON f.step = t.step + 1)))))),
+went AS (SELECT unnest(went) AS cluster, unnest(range(1, len(went) + 1)) AS step FROM (SELECT went FROM tree ORDER BY step DESC LIMIT 1)),
+sizes AS (SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, cluster) AS label FROM went GROUP BY cluster),
+found AS (SELECT f.fp_id, f.bits, s.label FROM went w JOIN sizes s USING (cluster) JOIN fs f ON f.step = w.step)"""
+
+
+def _values(columns: str, rows) -> str:
+    each = ", ".join(f"({', '.join(f'{x}::BIGINT' for x in r)})" for r in rows)
+    return f"SELECT * FROM (VALUES {each}) AS v({columns})"
+
+
 _COUNTS = "SELECT count(*) AS members, count(DISTINCT vec_id) AS distinct_members, 0::BIGINT AS wrong FROM embeddings"
 
 
@@ -192,9 +367,9 @@ def oracle_sql() -> dict[str, str]:
         "fp_pack_words": f"WITH {_FP}, h AS (SELECT fp_id, list_sum([(CASE WHEN z[1] = 1 THEN 1::HUGEINT << (63 - z[2]::INT) ELSE 0::HUGEINT END) FOR z IN list_zip(bits, range(64))])::HUGEINT AS v FROM fp) SELECT fp_id, (CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END)::BIGINT AS word FROM h",
         "fp_unpack_bits": f"WITH {_POS} SELECT fp_id, pos, bit FROM u",
         "jt_pairwise": f"WITH {_FP} SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id < b.fp_id",
-        "jt_matrix": f"WITH {_FP} SELECT a.fp_id AS id_1, b.fp_id AS id_2, CASE WHEN a.fp_id = b.fp_id THEN 1.0 ELSE {_jt('a', 'b')} END AS jt FROM c a, c b WHERE a.label = 0 AND b.label = 0",
+        "jt_matrix": f"WITH {_FP} SELECT a.fp_id AS id_1, b.fp_id AS id_2, CASE WHEN a.fp_id = b.fp_id THEN 1.0 ELSE {_jt('a', 'b')} END AS jt FROM c a, c b",
         "jt_pairs_above_t": f"WITH {_FP} SELECT * FROM (SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id < b.fp_id) WHERE jt >= 0.5",
-        "jt_knn_top5": f"WITH {_FP}, p AS (SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id <> b.fp_id WHERE a.label = 0) SELECT * FROM (SELECT id_1, (row_number() OVER (PARTITION BY id_1 ORDER BY jt DESC, id_2))::INT AS rank, id_2, jt FROM p) WHERE rank <= 5",
+        "jt_knn_top5": f"WITH {_FP}, p AS (SELECT a.fp_id AS id_1, b.fp_id AS id_2, {_jt('a', 'b')} AS jt FROM c a JOIN c b ON a.fp_id <> b.fp_id WHERE a.fp_id % 20 = 0) SELECT * FROM (SELECT id_1, (row_number() OVER (PARTITION BY id_1 ORDER BY jt DESC, id_2))::INT AS rank, id_2, jt FROM p) WHERE rank <= 5",
         "linear_sum_by_label": f"WITH {_POS} SELECT label, pos, k FROM k",
         "centroid_by_label": f"WITH {_POS} SELECT label, pos, (CASE WHEN n <= 1 THEN k WHEN 2 * k >= n THEN 1 ELSE 0 END)::BIGINT AS bit FROM k",
         "isim_all": f"WITH {_WHOLE} SELECT n, {_isim('n', 's', 'q')} AS isim FROM m",
@@ -244,10 +419,62 @@ SELECT a.id AS id_1, b.id AS id_2, coalesce(i, 0)::DOUBLE / greatest(a.card + b.
         "file_offsets": "WITH g AS (SELECT vec_id // 100 AS file, count(*) AS n FROM embeddings GROUP BY 1) SELECT file, n, (sum(n) OVER (ORDER BY file) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY file))::BIGINT AS stop FROM g",
         "fold_by_cluster": "SELECT vec_id AS fp_id, label::BIGINT AS label, (label % 5)::INT AS fold FROM embeddings",
         "index_batches": "SELECT vec_id AS fp_id, vec_id // 64 AS batch FROM embeddings",
-        "tree_fit": _COUNTS,
+        "tree_fit": f"{_FLAT} SELECT fp_id, label FROM found",
+        "tree_online": f"{_FLAT} SELECT fp_id, label FROM found",
+        "tree_estimator": f"{_FLAT} SELECT fp_id, label FROM found",
+        "tree_saved": f"{_FLAT} SELECT fp_id, label, 0.5::DOUBLE AS threshold, 100000::BIGINT AS branching FROM found",
+        "tree_global_members": f"{_FLAT} SELECT fp_id, label % 2 + 1 AS label FROM found",
+        "tree_sizes": f"{_FLAT} SELECT label, count(*) AS n FROM found GROUP BY label",
+        "tree_column_sums": f"{_FLAT} SELECT label, pos, sum(bit)::BIGINT AS k FROM (SELECT label, unnest(bits)::BIGINT AS bit, unnest(range(64)) AS pos FROM found) GROUP BY ALL",
+        "tree_members": f"{_FLAT} SELECT label, row_number() OVER (PARTITION BY label ORDER BY fp_id) - 1 AS pos, fp_id FROM found",
+        "tree_centroids": f"""{_FLAT}, k AS (SELECT label, pos, 2 * sum(bit) >= count(*) AS up FROM (SELECT label, unnest(bits)::BIGINT AS bit, unnest(range(64)) AS pos FROM found) GROUP BY label, pos),
+h AS (SELECT label, sum(CASE WHEN up THEN 1::HUGEINT << (63 - pos::INT) ELSE 0::HUGEINT END)::HUGEINT AS v FROM k GROUP BY label)
+SELECT label, (CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END)::BIGINT AS word FROM h""",
+        "tree_medoids": f"""{_FLAT}, own AS (SELECT fp_id, label, bits, list_sum(bits)::BIGINT AS card FROM found),
+k AS (SELECT label, pos, sum(bit)::BIGINT AS k, count(*) AS n FROM (SELECT label, unnest(bits)::BIGINT AS bit, unnest(range(64)) AS pos FROM found) GROUP BY label, pos),
+m AS (SELECT label, max(n)::BIGINT AS n, list(k ORDER BY pos) AS ls, sum(k)::BIGINT AS s, sum(k * k)::BIGINT AS q FROM k GROUP BY label),
+t AS (SELECT f.fp_id, f.label, m.n, {_isim('(m.n - 1)', '(m.s - f.card)', f'(m.q - 2 * {_ON} + f.card)')} AS comp FROM own f JOIN m USING (label))
+SELECT label, arg_min(fp_id, (CASE WHEN n < 3 THEN 0 ELSE comp END, fp_id)) AS fp_id FROM t GROUP BY label""",
+        "tree_part_labels": "SELECT vec_id // 100 AS part, count(*) AS members, count(*) AS ids, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1",
+        "tree_golden_fit": _values("fp_id, label", enumerate(golden.LABELS)),
+        "tree_golden_refine": _values("fp_id, label", enumerate(golden.REFINED)),
+        "tree_golden_leading": _values("fp_id, label", ((i, k) for k, ids in zip(golden.LEADING_LABELS, golden.LEADING, strict=True) for i in ids)),
+        "tree_multiround_split": _COUNTS,
+        "fake_counts": _values("fp_id, n_bits", enumerate(golden.COUNTS)),
+        "npy_info": "WITH g AS (SELECT vec_id // 130 AS f, count(*) AS n FROM embeddings GROUP BY 1) SELECT lpad(f::VARCHAR, 6, '0') || '.npy' AS file, n AS rows, 8::BIGINT AS width, 'uint8' AS dtype, true AS valid, (sum(n) OVER (ORDER BY f) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY f))::BIGINT AS stop FROM g",
+        "smiles_scan": "SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, url AS smiles FROM pages",
+        "smiles_invalid": r"SELECT page_id AS fp_id FROM pages WHERE url IS NULL OR NOT regexp_full_match(trim(url), '[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]+')",
+        "assignments_sink": "SELECT label::BIGINT + 1 AS assignments, 'C' || vec_id AS smiles FROM embeddings",
+        "metrics_sink": "SELECT label::BIGINT AS label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM embeddings GROUP BY label ORDER BY rank LIMIT 6",
+        "run_sink": "SELECT * FROM (VALUES ('threshold', '0.5'), ('branching', '50')) AS v(name, value)",
+        "fps_split": "SELECT vec_id AS fp_id, vec_id // ((SELECT count(*) FROM embeddings) // 7 + CASE WHEN (SELECT count(*) FROM embeddings) % 7 > 0 THEN 1 ELSE 0 END) AS part FROM embeddings",
+        "min_uint": "SELECT n_nationkey, (CASE WHEN n_nationkey < 4 THEN 8 WHEN n_nationkey < 8 THEN 16 WHEN n_nationkey < 16 THEN 32 ELSE 64 END)::INT AS bits FROM nation",
+        "top_offsets": "WITH r AS (SELECT label::BIGINT AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM embeddings GROUP BY label) SELECT rank, label, n, (sum(n) OVER (ORDER BY rank) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY rank))::BIGINT AS stop FROM r WHERE rank <= 4",
+        "clusters_of_min_size": "SELECT label::BIGINT AS label, count(*) AS size FROM embeddings GROUP BY label HAVING count(*) >= 51",
+        "summary_ratios": """WITH s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label)
+SELECT count(*) AS clusters, sum(size)::BIGINT AS rows, count(*) / sum(size)::DOUBLE AS clusters_per_row, 100 * count(*) FILTER (size = 1) / count(*)::DOUBLE AS singletons_percent,
+  100 * count(*) FILTER (size > 10) / count(*)::DOUBLE AS above_10_percent, 100 * count(*) FILTER (size > 100) / count(*)::DOUBLE AS above_100_percent FROM s""",
+        "population": "WITH r AS (SELECT count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM embeddings GROUP BY label) SELECT * FROM (SELECT rank, size, sum(size) OVER (ORDER BY rank) / sum(size) OVER ()::DOUBLE AS share FROM r) WHERE rank <= 5",
+        "distinct_kinds": "SELECT label::BIGINT AS label, count(DISTINCT embedding[59] > 0) AS n_kinds FROM embeddings GROUP BY label",
+        "summary_merge": f"WITH {_POS} SELECT label % 3 AS label, pos, sum(k)::BIGINT AS k FROM k GROUP BY ALL",
+        "dbi_medoid": f"""WITH {_COMP}, e AS (SELECT label, arg_min(fp_id, (CASE WHEN n < 3 THEN 0 ELSE comp_isim END, fp_id)) AS fp_id FROM t GROUP BY label),
+o AS (SELECT c.*, m.n FROM e JOIN c USING (fp_id) JOIN m ON m.label = c.label),
+s AS (SELECT f.label, avg(1 - {_jt('f', 'o')}) AS s FROM c f JOIN o USING (label) GROUP BY f.label),
+r AS (SELECT a.label, a.n, max((sa.s + sb.s) / (1 - {_jt('a', 'b')})) AS r FROM o a JOIN o b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY ALL)
+SELECT round(sum(r) / sum(n), 9) AS dbi FROM r""",
+        "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "tree_refine": _COUNTS,
         "tree_recluster": _COUNTS,
         "tree_multiround": _COUNTS,
     }
+    out["npy_round_trip"] = out["fps_merge"] = out["fp_pack_words"]
+    out["npy_head"] = f"WITH w AS ({out['fp_pack_words']}) SELECT (fp_id // 130) * 30 + fp_id % 130 AS fp_id, word FROM w WHERE fp_id % 130 < 30"
+    out["fps_shuffle"] = f"WITH w AS ({out['fp_pack_words']}) SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS lo, count(*) - 1 AS hi, sum((word % 1009 + 1009) % 1009)::BIGINT AS check FROM w"
+    out["threshold_rule"] = f"WITH a AS ({out['isim_all']}), b AS ({out['jt_std_estimate']}) SELECT round(least(greatest(isim + 4 * jt_std, 0.0), 1.0), 6) AS threshold FROM a, b"
+    nom = "list_sum([z[1] + z[2] FOR z IN list_zip(m.ls, f.bits)])::BIGINT"
+    square = "list_sum([(z[1] + z[2]) * (z[1] + z[2]) FOR z IN list_zip(m.ls, f.bits)])::BIGINT"
+    out["merge_accept_single_newcomers"] = f"""WITH {_LS},
+v AS (SELECT f.fp_id, m.n + 1 AS n, m.n AS old_n, {_isim('(m.n + 1)', nom, square)} AS d, {_isim('m.n', 'm.s', 'm.q')} AS old_d FROM c f JOIN m ON m.label = (f.label + 1) % 10)
+SELECT fp_id, d >= 0.33 AND (old_n = 1 OR (d * n - old_d * (old_n - 1)) / 2 >= old_d - 0.05) AS accepted FROM v"""
     out["gather_by_index"] = out["fp_pack_words"] + " WHERE fp_id IN (SELECT unnest(range(3, 100, 7)))"
     return out | {f"merge_accept_{c.replace('-', '_')}": _accept_sql(c) for c in CRITERIA}

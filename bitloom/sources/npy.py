@@ -16,10 +16,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.order import numbered
+from ..operators.order import cut, numbered
+from ..operators.pairs import small
 
 #: Bytes of a header that are looked at (its length field included).
 HEADER = 512
+#: Rows packed into a piece of an exported file.
+PIECE = 4096
 
 
 def _header(data: bytes) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -87,7 +90,7 @@ def read_npy(spark: SparkSession, path: str, n_features: int | None = None, pack
                     yield pd.DataFrame({"fp_id": np.arange(r.start + lo, r.start + lo + len(part)), "file": r.path, "words": list(words)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    both = files.join(F.broadcast(ranges.select("path", "rows", "start")), "path")  # one row per file
+    both = files.join(small(ranges.select("path", "rows", "start"), 0), "path")  # one row per file
     return both.mapInPandas(rows, "fp_id long, file string, words array<long>")
 
 
@@ -99,20 +102,35 @@ def gather(fps: DataFrame, ids: DataFrame) -> DataFrame:
     return found.orderBy("fp_id")
 
 
-def write_npy(fps: DataFrame, path: str, n_features: int) -> None:
-    """Export for other tools: one row per file part with a whole .npy file as bytes, in Parquet.
+def write_npy(fps: DataFrame, path: str, n_features: int, rows_per_file: int = 1_000_000) -> None:
+    """Export for other tools: .npy files of packed rows in id order, named by number.
 
-    Rows are packed, in id order; each part of the table becomes one file image.
+    Workers pack rows into pieces; the driver passes the pieces on, one at a time, to files of any
+    store that Spark writes to.  It is an export: tables stay in Parquet otherwise.
     """
+    spark, width = fps.sparkSession, (n_features + 7) // 8
 
-    def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [np.stack(pdf["words"].to_list()).astype(">i8").view(np.uint8)[:, : (n_features + 7) // 8] for pdf in batches if len(pdf)]
-        if parts:
-            f = io.BytesIO()
-            np.save(f, np.concatenate(parts))
-            yield pd.DataFrame({"content": [f.getvalue()]})
-
-    fps.repartitionByRange("fp_id").sortWithinPartitions("fp_id").select("words").mapInPandas(images, "content binary").write.parquet(path)
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), PIECE):
+                rows = pdf["words"].iloc[at : at + PIECE]
+                packed = np.stack(rows.to_list()).astype(">i8").view(np.uint8)[:, :width]
+                yield pd.DataFrame({"n": [len(rows)], "content": [packed.tobytes()]})
+
+    ordered = numbered(fps.select("fp_id", "words"), ["fp_id"], "at").withColumn("file", F.floor(F.col("at") / rows_per_file).cast("long"))
+    ordered = cut(ordered)
+    sizes = {r["file"]: r["count"] for r in ordered.groupBy("file").count().collect()}  # a row a file
+    jvm = spark._jvm
+    for file, n in sorted(sizes.items()):
+        name = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{file:06d}.npy")
+        out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name, False)
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": "|u1", "fortran_order": False, "shape": (n, width)})
+        out.write(bytearray(head.getvalue()))
+        own = ordered.where(F.col("file") == file).repartitionByRange("at").sortWithinPartitions("at")
+        for r in own.select("words").mapInPandas(pieces, "n long, content binary").toLocalIterator():
+            out.write(bytearray(r["content"]))
+        out.close()
 
 
 def split(fps: DataFrame, parts: int | None = None, max_rows: int | None = None) -> DataFrame:

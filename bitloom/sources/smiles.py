@@ -69,16 +69,34 @@ def invalid_ids(fps: DataFrame) -> DataFrame:
     return fps.where("words IS NULL").select("fp_id")
 
 
-def write_assignments(found: DataFrame, path: str, smiles: DataFrame | None = None) -> None:
-    """CSV of label (and smiles) in the order of rows; a different number of smiles raises."""
+def write_assignments(found: DataFrame, path: str, smiles: DataFrame | None = None, check_valid: bool = True) -> None:
+    """CSV of label (and smiles) in the order of rows.
+
+    Smiles are joined by id; a different number of them, or an id without its line, raises, and so do
+    rows without a label unless ``check_valid`` is off.
+    """
     rows = found.select("fp_id", F.col("label").alias("assignments"))
+    if check_valid and rows.where("assignments IS NULL OR assignments < 1").limit(1).count():
+        raise ValueError("there are rows without a label")
     if smiles is not None:
-        if smiles.count() != found.count():
-            raise ValueError("as many smiles as assignments are needed")
-        rows = rows.join(smiles.select(F.col("idx").alias("fp_id"), "smiles"), "fp_id")
+        both = rows.join(smiles.select(F.col("idx").alias("fp_id"), "smiles"), "fp_id", "full")
+        if both.where("assignments IS NULL OR smiles IS NULL").limit(1).count():
+            raise ValueError("assignments and smiles must have the same ids")
+        rows = both
     rows.orderBy("fp_id").drop("fp_id").write.csv(path, header=True)
 
 
+def write_metrics(table: DataFrame, path: str) -> None:
+    """CSV of a cluster table of a bounded number of rows, in order of rank."""
+    table.orderBy("rank").coalesce(1).write.csv(path, header=True)
+
+
+def write_run(spark: SparkSession, path: str, settings: dict, seconds: dict[str, float]) -> None:
+    """Settings and timings of a run as two small JSON tables."""
+    spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    spark.createDataFrame(list(seconds.items()), "step string, seconds double").coalesce(1).write.mode("overwrite").json(f"{path}/timings")
+
+
 def write_clusters(clusters: DataFrame, path: str) -> None:
     """Parquet: a cluster table is its own saved tree; refitting from it is loading."""
     clusters.write.parquet(path)

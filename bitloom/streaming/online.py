@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import pairs
 from ..operators.cluster import LEAVES, Params, partial_fit
 
 
@@ -35,15 +36,14 @@ class OnlineClusters:
 
 
 def assign_stream(stream: DataFrame, centroids: DataFrame) -> DataFrame:
-    """fp_id, label of the most similar of a fixed, small set of centroids(label, words), stateless."""
-    from ..functions import bits as B
-
-    rows = centroids.select("label", "words").collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 centroids; assign in batches instead")
-    options = F.array(*[F.struct(F.lit(int(r["label"])).cast("long").alias("label"), F.array(*[F.lit(int(w)).cast("long") for w in r["words"]]).alias("w")) for r in rows])
-    scored = F.transform(options, lambda o: F.struct((1 - B.jt_words(F.col("words"), o["w"])).alias("distance"), o["label"].alias("label")))
-    return stream.select("fp_id", F.array_min(scored)["label"].alias("label"))
+    """fp_id, label of the most similar of a fixed set of centroids(label, words), stateless.
+
+    The centroids are a table that joins the stream: one row where they are small enough to broadcast.
+    More of them can't be compared without state; assign batches with ``nearest_centroid`` instead.
+    """
+    if not pairs.fits(centroids):
+        raise ValueError("too many centroids to broadcast; assign in foreachBatch with nearest_centroid")
+    return pairs.nearest_centroid(stream, centroids).select("fp_id", "label")
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
