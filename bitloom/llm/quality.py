@@ -33,7 +33,7 @@ CLASSES = BASE - DIRECT
 SYMBOLS = DIRECT + CLASSES
 SHARDS, SALTS = 8, 16
 #: Characters packed together.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Most trusted ids that are broadcast; with more, the semi-join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Share of a language's trusted documents below the upper threshold, and above the lower one.

@@ -40,7 +40,7 @@ STRANGERS, LARGE_BUCKET = 64, 512
 #: Most nodes whose ids are broadcast when texts are fetched; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a worker keeps.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 50_000
 #: Shingles that a worker keeps of the texts it compared last.
 HELD_SHINGLES = 200_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

@@ -30,7 +30,7 @@ from .common import new_path, ship, table
 #: Ids after which a block ends (with the document that is open).
 BLOCK_IDS = 1 << 19
 #: Word pieces kept by a worker between batches.
-CACHE = 900_000
+CACHE = 500_000
 #: Letters below are letters to every version of Unicode.
 LATIN_END = chr(0x250)
 SCHEMA = "block long, width int, least_id long, greatest_id long, doc_ids binary, offsets binary, n_ids long, payload binary"
