@@ -30,7 +30,7 @@ from .common import new_path, ship, table
 #: Ids after which a block ends (with the document that is open).
 BLOCK_IDS = 1 << 19
 #: Word pieces kept by a worker between batches.
-CACHE = 500_000
+CACHE = 900_000
 #: Letters below are letters to every version of Unicode.
 LATIN_END = chr(0x250)
 SCHEMA = "block long, width int, least_id long, greatest_id long, doc_ids binary, offsets binary, n_ids long, payload binary"
@@ -104,6 +104,7 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.visible = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.most = CACHE
         self.byte_level = True
         probe = ["a", "the", "Étre", "über", "anderwhithonre"]
         self.byte_level = self._word_ids(probe) == self._ids([" " + p for p in probe])
@@ -145,7 +146,7 @@ class Encoder:
         known.update(zip(new, self._ids([before + p for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.whole) + len(self.spaced) > CACHE:
+        if len(self.whole) + len(self.spaced) > self.most:
             self.whole, self.spaced = {}, {}
         split, apart = [], {}
         for n, t in enumerate(texts):
@@ -182,13 +183,13 @@ def _encoder(path: str, plain_specials: bool) -> Encoder:
     return held[path, plain_specials]
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plain_specials: bool = False) -> None:
+def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plain_specials: bool = False, cache: int = CACHE) -> None:
     """Encode every text and write the file set to ``path``, documents in ascending id order.
 
     A null or empty text has no ids of its own; ``end_id`` closes every document.  Null ids come
     first, repeated ids stand next to one another, by the hash of their texts.  The texts are dealt by
     ranges of (id, hash) (a sampled range sort), so no task sees more than its range.  An empty table
-    gives an empty file set; extra columns aren't read.
+    gives an empty file set; extra columns aren't read.  A worker keeps the ids of up to ``cache`` pieces.
     """
     width = id_width(vocabulary)
     tail = np.array([] if end_id is None else [end_id], np.uint32)
@@ -198,6 +199,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(tokenizer_path, plain_specials)
+        encoder.most = cache
         ids: list[np.ndarray] = []
         held: list[int] = []
         total, number = 0, 0
