@@ -17,28 +17,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity classifier keeps."""
+    """Documents that the perplexity classifier keeps: each row goes by its own text, empty ones stay."""
     return quality.filter_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document of each group of near copies (five words, 0.8): that of the smallest id, null being the smallest.
+
+    Of several texts under that id the one of the smallest hash stays, of equal rows one.
+    """
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item overlaps."""
+    """Documents that no benchmark item overlaps; null and empty texts stay, rows of one id go by their own text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, at most three times; texts without words never; equal rows share."""
     return mixing.mixed_rows(docs).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in the token files: doc_id, start, n_tokens, ids_crc32."""
-    return token_files.encode_documents(docs, *token_files.default_tokenizer())
+    """Each document's place in the token files: doc_id, start, n_tokens, ids_crc32.
+
+    Workers hold what earlier stages left in them too, so fewer pieces are kept than in a job of its own.
+    Null ids come first, repeated ones by the hash of their texts; every row is encoded.
+    """
+    return token_files.encode_documents(docs, *token_files.default_tokenizer(), cache=400_000)
 
 
 STAGES = [
