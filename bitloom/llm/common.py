@@ -110,7 +110,7 @@ def union_components(edges: DataFrame) -> DataFrame:
             return state.select("id", F.col("g").alias("component"))
 
 
-def bounded_batches(spark: SparkSession, bytes_per_batch: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, bytes_per_batch: int = 4 << 20) -> None:
     """Batches to Python workers end by size too, not by rows alone: texts and packed rows can be long.
 
     The setting holds from here on, as plans run later than they are made; a smaller one of the caller's stays.

@@ -96,8 +96,9 @@ class Encoder:
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
+        self.path, self.library = path, None
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain_specials
+        self.tokenizer.encode_special_tokens = True  # pieces hold no special tokens: it needn't look for them
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = tuple(t.content for t in added if not (t.special and plain_specials))
         # bytes as the visible characters that byte-level models are made of
@@ -168,8 +169,10 @@ class Encoder:
         self.spaced.update({p: self.spaced[core] + self.whole[p[len(core) :]] for p, core in ended.items()})
         whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
         out = [np.frombuffer(b"".join([*map(whole, a), *map(spaced, b)]), "<u4") for a, b in split]
-        for n, ids in zip(apart, self._ids(list(apart.values())), strict=True):
-            out[n] = np.frombuffer(ids, "<u4")
+        for n, text in apart.items():
+            if self.library is None:
+                self.library = type(self.tokenizer).from_file(self.path)
+            out[n] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
 
