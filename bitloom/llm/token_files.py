@@ -16,6 +16,8 @@ Any id is found by its bit address alone, and numpy unpacks a whole block or any
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -86,12 +88,13 @@ class Encoder:
     Such a tokenizer never joins across a single space that a non-space follows, so a text falls
     into pieces that begin at those spaces, and a piece's ids depend on the piece alone.  Pieces
     that begin with other white space stay with what is before them.  Within a piece letters and
-    the punctuation after them are told apart too, so a word is encoded once for all of these.
+    the ASCII punctuation after them are told apart too, so a word is encoded once for all of these.
+    With the library's own byte-level pattern a single line feed is a unit as well: lines fall apart.
     """
 
     #: White space that may follow a space without being one.
     SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32)
-    END_MARKS = ".,;:!?"
+    END_MARKS = string.punctuation
 
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
@@ -106,16 +109,25 @@ class Encoder:
         hidden = [b for b in range(256) if b not in visible]
         self.visible = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.most = CACHE
+        splitter = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.lines = self.tokenizer.normalizer is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
         self.byte_level = True
         probe = ["a", "the", "Étre", "über", "anderwhithonre"]
         self.byte_level = self._word_ids(probe) == self._ids([" " + p for p in probe])
         self.whole: dict[str, bytes] = {}  # pieces as they stand
         self.spaced: dict[str, bytes] = {}  # pieces without the space they begin with
 
-    def plain(self, text: str, parts: list[str]) -> bool:
-        """Whether every space is single and a non-space follows it."""
+    def plain(self, text: str) -> list[str] | None:
+        """A text's pieces without the spaces between them, if every space is single and a non-space follows it.
+
+        Where lines fall apart a piece may begin with the line feed before it, and has no space then.
+        """
         spaces = self.SPACES[:9] if text.isascii() else self.SPACES
-        return "" not in parts[1:] and parts[0] != "" and not any(" " + c in text for c in spaces)
+        if self.lines and "\n" in text and "\n\n" not in text and not any(c in text for c in spaces if c != "\n"):
+            parts = text.replace("\n", " \n").split(" ")
+            return None if "" in parts else parts
+        parts = text.split(" ")
+        return None if "" in parts or any(" " + c in text for c in spaces) else parts
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -133,19 +145,29 @@ class Encoder:
         lots = (pieces[at : at + 20_000] for at in range(0, len(pieces), 20_000))
         return [array("I", e.ids).tobytes() for lot in lots for e in self.tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Words of Latin letters after a space: a run of letters is one unit of the model, handed to it directly."""
-        split, see, space = self.tokenizer.model.tokenize, self.visible, self.visible[32]
+    def _word_ids(self, words: list[str], before: str = " ") -> list[bytes]:
+        """Words of Latin letters, after a space or not: a run of letters is one unit of the model, handed to it directly."""
+        split, see = self.tokenizer.model.tokenize, self.visible
+        space = "".join(see[ord(c)] for c in before)
         return [array("I", [t.id for t in split(space + (w if w.isascii() else "".join([see[b] for b in w.encode()])))]).tobytes() for w in words]
 
     def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
         new = list(new)
-        if before and self.byte_level:
+        if self.byte_level:
             words = [p for p in new if p.isalpha() and (p.isascii() or max(p) < LATIN_END)]
-            known.update(zip(words, self._word_ids(words), strict=True))
+            known.update(zip(words, self._word_ids(words, before), strict=True))
             new = [p for p in new if p not in known]
         known.update(zip(new, self._ids([before + p for p in new]), strict=True))
 
+    def _marked(self, pieces: set[str]) -> dict[str, str]:
+        """Letters of the pieces that are letters and marks after them."""
+        out = {}
+        for p in pieces:
+            core = p.rstrip(self.END_MARKS)
+            if len(core) < len(p) and core.isalpha():
+                out[p] = core
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.whole) + len(self.spaced) > self.most:
             self.whole, self.spaced = {}, {}
@@ -155,18 +177,20 @@ class Encoder:
                 apart[n] = t
                 split.append(([], []))
                 continue
-            parts = t.split(" ") if t else []
-            split.append((parts[:1], parts[1:]) if t and self.plain(t, parts) else (self.pieces(t) if t else [], []))
+            parts = self.plain(t) if t else []
+            split.append((self.pieces(t), []) if parts is None else (parts[:1], parts[1:]))
         new = set().union(*[b for _, b in split]).difference(self.spaced)
-        ended = {}
-        for p in new:
-            core = p.rstrip(self.END_MARKS)
-            if len(core) < len(p) and core.isalpha():
-                ended[p] = core
+        # a piece made of others: after a line feed there is no space, and marks may end a word
+        begun = {p: p[1:] for p in new if p[0] == "\n"} if self.lines else {}
+        new.difference_update(begun)
+        starts = set().union(begun.values(), *[a for a, _ in split]).difference(self.whole)
+        marked, ended = self._marked(starts), self._marked(new)
+        tails = {p[len(core) :] for made in (marked, ended) for p, core in made.items()}
         self._learn(self.spaced, new.difference(ended).union(ended.values()).difference(self.spaced), " ")
-        tails = {p[len(core) :] for p, core in ended.items()}
-        self._learn(self.whole, set().union(tails, *[a for a, _ in split]).difference(self.whole), "")
+        self._learn(self.whole, starts.difference(marked).union(marked.values(), tails, ["\n"] if begun else []).difference(self.whole), "")
+        self.whole.update({p: self.whole[core] + self.whole[p[len(core) :]] for p, core in marked.items()})
         self.spaced.update({p: self.spaced[core] + self.whole[p[len(core) :]] for p, core in ended.items()})
+        self.spaced.update({p: self.whole["\n"] + self.whole[core] for p, core in begun.items()})
         whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
         out = [np.frombuffer(b"".join([*map(whole, a), *map(spaced, b)]), "<u4") for a, b in split]
         for n, text in apart.items():
