@@ -35,6 +35,8 @@ BITS, SEED = 64, 42
 NULL_ID = -(1 << 63)
 #: Rounds of pivots before the exact step, and their keys (segments that must be equal, one at a time).
 PIVOTS, FAMILY_KEYS = 1, 4
+#: Rounds of pivots where each pair costs a comparison of texts, and fingerprints of 64 bits in a sketch.
+FAMILY_PIVOTS, SKETCH = 3, 4
 #: Fingerprints that share a key by chance, more or less, and rows from which on a bucket is large.
 STRANGERS, LARGE_BUCKET = 64, 512
 #: Most nodes whose ids are broadcast when texts are fetched; with more, the join shuffles.
@@ -153,20 +155,21 @@ def ring_for(n: int, tau: int = 4) -> tuple[int, int]:
 Check = Callable[[DataFrame], DataFrame]
 
 
-def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None, check: Check | None = None, wide: int | None = None) -> DataFrame:
+def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = None, check: Check | None = None, wide: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """nodes(node: long, fp: long), distinct -> node, component (a node of its component, the same for all).
 
-    Nodes link when their fingerprints differ in ``tau`` bits at most.  Where ``wide`` is given, there is a
-    second fingerprint fp2, and both together must be within ``wide``.  Where ``check`` is given, it must
-    also return the pair: it gets distinct (a, b) and gives back those that link.
+    Nodes link when their fingerprints differ in ``tau`` bits at most.  Where ``wide`` is given, there are
+    further fingerprints fp2, fp3 and so on, and all together must be within ``wide``.  Where ``check`` is
+    given, it must also return the pair: it gets distinct (a, b) and gives back those that link.  Rounds of
+    ``pivots`` decide how much is left for the exact step, never the links.
     """
     nodes = cut(nodes)
     m, chain = ring or ring_for(nodes.count(), tau)
     check = check or (lambda edges: edges)
-    fps = ["fp"] if wide is None else ["fp", "fp2"]
+    fps = ["fp"] if wide is None else [c for c in nodes.columns if c.startswith("fp")]
     masks = _masks(key_sets(m, tau, chain), segments(m))
     apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    near = apart("fp") <= tau if wide is None else (apart("fp") <= tau) & (apart("fp") + apart("fp2") <= wide)
+    near = apart("fp") <= tau if wide is None else (apart("fp") <= tau) & (sum(map(apart, fps)) <= wide)
     named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in fps]
     xor = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     # a pair that meets under several keys counts under the first of them
@@ -182,7 +185,7 @@ def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = No
     # 1: families.  A few coarse keys; a pivot of each bucket that isn't of one component
     label = nodes.select("node", *fps, F.col("node").alias("component"))
     coarse = _masks([(i,) for i in range(FAMILY_KEYS)], segments(FAMILY_KEYS))
-    for r in range(PIVOTS):
+    for r in range(pivots):
         rows = _keyed(label, fps, coarse)
         order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("b"), *named("b"))
         pivot = rows.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "p.*").drop("h")
@@ -201,7 +204,7 @@ def components(nodes: DataFrame, tau: int = 4, ring: tuple[int, int] | None = No
     edges = pairs(left(plain).join(right(plain), met & (F.col("a") < F.col("b"))))
     if some:
         most = rows.join(small(large), "key")
-        main = most.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
+        main = most.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(pivots)).alias("h"), "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "main")
         most = most.join(main, "key")
         other = left(most.where("component <> main"))
         every = right(most, (F.col("component") == F.col("main")).alias("of_main"))
@@ -267,8 +270,17 @@ def shingle_hashes(text: str | None, shingle: int, known: dict[bytes, int]) -> n
     return h ^ (h >> np.uint64(32))
 
 
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes for the k-th fingerprint: themselves for the first."""
+    if k == 0:
+        return h
+    v = h * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64))
+    return v ^ (v >> np.uint64(29))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id (NULL_ID for null), version, node (of the words in order: the same for texts of the same words), fp, fp2."""
+    """doc_id (NULL_ID for null), version, node (of the words in order: the same for texts of the same words), fp, fp2, ..."""
+    names = ["fp", *[f"fp{k}" for k in range(2, SKETCH + 1)]]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -277,12 +289,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             for t in pdf["text"].tolist():
                 h = shingle_hashes(t, shingle, known)
                 node = xxhash.xxh64_intdigest(h.tobytes(), len(h))
-                out.append((np.uint64(node).astype(np.int64), majority_bits(h), majority_bits(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ h >> np.uint64(29))))
-            yield pd.concat([pdf[["doc_id", "version"]], pd.DataFrame(out, columns=["node", "fp", "fp2"])], axis=1)
+                out.append((np.uint64(node).astype(np.int64), *[majority_bits(remixed(h, k)) for k in range(SKETCH)]))
+            yield pd.concat([pdf[["doc_id", "version"]], pd.DataFrame(out, columns=["node", *names])], axis=1)
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    return rows.mapInPandas(each, "doc_id long, version long, node long, fp long, fp2 long")
+    return rows.mapInPandas(each, "doc_id long, version long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
 def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -323,18 +335,19 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
     return cut(both.mapInPandas(compare, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 6, wide: int = 22, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 8, wide: int = 48, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id (NULL_ID for null), version (hash of the text), component of every row.
 
     Texts link when their fingerprints of ``shingle``-word shingles differ in ``tau`` of 64 bits at most,
-    with a second one in ``wide`` of 128, and the shingles' Jaccard similarity is at least
-    ``similarity``; texts of the same words always do.  A pair of 0.8 differs in some 10 of 64 bits, so
-    ``tau`` decides how many of such pairs are seen (the README has figures); what is linked is never
+    with further ones in ``wide`` of 256, and the shingles' Jaccard similarity is at least
+    ``similarity``; texts of the same words always do.  256 bits tell pairs of 0.8 from others well, so
+    ``wide`` spares comparisons and costs hardly any link; but a pair of 0.8 differs in some 10 of 64 bits,
+    so ``tau`` decides how many of such pairs are seen (the README has figures).  What is linked is never
     less similar.
     """
     bounded_batches(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col, shingle))
-    found = components(rows.select("node", "fp", "fp2").distinct(), tau, wide=wide, check=lambda edges: alike(docs, rows, edges, id_col, text_col, shingle, similarity))
+    found = components(rows.drop("doc_id", "version").distinct(), tau, wide=wide, pivots=FAMILY_PIVOTS, check=lambda edges: alike(docs, rows, edges, id_col, text_col, shingle, similarity))
     return rows.join(found, "node").select("doc_id", "version", "component")
 
 

@@ -16,14 +16,13 @@ from bitloom.llm.common import cut, discard
 # --- near copies: one row of each component ---------------------------------------------------------
 
 
-def brute_similar(texts, tau, shingle, similarity, wide=22):
+def brute_similar(texts, tau, shingle, similarity, wide=48):
     """Component of each text by all pairs; shingles as tuples of words, fingerprints from the module's hashes."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
     sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
     hashes = [simhash.shingle_hashes(t, shingle, {}) for t in texts]
-    fps = [simhash.majority_bits(h) % (1 << 64) for h in hashes]
-    second = [simhash.majority_bits(h * np.uint64(0xC2B2AE3D27D4EB4F) ^ h >> np.uint64(29)) % (1 << 64) for h in hashes]
-    bits = lambda f, i, j: bin(f[i] ^ f[j]).count("1")
+    fps = [[simhash.majority_bits(simhash.remixed(h, k)) % (1 << 64) for k in range(simhash.SKETCH)] for h in hashes]
+    bits = lambda i, j, n: sum(bin(x ^ y).count("1") for x, y in zip(fps[i][:n], fps[j][:n], strict=True))
     root = list(range(len(texts)))
 
     def find(x):
@@ -33,7 +32,7 @@ def brute_similar(texts, tau, shingle, similarity, wide=22):
 
     for i, j in itertools.combinations(range(len(texts)), 2):
         same, both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-        if words[i] == words[j] or bits(fps, i, j) <= tau and bits(fps, i, j) + bits(second, i, j) <= wide and same >= similarity * both:
+        if words[i] == words[j] or bits(i, j, 1) <= tau and bits(i, j, simhash.SKETCH) <= wide and same >= similarity * both:
             root[find(j)] = find(i)
     return [find(i) for i in range(len(texts))]
 
@@ -60,7 +59,7 @@ def test_similar_components_against_brute_force(spark):
         pairs = {(got[i], want[i]) for i in range(len(texts))}
         assert len(pairs) == len(set(got.values())) == len(set(want))
     kept = {x.doc_id for x in simhash.keep_one(frame(spark, texts)).collect()}
-    want = brute_similar(texts, 6, 5, 0.8)
+    want = brute_similar(texts, 8, 5, 0.8)
     assert kept == {want.index(w) for w in set(want)}
 
 
