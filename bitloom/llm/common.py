@@ -6,7 +6,10 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+#: Most edges whose components one task finds (some 100 bytes of its memory each); more take rounds of joins.
+FEW_EDGES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,17 +85,48 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
+def _components_in_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of edges (a, b) -> one batch (id, component): roots hook to the smallest root next door, until none is left."""
+    pairs = [np.zeros((2, 0), np.int64), *[np.stack([pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)]) for pdf in batches]]
+    ends = np.concatenate(pairs, axis=1)
+    ids, at = np.unique(ends.ravel(), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            yield pd.DataFrame({"id": ids, "component": ids[root]})
+            return
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def union_components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b: long) as (id, component), component the smallest id reachable.
 
+    Up to ``FEW_EDGES`` distinct edges go through one task: rounds of joins cost the driver some hundreds of
+    plans and stages, whatever the number of edges.  More edges take the rounds; the result is the same.
+    """
+    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if edges.count() <= FEW_EDGES:
+        found = cut(edges.coalesce(1).mapInPandas(_components_in_one, "id long, component long"))
+    else:
+        found = _components_in_rounds(edges)
+    discard(edges)
+    return found
+
+
+def _components_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for any number of distinct edges.
+
     Every vertex has a parent, at first its smallest neighbour or itself.  Each round hooks the
     parent of a vertex, and the vertex itself, to the smallest grandparent next door and halves all
     paths, until no grandparent changes: a logarithmic number of rounds in practice.  Only minima
     per vertex are aggregated (map-side combined), so a vertex that holds a third of all edges is
     no burden.  Nothing reaches the driver but a flag a round.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.distinct())
+    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
     up = lambda f: f.join(f.select(F.col("id").alias("p"), F.col("p").alias("g")), "p").select("id", "p", "g")
     first = cut(parent)
