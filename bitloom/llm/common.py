@@ -67,6 +67,14 @@ def discard(*tables: DataFrame) -> None:
                 folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop plans, broadcasts and shuffles of steps that are over.
+
+    Spark's cleaner waits for the JVM to collect them, and the JVM rather grows its heap first.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """The frame, marked for broadcast only if it has at most ``rows`` (narrow) rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh, ship, small, table, union_components
+from .common import bounded_batches, cut, fresh, release, ship, small, table, union_components
 
 BITS, SEED = 64, 42
 #: Stands for a null id.
@@ -130,13 +130,14 @@ def _mask(parts: list[tuple[int, int]]) -> int:
 
 def _chain_test(x: Column, m: int, tau: int) -> Column:
     """Of the bits that differ, x: some start has every prefix of its chain within budget."""
-    seg = [F.bit_count(x.bitwiseAND(F.lit(_mask([p])))) for p in segments(m)]
+    parts = segments(m)
+    # a prefix is left out where the next one has the same budget, which bounds it too
+    lengths = [l for l in range(1, m) if l == m - 1 or l * tau // m < (l + 1) * tau // m]
     out = F.lit(False)
     for s in range(m):
-        ok, total = F.lit(True), F.lit(0)
-        for l in range(1, m):
-            total = total + seg[(s + l - 1) % m]
-            ok = ok & (total <= l * tau // m)
+        ok = F.lit(True)
+        for l in lengths:
+            ok = ok & (F.bit_count(x.bitwiseAND(F.lit(_mask([parts[(s + i) % m] for i in range(l)])))) <= l * tau // m)
         out = out | ok
     return out
 
@@ -227,7 +228,9 @@ def _relabel(label: DataFrame, fps: list[str], edges: DataFrame) -> DataFrame:
     to = label.select(F.col("node").alias("a"), F.col("component").alias("x"))
     edges = edges.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     joined = union_components(edges).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return cut(label.join(joined, "component", "left").select("node", *fps, F.coalesce("to", "component").alias("component")))
+    label = cut(label.join(joined, "component", "left").select("node", *fps, F.coalesce("to", "component").alias("component")))
+    release(label.sparkSession)
+    return label
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, shingle: int = 4) -> DataFrame:
@@ -303,6 +306,7 @@ def alike(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_
     Only texts that stand in an edge are fetched, one for each node.
     """
     edges = cut(edges)  # distinct
+    release(edges.sparkSession)
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     holders = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("d")).join(ends, "node", "left_semi")
     holders = cut(holders.select("node", F.col("d.doc_id").alias("h_id"), F.col("d.version").alias("h_version")))

@@ -4,8 +4,9 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from bitloom.llm import common
+from bitloom.llm import common, simhash
 
 
 def brute_force(edges):
@@ -48,3 +49,21 @@ def test_few_edges_take_few_jobs(spark):
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert found.count() and len(jobs) <= 8, len(jobs)
+
+
+@pytest.mark.parametrize("m,tau", [(10, 8), (11, 8), (6, 4), (7, 4)])
+def test_chain_test_against_brute_force(spark, m, tau):
+    rng = random.Random(m)
+    flips = [rng.sample(range(64), rng.randrange(tau + 4)) for _ in range(2000)]
+    xs = [sum(1 << i for i in f) for f in flips]
+    counts = [[(x >> a & ((1 << n) - 1)).bit_count() for a, n in simhash.segments(m)] for x in xs]
+    want = [any(all(sum(c[(s + i) % m] for i in range(l)) <= l * tau // m for l in range(1, m)) for s in range(m)) for c in counts]
+    signed = [(k, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(xs)]
+    got = spark.createDataFrame(signed, "k long, x long").select("k", simhash._chain_test(F.col("x"), m, tau).alias("t")).collect()
+    assert [x.t for x in sorted(got)] == want and 0 < sum(want) < len(want)
+
+
+def test_chain_test_is_a_short_expression(spark):
+    """The driver rewrites it again and again as the joins' stages end."""
+    shown = spark.range(1).select(simhash._chain_test(F.col("id"), 10, 8).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("bit_count") <= 90, shown.count("bit_count")
