@@ -21,9 +21,12 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from .common import new_path, ship, table
 BLOCK_IDS = 1 << 19
 #: Word pieces kept by a worker between batches.
 CACHE = 900_000
+#: Characters of texts that are encoded together: pieces are looked up once in each lot.
+LOT_CHARS = 4 << 20
 #: Letters below are letters to every version of Unicode.
 LATIN_END = chr(0x250)
 SCHEMA = "block long, width int, least_id long, greatest_id long, doc_ids binary, offsets binary, n_ids long, payload binary"
@@ -90,6 +95,7 @@ class Encoder:
     that begin with other white space stay with what is before them.  Within a piece letters and
     the ASCII punctuation after them are told apart too, so a word is encoded once for all of these.
     With the library's own byte-level pattern a single line feed is a unit as well: lines fall apart.
+    Texts that are encoded together look each different piece up once.
     """
 
     #: White space that may follow a space without being one.
@@ -107,27 +113,28 @@ class Encoder:
         # bytes as the visible characters that byte-level models are made of
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
-        self.visible = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.visible = np.arange(256).astype("<u2")
+        self.visible[hidden] = 256 + np.arange(len(hidden))
         self.most = CACHE
         splitter = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.lines = self.tokenizer.normalizer is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
         self.byte_level = True
         probe = ["a", "the", "Étre", "über", "anderwhithonre"]
         self.byte_level = self._word_ids(probe) == self._ids([" " + p for p in probe])
-        self.whole: dict[str, bytes] = {}  # pieces as they stand
-        self.spaced: dict[str, bytes] = {}  # pieces without the space they begin with
+        # ids of pieces, by what stands before them
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
-    def plain(self, text: str) -> list[str] | None:
-        """A text's pieces without the spaces between them, if every space is single and a non-space follows it.
+    def plain(self, text: str) -> str | None:
+        """A text with one space before each of its pieces but the first, if every space is single and a non-space follows it.
 
-        Where lines fall apart a piece may begin with the line feed before it, and has no space then.
+        Where lines fall apart a piece may begin with the line feed before it, and has no space of its own then.
         """
         spaces = self.SPACES[:9] if text.isascii() else self.SPACES
         if self.lines and "\n" in text and "\n\n" not in text and not any(c in text for c in spaces if c != "\n"):
-            parts = text.replace("\n", " \n").split(" ")
-            return None if "" in parts else parts
-        parts = text.split(" ")
-        return None if "" in parts or any(" " + c in text for c in spaces) else parts
+            text = text.replace("\n", " \n")
+        elif any(" " + c in text for c in spaces):
+            return None
+        return None if text[0] == " " or text[-1] == " " or "  " in text else text
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -147,59 +154,121 @@ class Encoder:
 
     def _word_ids(self, words: list[str], before: str = " ") -> list[bytes]:
         """Words of Latin letters, after a space or not: a run of letters is one unit of the model, handed to it directly."""
-        split, see = self.tokenizer.model.tokenize, self.visible
-        space = "".join(see[ord(c)] for c in before)
-        return [array("I", [t.id for t in split(space + (w if w.isascii() else "".join([see[b] for b in w.encode()])))]).tobytes() for w in words]
-
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        new = list(new)
-        if self.byte_level:
-            words = [p for p in new if p.isalpha() and (p.isascii() or max(p) < LATIN_END)]
-            known.update(zip(words, self._word_ids(words, before), strict=True))
-            new = [p for p in new if p not in known]
-        known.update(zip(new, self._ids([before + p for p in new]), strict=True))
-
-    def _marked(self, pieces: set[str]) -> dict[str, str]:
-        """Letters of the pieces that are letters and marks after them."""
-        out = {}
-        for p in pieces:
-            core = p.rstrip(self.END_MARKS)
-            if len(core) < len(p) and core.isalpha():
-                out[p] = core
-        return out
+        if not words:
+            return []
+        split = self.tokenizer.model.tokenize
+        raw = np.frombuffer("\n".join([before + w for w in words]).encode(), np.uint8)
+        seen = self.visible[raw].tobytes().decode("utf-16-le").split(chr(self.visible[10]))
+        return [array("I", [t.id for t in split(w)]).tobytes() for w in seen]
+
+    def _learn(self, new: list[str], before: str) -> None:
+        """Keep the ids of pieces that aren't kept yet."""
+        words, others = [], []
+        for p in new:
+            (words if self.byte_level and p.isalpha() and (p.isascii() or max(p) < LATIN_END) else others).append(p)
+        self.known[before].update(zip(words, self._word_ids(words, before), strict=True))
+        self.known[before].update(zip(others, self._ids([before + p for p in others]), strict=True))
+
+    def piece_ids(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of pieces with a space ``before`` them or nothing: kept, new, or put together from others' (and not kept then)."""
+        known = self.known[before]
+        found = list(map(known.get, pieces))
+        lacking = [n for n, ids in enumerate(found) if ids is None]
+        begun, ended, own = [], [], []
+        for n in lacking:
+            p = pieces[n]
+            if p.isalpha():
+                own.append(n)
+            elif before and self.lines and p[:1] == "\n":  # there is no space after a line feed
+                begun.append(n)
+            elif len(core := p.rstrip(self.END_MARKS)) < len(p) and core.isalpha():
+                ended.append((n, core, p[len(core) :]))
+            else:
+                own.append(n)
+        if own:
+            self._learn(list(dict.fromkeys([pieces[n] for n in own])), before)
+            for n in own:
+                found[n] = known[pieces[n]]
+        if begun:
+            [feed] = self.piece_ids(["\n"], "")
+            for n, ids in zip(begun, self.piece_ids([pieces[n][1:] for n in begun], ""), strict=True):
+                found[n] = feed + ids
+        if ended:
+            numbers, cores, tails = zip(*ended, strict=True)
+            for n, core, tail in zip(numbers, self.piece_ids(cores, before), self.piece_ids(tails, ""), strict=True):
+                found[n] = core + tail
+        return found
+
+    def _forget(self, asked: dict[str, list[str]]) -> None:
+        """If more is kept than should be, drop what has been kept longest, but none of the pieces that were just asked for."""
+        total = sum(map(len, self.known.values()))
+        if total <= self.most:
+            return
+        for before, known in self.known.items():
+            stay = len(known) * (self.most // 2) // total
+            self.known[before] = dict(islice(known.items(), len(known) - stay, None))
+            if sum(map(len, asked.values())) <= self.most // 2:
+                self.known[before].update((p, known[p]) for p in asked[before] if p in known)
+
+    def _encode_plain(self, texts: list[str], asked: dict[str, list[str]]) -> list[np.ndarray]:
+        """Texts of ``plain``: each different piece among them is looked up once, and added to those ``asked`` for."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces = parts.values.dictionary_encode()
+        names, at = pieces.dictionary.to_numpy(zero_copy_only=False), pieces.indices.to_numpy().copy()
+        bounds = parts.offsets.to_numpy()
+        # a text's first piece has no space before it: such pieces get numbers of their own
+        firsts, number = np.unique(at[bounds[:-1]], return_inverse=True)
+        at[bounds[:-1]] = len(names) + number
+        used = np.flatnonzero(np.bincount(at, minlength=len(names))[: len(names)])
+        spaced, bare = names[used].tolist(), names[firsts].tolist()
+        found = [*self.piece_ids(spaced, " "), *self.piece_ids(bare, "")]
+        asked[" "] += spaced
+        asked[""] += bare
+        table = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.zeros(len(names) + len(firsts), np.int64)
+        lengths[np.concatenate([used, np.arange(len(names), len(lengths))])] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = lengths.cumsum() - lengths
+        run = lengths[at]
+        ends = run.cumsum()
+        flat = table[np.repeat(starts[at] - ends + run, run) + np.arange(ends[-1])]
+        return np.split(flat, ends[bounds[1:-1] - 1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.whole) + len(self.spaced) > self.most:
-            self.whole, self.spaced = {}, {}
-        split, apart = [], {}
-        for n, t in enumerate(texts):
-            if t and any(a in t for a in self.added):
-                apart[n] = t
-                split.append(([], []))
+        out = [np.array([], "<u4")] * len(texts)
+        even, rough = {}, {}
+        for n, text in enumerate(texts):
+            if not text:
                 continue
-            parts = self.plain(t) if t else []
-            split.append((self.pieces(t), []) if parts is None else (parts[:1], parts[1:]))
-        new = set().union(*[b for _, b in split]).difference(self.spaced)
-        # a piece made of others: after a line feed there is no space, and marks may end a word
-        begun = {p: p[1:] for p in new if p[0] == "\n"} if self.lines else {}
-        new.difference_update(begun)
-        starts = set().union(begun.values(), *[a for a, _ in split]).difference(self.whole)
-        marked, ended = self._marked(starts), self._marked(new)
-        tails = {p[len(core) :] for made in (marked, ended) for p, core in made.items()}
-        self._learn(self.spaced, new.difference(ended).union(ended.values()).difference(self.spaced), " ")
-        self._learn(self.whole, starts.difference(marked).union(marked.values(), tails, ["\n"] if begun else []).difference(self.whole), "")
-        self.whole.update({p: self.whole[core] + self.whole[p[len(core) :]] for p, core in marked.items()})
-        self.spaced.update({p: self.spaced[core] + self.whole[p[len(core) :]] for p, core in ended.items()})
-        self.spaced.update({p: self.whole["\n"] + self.whole[core] for p, core in begun.items()})
-        whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
-        out = [np.frombuffer(b"".join([*map(whole, a), *map(spaced, b)]), "<u4") for a, b in split]
-        for n, text in apart.items():
-            if self.library is None:
-                self.library = type(self.tokenizer).from_file(self.path)
-            out[n] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            if any(a in text for a in self.added):
+                if self.library is None:
+                    self.library = type(self.tokenizer).from_file(self.path)
+                out[n] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            elif (spread := self.plain(text)) is not None:
+                even[n] = spread
+            else:
+                rough[n] = self.pieces(text)
+        asked = {"": list(set().union(*rough.values())), " ": []}
+        if rough:
+            ids = dict(zip(asked[""], self.piece_ids(asked[""], ""), strict=True))
+            for n, own in rough.items():
+                out[n] = np.frombuffer(b"".join([ids[p] for p in own]), "<u4")
+        if even:
+            for n, own in zip(even, self._encode_plain(list(even.values()), asked), strict=True):
+                out[n] = own
+        self._forget(asked)
         return out
 
 
+def lots(texts: list[str | None], chars: int = LOT_CHARS) -> Iterator[tuple[int, int]]:
+    """Where runs of texts begin and end; a run ends with the text that fills it."""
+    at = size = 0
+    for n, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= chars or n == len(texts):
+            yield at, n
+            at, size = n, 0
+
+
 def _encoder(path: str, plain_specials: bool) -> Encoder:
     """The worker process' own encoder, kept from task to task."""
     import tokenizers
@@ -238,8 +307,9 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for at in range(0, len(texts), 256):
-                for doc, own in zip(pdf["doc_id"].tolist()[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+            docs_of = pdf["doc_id"].tolist()
+            for at, end in lots(texts):
+                for doc, own in zip(docs_of[at:end], encoder.encode(texts[at:end]), strict=True):
                     own = np.concatenate([own, tail])
                     ids.append(own)
                     held.append(NULL_ID if doc is None or doc != doc else int(doc))
