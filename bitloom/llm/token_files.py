@@ -36,7 +36,7 @@ from .common import new_path, ship, table
 BLOCK_IDS = 1 << 19
 #: Word pieces kept by a worker between batches.
 CACHE = 900_000
-#: Characters of texts that are encoded together: pieces are looked up once in each lot.
+#: Characters of texts that are encoded together: pieces are looked up once in each lot.  More take less time and more memory.
 LOT_CHARS = 4 << 20
 #: Letters below are letters to every version of Unicode.
 LATIN_END = chr(0x250)
@@ -300,13 +300,14 @@ def _encoder(path: str, plain_specials: bool) -> Encoder:
     return held[path, plain_specials]
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plain_specials: bool = False, cache: int = CACHE) -> None:
+def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, plain_specials: bool = False, cache: int = CACHE, lot_chars: int = LOT_CHARS) -> None:
     """Encode every text and write the file set to ``path``, documents in ascending id order.
 
     A null or empty text has no ids of its own; ``end_id`` closes every document.  Null ids come
     first, repeated ids stand next to one another, by the hash of their texts.  The texts are dealt by
     ranges of (id, hash) (a sampled range sort), so no task sees more than its range.  An empty table
-    gives an empty file set; extra columns aren't read.  A worker keeps the ids of up to ``cache`` pieces.
+    gives an empty file set; extra columns aren't read.  A worker keeps the ids of up to ``cache`` pieces
+    and encodes texts of ``lot_chars`` characters together.
     """
     width = id_width(vocabulary)
     tail = np.array([] if end_id is None else [end_id], np.uint32)
@@ -329,7 +330,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
         for pdf in batches:
             texts = pdf["text"].tolist()
             docs_of = pdf["doc_id"].tolist()
-            for at, end in lots(texts):
+            for at, end in lots(texts, lot_chars):
                 for doc, own in zip(docs_of[at:end], encoder.encode(texts[at:end]), strict=True):
                     own = np.concatenate([own, tail])
                     ids.append(own)

@@ -42,10 +42,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's place in the token files: doc_id, start, n_tokens, ids_crc32.
 
-    Workers hold what earlier stages left in them too, so fewer pieces are kept than in a job of its own.
+    Workers hold what earlier stages left in them too, so fewer pieces are kept than in a job of its own, and lots are smaller.
     Null ids come first, repeated ones by the hash of their texts; every row is encoded.
     """
-    return token_files.encode_documents(docs, *token_files.default_tokenizer(), cache=400_000)
+    return token_files.encode_documents(docs, *token_files.default_tokenizer(), cache=400_000, lot_chars=1 << 20)
 
 
 STAGES = [
