@@ -21,8 +21,8 @@ from ..operators.pairs import small
 
 #: Bytes of a header that are looked at (its length field included).
 HEADER = 512
-#: Rows packed into a piece of an exported file.
-PIECE = 4096
+#: Rows packed at a time into pieces of exported files; bytes that the driver passes on at a time.
+PIECE, PASSED = 4096, 16 << 20
 
 
 def _header(data: bytes) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -66,7 +66,7 @@ def read_npy(spark: SparkSession, path: str, n_features: int | None = None, pack
     Packed rows hold 8 bits a byte, most significant first; ``n_features`` below that width cuts the
     tail.  Unpacked rows hold 0/1.  A wrong shape, width or dtype raises, and so does no file at all.
     """
-    ranges = file_ranges(file_info(spark, path), max_rows)
+    ranges = file_ranges(cut(file_info(spark, path)), max_rows)  # heads are read once
     facts = ranges.agg(F.count(F.lit(1)).alias("files"), F.min("width").alias("lo"), F.max("width").alias("hi"), F.count_if(~F.col("valid")).alias("bad")).first()
     if not facts["files"]:
         raise FileNotFoundError(f"no .npy file at {path}")
@@ -105,31 +105,40 @@ def gather(fps: DataFrame, ids: DataFrame) -> DataFrame:
 def write_npy(fps: DataFrame, path: str, n_features: int, rows_per_file: int = 1_000_000) -> None:
     """Export for other tools: .npy files of packed rows in id order, named by number.
 
-    Workers pack rows into pieces; the driver passes the pieces on, one at a time, to files of any
-    store that Spark writes to.  It is an export: tables stay in Parquet otherwise.
+    Workers pack rows into pieces of files, all in one job; the driver passes the pieces on, in order and a
+    partition of about PASSED bytes at a time, to files of any store that Spark writes to.  It is an export: tables
+    stay in Parquet otherwise.
     """
     spark, width = fps.sparkSession, (n_features + 7) // 8
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), PIECE):
-                rows = pdf["words"].iloc[at : at + PIECE]
-                packed = np.stack(rows.to_list()).astype(">i8").view(np.uint8)[:, :width]
-                yield pd.DataFrame({"n": [len(rows)], "content": [packed.tobytes()]})
-
-    ordered = numbered(fps.select("fp_id", "words"), ["fp_id"], "at").withColumn("file", F.floor(F.col("at") / rows_per_file).cast("long"))
-    ordered = cut(ordered)
-    sizes = {r["file"]: r["count"] for r in ordered.groupBy("file").count().collect()}  # a row a file
-    jvm = spark._jvm
-    for file, n in sorted(sizes.items()):
-        name = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{file:06d}.npy")
-        out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name, False)
-        head = io.BytesIO()
-        np.lib.format.write_array_header_1_0(head, {"descr": "|u1", "fortran_order": False, "shape": (n, width)})
-        out.write(bytearray(head.getvalue()))
-        own = ordered.where(F.col("file") == file).repartitionByRange("at").sortWithinPartitions("at")
-        for r in own.select("words").mapInPandas(pieces, "n long, content binary").toLocalIterator():
-            out.write(bytearray(r["content"]))
+    files, parts = max(1, PIECE // rows_per_file), -(-rows_per_file // PIECE)  # files of a lot, or lots of a file
+
+    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for file, rows in pdf.sort_values("at").groupby("file", sort=True):
+            packed = np.stack(rows["words"].to_list()).astype(">i8").view(np.uint8)[:, :width]
+            out.append((file, rows["at"].iloc[0], len(rows), packed.tobytes()))
+        return pd.DataFrame(out, columns=["file", "at", "n", "content"])
+
+    at = F.col("at")
+    ordered = numbered(fps.select("fp_id", "words"), ["fp_id"], "at").withColumn("file", F.floor(at / rows_per_file).cast("long"))
+    lot = F.floor(F.col("file") / files) if parts == 1 else F.col("file") * parts + F.floor(at % rows_per_file / PIECE)
+    packed = cut(ordered.select(lot.cast("long").alias("lot"), "file", "at", "words").groupBy("lot").applyInPandas(pieces, "file long, at long, n long, content binary"))
+    sizes = {r["file"]: r["n"] for r in packed.groupBy("file").agg(F.sum("n").alias("n")).collect()}  # a row a file
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    store, open_file, out = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), None, None
+    in_order = packed.repartitionByRange(1 + sum(sizes.values()) * width // PASSED, "at").sortWithinPartitions("at")
+    for r in in_order.select("file", "content").toLocalIterator():
+        content = r["content"]
+        if r["file"] != open_file:
+            if out is not None:
+                out.close()
+            open_file = r["file"]
+            out = store.create(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{open_file:06d}.npy"), False)
+            head = io.BytesIO()
+            np.lib.format.write_array_header_1_0(head, {"descr": "|u1", "fortran_order": False, "shape": (sizes[open_file], width)})
+            content = head.getvalue() + content
+        out.write(bytearray(content))
+    if out is not None:
         out.close()
 
 
