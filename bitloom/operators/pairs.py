@@ -54,20 +54,20 @@ def blocks(n: int) -> int:
     return max(1, math.ceil(n / BLOCK_ROWS))
 
 
-def meet(a: DataFrame, b: DataFrame, id_a: str, id_b: str, on: Column, elements: int = 32, keys: list[str] | None = None) -> DataFrame:
-    """Rows of a with rows of b for which ``on`` holds (and the columns ``keys``, if any, are equal).
+def meet(a: DataFrame, b: DataFrame, id_a: str, id_b: str, on: Column, elements: int = 32) -> DataFrame:
+    """Rows of a with rows of b for which ``on`` holds.
 
     b is broadcast if it is small; else each row of a stands in one row of blocks and each of b in one
     column, and every cell of that square is a join key.
     """
-    if keys is None and fits(b, elements):
+    if fits(b, elements):
         return a.join(F.broadcast(b), on)
     sa, sb = blocks(a.count()), blocks(b.count())
     turn = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = a.withColumn("block_a", turn(id_a, sa)).withColumn("block_b", every(sb))
     right = b.withColumn("block_b", turn(id_b, sb)).withColumn("block_a", every(sa))
-    return left.join(right, [*(keys or []), "block_a", "block_b"]).where(on).drop("block_a", "block_b")
+    return left.join(right, ["block_a", "block_b"]).where(on).drop("block_a", "block_b")
 
 
 def _side(fps: DataFrame, tag: str) -> DataFrame:
@@ -206,23 +206,61 @@ def similarity_matrix(fps: DataFrame) -> DataFrame:
     return _all_pairs(fps, False)
 
 
+def least_common(threshold: float, width: int) -> np.ndarray:
+    """By the set bits of two fingerprints together (0 up to 128 a word): the fewest in common that make them similar."""
+    bits = np.arange(64 * width + 1)
+    found = np.full(128 * width + 1, 64 * width + 1)
+    for s in range(len(found)):
+        common = bits[: s // 2 + 1]
+        enough = np.flatnonzero(common / np.maximum(s - common, 1) >= threshold)
+        if len(enough):
+            found[s] = enough[0]
+    return found
+
+
 def pairs_above(fps: DataFrame, threshold: float) -> DataFrame:
     """id_1 < id_2, jt of at least ``threshold`` (> 0), exactly.
 
-    Similar fingerprints have popcounts within a factor: t * |x| <= |y| <= |x| / t.  Popcounts fall
-    into bands of that factor, so partners are in the same or a neighbouring band: an equi-join on
-    bands and, within them, blocks, so that a band that holds most rows is many keys.
+    Each unordered pair is compared once.  Rows of one popcount stand together in a block; against each popcount
+    of the other block they need a fixed number of common bits, and where none of both can have it (popcounts too
+    far apart) nothing is compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    step = -math.log(threshold) if threshold < 1 else 1e-9
-    a, b = _side(fps, "1").where("card_1 > 0"), _side(fps, "2").where("card_2 > 0")
-    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / step + 1e-9).cast("long")
-    a = a.withColumn("band", band("card_1"))
-    b = b.withColumn("band", F.explode(F.array(*[band("card_2") + d for d in (-1, 0, 1)])))
-    inside = (F.col("card_1") * threshold <= F.col("card_2") + 1e-9) & (F.col("card_2") * threshold <= F.col("card_1") + 1e-9)
-    met = meet(a, b, "id_1", "id_2", (F.col("id_1") < F.col("id_2")) & inside, keys=["band"])
-    return met.select("id_1", "id_2", _jt().alias("jt")).where(F.col("jt") >= threshold)
+
+    def solve(i, j, one, two):
+        (x, _, xw), (y, _, yw) = one, two
+        xc, yc = _cards(xw), _cards(yw)
+        need = least_common(threshold, xw.shape[1])
+        kind = np.uint8 if xw.shape[1] == 1 else np.int32
+        kept, held = [], 0
+        for card in np.unique(xc):
+            least = need[card + yc]
+            able = np.flatnonzero(least <= np.minimum(card, yc))  # popcounts ascend: a range, if any
+            if not len(able):
+                continue
+            own = np.flatnonzero(xc == card)
+            for at in range(able[0], able[-1] + 1, 4 * RUN_ROWS):
+                run = slice(at, min(at + 4 * RUN_ROWS, able[-1] + 1))
+                enough = least[run].astype(kind)
+                for lo in range(0, len(own), 64):
+                    rows = own[lo : lo + 64]
+                    common = _common(xw[rows], yw[run])
+                    r, c = np.nonzero(common >= enough)
+                    jt = _similar(common[r, c].astype(np.int64), card + yc[run][c])
+                    r, c = rows[r], c + at
+                    a, b = x[r], y[c]
+                    keep = (r < c) & (a != b) if i == j else a != b
+                    kept.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], jt[keep]))
+                    held += len(kept[-1][0])
+                    if held >= AT_ONCE:
+                        yield _found(*map(np.concatenate, zip(*kept, strict=True)))
+                        kept, held = [], 0
+        if held:
+            yield _found(*map(np.concatenate, zip(*kept, strict=True)))
+
+    b = Blocks(fps.where(F.col("fp_id").isNotNull()))
+    return _solved(_tiles(b, b, upper=True), b.width, b.id_type, solve)
 
 
 def nearest(queries: DataFrame, fps: DataFrame, k: int = 5, exclude_same_id: bool = True) -> DataFrame:
