@@ -70,10 +70,6 @@ def meet(a: DataFrame, b: DataFrame, id_a: str, id_b: str, on: Column, elements:
     return left.join(right, ["block_a", "block_b"]).where(on).drop("block_a", "block_b")
 
 
-def _side(fps: DataFrame, tag: str) -> DataFrame:
-    return fps.select(F.col("fp_id").alias(f"id_{tag}"), F.col("words").alias(f"words_{tag}"), B.popcount(F.col("words")).alias(f"card_{tag}"))
-
-
 def _jt():
     return B.jt(B.intersection(F.col("words_1"), F.col("words_2")), F.col("card_1"), F.col("card_2"))
 
@@ -266,12 +262,41 @@ def pairs_above(fps: DataFrame, threshold: float) -> DataFrame:
 def nearest(queries: DataFrame, fps: DataFrame, k: int = 5, exclude_same_id: bool = True) -> DataFrame:
     """id_1, rank, id_2, jt: the k most similar fps of each query, ties to the smaller id.
 
-    Small queries are broadcast, else blocks of queries meet blocks of fps; each task keeps the k best
-    it saw of a query before the shuffle (a rank within the partition).
+    Blocks of queries meet blocks of fps; of each query a tile gives its k best, and those are ranked.
     """
-    q, d = _side(queries, "1"), _side(fps, "2")
-    on = F.col("id_1") != F.col("id_2") if exclude_same_id else F.lit(True)
-    met = meet(d, q, "id_2", "id_1", on).select("id_1", "id_2", _jt().alias("jt"))
+
+    def solve(i, j, one, two):
+        (x, x_null, xw), (y, y_null, yw) = one, two
+        xc, yc = _cards(xw), _cards(yw)
+        order = np.where(y_null, np.iinfo(np.int64).min, y) if y_null is not None else y
+        cards, of_card = np.unique(yc, return_inverse=True)
+        some = np.arange(0, len(y), max(1, len(y) // RUN_ROWS))
+        step = max(1, 4 * AT_ONCE // len(y))
+        for lo in range(0, len(x), step):
+            own = slice(lo, lo + step)
+            common = _common(xw[own], yw)
+            # the k-th best of some rows is a bound: whoever has less in common than it asks for is out
+            bound = np.zeros(len(common))
+            if len(some) >= k:
+                jt = _similar(common[:, some], xc[own, None] + yc[some])
+                if exclude_same_id:
+                    jt[x[own, None] == y[some]] = -1
+                bound = np.maximum(np.partition(jt, -k, axis=1)[:, -k], 0)
+            least = np.floor(bound[:, None] * (xc[own, None] + cards) / (1 + bound[:, None]) - 1e-6).clip(0).astype(common.dtype)
+            r, c = np.nonzero(common >= least[:, of_card])
+            if exclude_same_id:
+                other = x[own][r] != y[c]
+                r, c = r[other], c[other]
+            jt = _similar(common[r, c].astype(np.int64), xc[own][r] + yc[c])
+            best = np.lexsort((order[c], -jt, r))
+            best = best[np.arange(len(r)) - np.searchsorted(r[best], r[best]) < k]
+            r, c, jt = r[best], c[best], jt[best]
+            yield _found(x[own][r], y[c], jt, None if x_null is None else x_null[own][r], None if y_null is None else y_null[c])
+
+    if exclude_same_id:
+        queries, fps = (t.where(F.col("fp_id").isNotNull()) for t in (queries, fps))
+    q, d = Blocks(queries), Blocks(fps)
+    met = _solved(_tiles(q, d), d.width, d.id_type, solve)
     best = Window.partitionBy("id_1").orderBy(F.desc("jt"), "id_2")
     # row_number() <= k on a window: Spark limits each group before and after the exchange
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id_1", "rank", "id_2", "jt")
